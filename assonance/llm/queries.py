@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assonance.llm import decontaminate, line_dedup, sharding
+from assonance.llm import decontaminate, line_dedup, pieces, sharding, token_counts
+from assonance.llm.batches import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +44,32 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts.with_token_counts(docs, "text", _vocabulary("byte_bpe_50k.json"), limit=1024)
+    return out.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = docs.select("doc_id", pieces.encode(F.col("text"), _vocabulary("piece_bpe_32k.model")).alias("ids"))
+    return ids.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shards": op1_shards,
         "op2_line_dedup": op2_line_dedup,
+        "op5_token_counts": op5_token_counts,
         "op7_decontaminate": op7_decontaminate,
+        "op9_sentencepiece": op9_sentencepiece,
     }
 
 
