@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assonance.llm import decontaminate, line_dedup, pieces, sharding, token_counts
+from assonance.llm import decontaminate, line_dedup, near_dup, pieces, sharding, token_counts
 from assonance.llm.batches import small_batches
 
 
@@ -63,6 +63,17 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids")
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = near_dup.components(docs, "doc_id", "text", width=2, threshold=0.8)
+    return out.select(
+        F.col("id").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shards": op1_shards,
@@ -70,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op7_decontaminate": op7_decontaminate,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_near_dup": op10_near_dup,
     }
 
 
@@ -77,6 +89,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": OP2_SQL,
         "op7_decontaminate": OP7_SQL,
+        "op10_near_dup": OP10_SQL,
     }
 
 
@@ -125,3 +138,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN cover USING (r) LEFT JOIN named USING (r)
 """
+
+OP10_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+    ELSE list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
+  FROM doc),
+item AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+-- Sets as similar as 0.8 share one of the rarest fifth of either's shingles.
+ranked AS (
+  SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY f, x) AS k
+  FROM item JOIN (SELECT x, count(*) AS f FROM item GROUP BY x) USING (x)),
+cand AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b
+  FROM (SELECT * FROM ranked WHERE k <= n - ceil(0.8 * n) + 1) a
+  JOIN (SELECT * FROM ranked WHERE k <= n - ceil(0.8 * n) + 1) b USING (x)
+  WHERE a.doc_id < b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+link AS (
+  SELECT a, b FROM cand JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b
+  WHERE 100 * len(list_intersect(p.s, q.s)) >= 80 * (len(p.s) + len(q.s) - len(list_intersect(p.s, q.s)))),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
+       doc_id <= coalesce(low, doc_id) AS kept
+FROM sets LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) ON a = doc_id
+"""
