@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assonance.llm import decontaminate, line_dedup, near_dup, pieces, sharding, token_counts
+from assonance.llm import decontaminate, line_dedup, near_dup, pieces, quality, sharding, token_counts
 from assonance.llm.batches import small_batches
 
 
@@ -31,6 +31,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "text", "n_lines", "n_dropped")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_hits(docs, _table(spark, sf_dir, "benchmark"))
@@ -79,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_shards": op1_shards,
         "op2_line_dedup": op2_line_dedup,
         "op5_token_counts": op5_token_counts,
+        "op6_quality": op6_quality,
         "op7_decontaminate": op7_decontaminate,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_near_dup": op10_near_dup,
