@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assonance.llm import decontaminate, line_dedup, near_dup, pieces, quality, sharding, token_counts
+from assonance.llm import decontaminate, line_dedup, near_dup, pieces, quality, sharding, token_counts, warc
 from assonance.llm.batches import small_batches
+from assonance.plans.durable import durable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,18 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    folder = warc.new_folder(spark)
+    archives = warc.write_archives(warc.planned(pages, "page_id", "url", "html"), folder)
+    members = warc.normalise_archives(archives, folder)
+    kind = pages.schema["page_id"].dataType
+    read = warc.read_archives(members, folder)
+    out = durable(read.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")))
+    warc.remove_folder(folder)
+    return out
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = near_dup.components(docs, "doc_id", "text", width=2, threshold=0.8)
@@ -88,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op6_quality": op6_quality,
         "op7_decontaminate": op7_decontaminate,
+        "op8_warc": op8_warc,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_near_dup": op10_near_dup,
     }
@@ -97,6 +111,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": OP2_SQL,
         "op7_decontaminate": OP7_SQL,
+        "op8_warc": OP8_SQL,
         "op10_near_dup": OP10_SQL,
     }
 
@@ -174,3 +189,18 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low,
        doc_id <= coalesce(low, doc_id) AS kept
 FROM sets LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) ON a = doc_id
 """
+
+# DuckDB has no base32: each five bits of the SHA-1 name one of 32 letters.
+OP8_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+first AS (SELECT html, min(page_id) AS low FROM p GROUP BY html),
+bits AS (
+  SELECT page_id, html, array_to_string(list_transform(string_split(h, ''), lambda c: right('000' || bin(CAST('0x' || c AS INTEGER)), 4)), '') AS b FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + list_sum(list_transform(generate_series(0, 4), lambda j: CAST(substr(b, CAST(5 * i + j + 1 AS INTEGER), 1) AS INTEGER) * (16 >> CAST(j AS INTEGER))))::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> low THEN low END AS refers_to
+FROM bits JOIN first USING (html)
+"""
