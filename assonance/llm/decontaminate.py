@@ -61,55 +61,79 @@ def _block(length: int) -> tuple[int, int]:
     return gram, length + 1 - gram
 
 
+class _Scan:
+    """The hash sets of one benchmark, and the columns that find them in a text's words."""
+
+    def __init__(self, benchmark: DataFrame, item: str, item_text: str, window: int, set_limit: int) -> None:
+        self.table = durable(benchmark_windows(benchmark, item, item_text, window))
+        self.n_windows = self.table.count()
+        self.lengths = sorted(r[0] for r in self.table.select("length").distinct().collect())
+        self.in_sets = self.n_windows * (window + 1) <= set_limit
+
+    def possible(self, w: Column) -> Column:
+        """Whether some window may occur: true for every text in which one does."""
+        out = F.lit(False)
+        for length in self.lengths if self.in_sets else ():
+            gram, step = _block(length)
+            inside = F.transform(_starts(F.lit(length), gram), lambda i: F.xxhash64(F.slice("words", i, gram)))  # noqa: B023
+            grams = self.table.where(F.col("length") == length).select(F.explode(inside).alias("g")).distinct()
+            known = [r[0] for r in grams.collect()]
+            out = out | F.exists(_starts(F.size(w), gram, step), lambda i: F.xxhash64(F.slice(w, i, gram)).isin(known))  # noqa: B023
+        return out if self.in_sets else F.lit(bool(self.n_windows))
+
+    def probes(self, w: Column) -> Column:
+        """Places, lengths and hashes of the windows of a text that are in the set."""
+        found = []
+        for length in self.lengths:
+            at = _starts(F.size(w), length)
+            if self.in_sets:
+                known = [r[0] for r in self.table.where(F.col("length") == length).select("hash").distinct().collect()]
+                at = F.filter(at, lambda i: F.xxhash64(F.slice(w, i, length)).isin(known))  # noqa: B023
+            found.append(F.transform(at, lambda i: F.struct(i.alias("at"), F.slice(w, i, length).alias("here"))))  # noqa: B023
+        return F.concat(*found) if found else F.array().cast(_PROBES)
+
+    def verified(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (``id``, ``row``, ``n_words``, ``probes``) with the probes that truly hit as ``spans`` and ``items``."""
+        each = rows.select("id", "row", "n_words", F.explode_outer("probes").alias("p"))
+        each = each.select("id", "row", "n_words", "p.at", "p.here", F.size("p.here").alias("length"), F.xxhash64("p.here").alias("hash"))
+        met = bounded_join(each, self.table, ["length", "hash"], "left", self.n_windows, spread=F.xxhash64("id", "at"))
+        hit = F.when(F.col("here") == F.col("words"), F.struct("at", (F.col("at") + F.col("length")).alias("end"), "items"))
+        found = met.groupBy("id").agg(F.first("row").alias("row"), F.first("n_words").alias("n_words"), F.collect_list(hit).alias("hits"))
+        items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
+        return found.select("id", "row", "n_words", _merged(F.col("hits")).alias("spans"), items.alias("items"))
+
+
+_PROBES = "array<struct<at:int,here:array<string>>>"
+
+
+def _scanned(documents: DataFrame, text: str, keep: list[str], scan: _Scan) -> DataFrame:
+    w = words(F.col(f"`{text}`"))
+    rows = documents.select(
+        F.monotonically_increasing_id().alias("id"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), w.alias("w")
+    )
+    probes = F.when(scan.possible(F.col("w")), scan.probes(F.col("w"))).otherwise(F.array().cast(_PROBES))
+    return rows.select("id", "row", F.size("w").cast("long").alias("n_words"), probes.alias("probes"))
+
+
 def find_hits(
     documents: DataFrame,
     benchmark: DataFrame,
     text: str = "text",
+    keep: list[str] | None = None,
     item: str = "item_id",
     item_text: str = "text",
     window: int = WINDOW,
     set_limit: int = SET_LIMIT,
 ) -> DataFrame:
-    """Columns ``row`` (the document as a struct), ``n_words``, ``spans`` and ``items``.
+    """Columns ``row`` (the columns ``keep`` of the document as a struct), ``n_words``, ``spans`` and ``items``.
 
     ``spans`` are the sorted, disjoint word ranges [start, end) that some
     window covers, counted from 0; ``items`` the sorted ids of the items met.
-    The whole row travels with each hit text, so callers select what they need.
+    By default all columns but the text are kept: what is kept is shuffled.
     """
-    table = durable(benchmark_windows(benchmark, item, item_text, window))
-    n_windows = table.count()
-    lengths = sorted(r[0] for r in table.select("length").distinct().collect())
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    rows = rows.withColumn("w", words(F.col(f"row.`{text}`"))).withColumn("id", F.monotonically_increasing_id())
-
-    possible = F.lit(False)
-    if n_windows * (window + 1) <= set_limit * 2:
-        for length in lengths:
-            gram, step = _block(length)
-            of_length = table.where(F.col("length") == length)
-            grams = of_length.select(F.explode(F.transform(_starts(F.lit(length), gram), lambda i: F.xxhash64(F.slice("words", i, gram)))).alias("g")).distinct()
-            known = [r[0] for r in grams.collect()]
-            blocks = _starts(F.size("w"), gram, step)
-            possible = possible | F.exists(blocks, lambda i: F.xxhash64(F.slice("w", i, gram)).isin(known))  # noqa: B023
-    else:
-        possible = F.lit(True)
-    at = [
-        F.transform(_starts(F.size("w"), length), lambda i: F.struct(i.alias("at"), F.lit(length).alias("length"), F.xxhash64(F.slice("w", i, length)).alias("hash")))  # noqa: B023
-        for length in lengths
-    ]
-    none = F.array().cast("array<struct<at:int,length:int,hash:bigint>>")
-    probes = F.concat(*at) if at else none
-    looked = rows.withColumn("probe", F.explode_outer(F.when(possible, probes).otherwise(none)))
-    looked = looked.select(
-        "id", "row", F.size("w").cast("long").alias("n_words"), F.col("probe.at").alias("at"), F.col("probe.length").alias("length"),
-        F.col("probe.hash").alias("hash"), F.expr("slice(w, probe.at, probe.length)").alias("here"),
-    )
-    met = bounded_join(looked, table, ["length", "hash"], "left", n_windows, spread=F.xxhash64("id", "at"))
-    true = F.col("here") == F.col("words")
-    hit = F.when(true, F.struct(F.col("at"), (F.col("at") + F.col("length")).alias("end"), "items"))
-    # Rows of one text stand together, so this aggregation shrinks before its shuffle.
-    found = met.groupBy("id").agg(F.first("row").alias("row"), F.first("n_words").alias("n_words"), F.collect_list(hit).alias("hits"))
-    return found.select("row", "n_words", _merged(F.col("hits")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("items"))
+    scan = _Scan(benchmark, item, item_text, window, set_limit)
+    keep = [c for c in documents.columns if c != text] if keep is None else keep
+    return scan.verified(_scanned(documents, text, keep, scan)).drop("id")
 
 
 def _merged(hits: Column) -> Column:
@@ -135,34 +159,46 @@ def contaminated(spans: Column, n_words: Column) -> Column:
     return (n_hit(spans) > 0) & (20 * n_hit(spans) >= n_words)
 
 
+def _judged(documents: DataFrame, benchmark: DataFrame, text: str, item: str = "item_id", item_text: str = "text", window: int = WINDOW, set_limit: int = SET_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """``row`` of the texts that can't hold a window, and ``row``, ``n_words``, ``spans`` of the others.
+
+    Only the others, stored once, are shuffled with their texts.
+    """
+    scan = _Scan(benchmark, item, item_text, window, set_limit)
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = documents.select(row).withColumn("w", words(F.col(f"row.`{text}`"))).withColumn("may", scan.possible(F.col("w")))
+    held = durable(rows.where("may").select("row", F.monotonically_increasing_id().alias("id")))
+    w = words(F.col(f"row.`{text}`"))
+    slim = held.select("id", F.struct("id").alias("row"), w.alias("w")).select("id", "row", F.size("w").cast("long").alias("n_words"), scan.probes(F.col("w")).alias("probes"))
+    return rows.where(~F.col("may")).select("row"), held.join(scan.verified(slim).select("id", "n_words", "spans"), "id")
+
+
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that aren't contaminated, with their columns."""
-    found = find_hits(documents, benchmark, text, **options)
-    return found.where(~contaminated(F.col("spans"), F.col("n_words"))).select("row.*")
+    clean, judged = _judged(documents, benchmark, text, **options)
+    return clean.union(judged.where(~contaminated(F.col("spans"), F.col("n_words"))).select("row")).select("row.*")
 
 
 def cut_spans(documents: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """All documents; the words of hit spans, with what stands between them, are cut from the text."""
-    found = find_hits(documents, benchmark, text, **options)
+    """All documents with their columns; the words of hit spans, and what stands between those, are cut from the text."""
+    clean, judged = _judged(documents, benchmark, text, **options)
     body = F.col(f"row.`{text}`")
-    # Odd pieces are words and even ones what stands between, so that the text can be put together again.
-    between = F.split(F.translate(body, UPPER, LOWER), WORD)
-    starts = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(between) - 2, F.lit(0))), lambda i: i
+    plain = F.translate(body, UPPER, LOWER)
+    # gaps[i] stands before word i; the last one ends the text.
+    parts = judged.withColumn("gaps", F.transform(F.split(plain, WORD), lambda g: F.length(g))).withColumn(
+        "sizes", F.transform(words(body), lambda x: F.length(x))
     )
-    lengths = F.transform(F.regexp_extract_all(F.translate(body, UPPER, LOWER), F.lit(WORD), F.lit(0)), lambda w: F.length(w))
     inside = lambda i: F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"]))
-    joined = lambda i: inside(i) & inside(i + 1)
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.element_at("lengths", i + 1) + F.length(F.element_at("between", i + 2))).cast("int").alias("at"),
-        F.concat(
-            acc["out"],
-            F.when(inside(i), F.lit("")).otherwise(F.substring(body, acc["at"] + 1, F.element_at("lengths", i + 1))),
-            F.when(joined(i), F.lit("")).otherwise(F.element_at("between", i + 2)),
-        ).alias("out"),
-    )
-    prepared = found.withColumn("between", between).withColumn("lengths", lengths).withColumn("starts", starts)
-    start = F.struct(F.length(F.element_at("between", 1)).cast("int").alias("at"), F.element_at("between", 1).alias("out"))
-    cut = F.when((F.size("spans") == 0) | (F.size("lengths") == 0), body).otherwise(F.aggregate("starts", start, step)["out"])
-    kept = [c for c in documents.columns]
-    return prepared.select(*[(cut if c == text else F.col(f"row.`{c}`")).alias(c) for c in kept])
+
+    def step(acc: Column, i: Column) -> Column:
+        gap, size = F.element_at("gaps", i + 1), F.element_at("sizes", i + 1)
+        before = F.when(inside(i) & inside(i - 1), F.lit("")).otherwise(F.substring(body, acc["at"] + 1, gap))
+        word = F.when(inside(i), F.lit("")).otherwise(F.substring(body, acc["at"] + gap + 1, size))
+        return F.struct((acc["at"] + gap + size).alias("at"), F.concat(acc["out"], before, word).alias("out"))
+
+    n = F.size("sizes")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    done = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda acc: F.concat(acc["out"], F.expr(f"substring(row.`{text}`, 1 + aggregate(gaps, 0, (a, g) -> a + g) - element_at(gaps, -1) + aggregate(sizes, 0, (a, g) -> a + g))")))
+    cut = parts.withColumn("cut", F.when((F.size("spans") > 0) & (n > 0), done).otherwise(body))
+    whole = cut.select(*[(F.col("cut") if c == text else F.col(f"row.`{c}`")).alias(c) for c in documents.columns])
+    return clean.select("row.*").union(whole)
