@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assonance.llm import decontaminate, line_dedup, near_dup, pieces, quality, sharding, token_counts, warc
+from assonance.llm import decontaminate, html_text, line_dedup, near_dup, neighbours, pieces, quality, sharding, token_counts, warc
 from assonance.llm.batches import small_batches
 from assonance.plans.durable import durable
 
@@ -58,6 +58,16 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = token_counts.with_token_counts(docs, "text", _vocabulary("byte_bpe_50k.json"), limit=1024)
@@ -98,6 +108,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shards": op1_shards,
         "op2_line_dedup": op2_line_dedup,
+        "op3_neighbours": op3_neighbours,
+        "op4_html_text": op4_html_text,
         "op5_token_counts": op5_token_counts,
         "op6_quality": op6_quality,
         "op7_decontaminate": op7_decontaminate,
@@ -110,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": OP2_SQL,
+        "op3_neighbours": OP3_SQL,
         "op7_decontaminate": OP7_SQL,
         "op8_warc": OP8_SQL,
         "op10_near_dup": OP10_SQL,
@@ -204,3 +217,16 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id <> low THEN low END AS refers_to
 FROM bits JOIN first USING (html)
 """
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pair AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.x, v.x) AS score
+  FROM v AS q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pair)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
