@@ -170,7 +170,7 @@ def search(
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // block_rows))
     slot = lambda name, count, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).alias(name)
-    every = lambda name, count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).cast("long").alias(name)
+    every = lambda name, count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias(name)
     items = rows.select(slot("shard", shards, 1), F.size("x").alias("length"), "vec_id", "x", every("block", blocks))
     asked = rows.where("q").select(slot("block", blocks, 2), F.size("x").alias("length"), "vec_id", "x", every("shard", shards))
 
