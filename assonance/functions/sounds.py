@@ -95,11 +95,18 @@ class LetterSounds(Sounds):
     classes: str
 
     def reading(self, token: Column) -> Column:
-        return F.when(token.rlike(f"^[{self.letters}]+$"), F.array(F.translate(token, self.letters, self.classes)))
+        return F.when(self.is_known(token), F.array(F.translate(token, self.letters, self.classes)))
 
     def selected(self, segments: Column) -> Column:
         return segments
 
+    def token_phonemes(self, token: Column) -> Column:
+        # A word of known letters is voiced, so most words need one test.
+        return F.when(self.is_known(token), F.array(F.translate(token, self.letters, self.classes))).when(self.is_voiced(token), F.array(F.lit(UNKNOWN)))
+
+    def is_known(self, token: Column) -> Column:
+        return token.rlike(f"^[{self.letters}]+$")
+
 
 # Latin letters, and below each the class as which it is read.
 LATIN = LetterSounds(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,21 @@ LOST, LOST_AS = "□○", "〼〇"
 LATE_LETTERS = r"\x{9FFD}-\x{9FFF}\x{2EBF0}-\x{2EE5D}\x{31350}-\x{323AF}"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once.
+
+    Arrays that cross an operator are stored flat, and each ``slice`` of such
+    an array copies all of it.  What is computed here stays an object, and no
+    rewriting of filters or projections computes it once per use.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def loose(array: Column) -> Column:
+    """The same array as an object, for many slices of it."""
+    return F.transform(array, lambda x: x)
+
+
 def normalise(text: Column) -> Column:
     """Delete blanks but U+0020 and widen the signs for lost characters."""
     return F.translate(text, LOST + DELETED, LOST_AS)

@@ -11,14 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assonance.functions.sounds import UNKNOWN
-from assonance.functions.text import is_alpha, ngram_starts
+from assonance.functions.text import bind, is_alpha, loose, ngram_starts
 
 
 def ngrams(documents: DataFrame, order: int) -> DataFrame:
     """Every n-gram of every document: ``doc_id``, ``doc_ord``, ``start``, ``end``, ``tokens``, ``phon``."""
-    at = documents.select("*", F.explode(ngram_starts(F.size("tokens"), order)).alias("start"))
-    part = lambda c: F.slice(c, F.col("start") + 1, F.lit(order)).alias(c)
-    return at.select("doc_id", "doc_ord", "start", F.least(F.col("start") + order, F.size("tokens")).alias("end"), part("tokens"), part("phon"))
+
+    def grams(d: Column) -> Column:
+        part = lambda c, i: F.slice(d[c], i + 1, F.lit(order)).alias(c)
+        gram = lambda i: F.struct(i.alias("start"), F.least(i + order, F.size(d["tokens"])).alias("end"), part("tokens", i), part("phon", i))
+        return F.transform(ngram_starts(F.size(d["tokens"]), order), gram)
+
+    made = bind(F.struct(loose(F.col("tokens")).alias("tokens"), loose(F.col("phon")).alias("phon")), grams)
+    # The outer kind only: for the other one a filter would be inferred that makes all grams a second time.
+    return documents.select("doc_id", "doc_ord", F.explode_outer(made).alias("g")).where(F.col("g").isNotNull()).select("doc_id", "doc_ord", "g.*")
 
 
 def build_index(values: DataFrame, key: Column, keep: Column | None = None) -> DataFrame:
@@ -36,19 +42,29 @@ def phonetic_index(documents: DataFrame, order: int, spaces_break: bool = True)
     """
     fine = lambda t, p: is_alpha(t["text"]) & p.isNotNull() & ~F.coalesce(F.array_contains(p, UNKNOWN), F.lit(False))
     whole = lambda p: F.array_join(F.transform(p, lambda x: F.coalesce(x, F.lit("\u0000"))), "\u001f")
-    per_token = documents.select(
-        "doc_id", "doc_ord", F.transform("tokens", lambda t: t["text"]).alias("texts"), F.transform("tokens", lambda t: t["after"] != "").alias("spaced"),
+    per_token = F.struct(
+        F.transform("tokens", lambda t: t["text"]).alias("texts"), F.transform("tokens", lambda t: t["after"] != "").alias("spaced"),
         F.zip_with("tokens", "phon", fine).alias("fine"), F.transform("phon", lambda p: F.array_join(p, "")).alias("spoken"), F.transform("phon", whole).alias("sound"),
-    )
-    part = lambda c, less=0: F.slice(c, F.col("start") + 1, F.lit(order - less))
-    at = per_token.select("*", F.explode(ngram_starts(F.size("texts"), order)).alias("start"))
-    keep = F.forall(part("fine"), lambda x: F.coalesce(x, F.lit(False)))
-    if spaces_break and order > 1:
-        keep = keep & ~F.exists(part("spaced", 1), lambda x: x)
-    kept = at.where(keep).select(
-        "doc_id", "doc_ord", "start", F.least(F.col("start") + order, F.size("texts")).alias("end"),
-        part("texts").alias("texts"), part("sound").alias("sound"), F.array_join(part("spoken"), "").alias("spoken"),
-    )
+    )
+
+    def grams(d: Column) -> Column:
+        part = lambda c, i, less=0: F.slice(d[c], i + 1, F.lit(order - less))
+
+        def fit(i: Column) -> Column:
+            keep = F.forall(part("fine", i), lambda x: F.coalesce(x, F.lit(False)))
+            return keep & ~F.exists(part("spaced", i, 1), lambda x: x) if spaces_break and order > 1 else keep
+
+        def gram(i: Column) -> Column:
+            return F.struct(
+                i.alias("start"), F.least(i + order, F.size(d["texts"])).alias("end"), part("texts", i).alias("texts"), part("sound", i).alias("sound"),
+                F.array_join(part("spoken", i), "").alias("spoken"),
+            )
+
+        return F.transform(F.filter(ngram_starts(F.size(d["texts"]), order), fit), gram)
+
+    # Grams are made within the row of a document and only then become rows, which don't carry the document.
+    each = documents.select("doc_id", "doc_ord", F.explode_outer(bind(per_token, grams)).alias("g"))
+    kept = each.where(F.col("g").isNotNull()).select("doc_id", "doc_ord", "g.*")
     return build_index(kept, F.col("spoken")).drop("spoken")
 
 
