@@ -184,13 +184,16 @@ def main_text(page: str | None, low: set[int]) -> str:
     known: dict[int, bool] = {}
 
     def cut(node: Node | None) -> bool:
-        if node is None or not node.tag:
-            return False
-        key = id(node)
-        if key not in known:
-            own = node.path in low and not (node.inside and node.tag in PLAIN) and node.tag not in ("html", "body")
-            known[key] = own or cut(node.parent)
-        return known[key]
+        """Whether the element or one around it is low; pages may nest deeper than calls can."""
+        chain = []
+        while node is not None and node.tag and id(node) not in known:
+            chain.append(node)
+            node = node.parent
+        state = known.get(id(node), False)
+        for n in reversed(chain):
+            state = state or n.path in low and not (n.inside and n.tag in PLAIN) and n.tag not in ("html", "body")
+            known[id(n)] = state
+        return state
 
     kept = [(n, t) for n, t in found if not n.noise and not cut(n)]
     if any(n.inside for n, _ in kept):
