@@ -1,0 +1,51 @@
+import pytest
+from pyspark.sql import functions as F
+
+from assonance.llm.html_text import blocks, extract, main_text
+
+CASES = [
+    (None, ""), ("", ""), ("plain  text\n", "plain text"),
+    ("<p>a<p>b &amp; c&nbsp;d &eacute;&#233;&#x41;<br>e</p>", "a b & c d ééA e"),
+    ("<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li>x<li>y</ul></nav><article><h1>T</h1><p>a <b>b</b>c<p>d</article><footer>f</footer></body>", "T a bc d"),
+    ("<script>var t='</p>';</script><p>a</p><!-- no <p>b</p> -->", "a"),
+    ("<article><p>a</p><div class='post-comments'><p>no</p></div><aside>no</aside><p>b</article><div class=ad>no</div>", "a b"),
+    ("<header>no</header><main><header><h1>yes</h1></header><p>a</main>", "yes a"),
+    ("<div id=sidebar>no</div><div class='content'>a<form>no<input></form>b</div>", "a b"),
+    ("<p>a <b", "a"), ("<p>a < b</p>", "a < b"), ("<article><p>cut of", "cut of"), ("</p></div>a", "a"),
+    ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"), ("<p hidden>no</p><p style='display: none'>no</p><p>a", "a"), ("<textarea>no</textarea>a", "a"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), CASES, ids=range(len(CASES)))
+def test_text_of_a_page(page, text):
+    assert main_text(page, set()) == text
+
+
+def test_deep_and_long_pages():
+    assert main_text("<div>" * 3000 + "a" + "</div>" * 3000, set()) == "a"
+    assert len(main_text("<p>word" * 50_000, set()).split()) == 50_000
+
+
+def test_site_tree_cuts_what_every_page_says(spark):
+    pages = [(i, f"http://h.example/{i}", f"<div class=x{i % 2}>about this site</div><div class=body><p>own words {i}</p></div>") for i in range(40)]
+    pages += [(100 + i, f"http://few.example/{i}", "<div class=x0>about this site</div><p>p</p>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(pages, "page_id int, url string, html string")).select("row.page_id", "text").collect()}
+    assert got[3] == "own words 3" and got[100] == "about this site p"
+
+
+def test_paragraphs_of_articles_stay(spark):
+    pages = [(i, "http://h.example/", "<article><p>the same</p></article>") for i in range(30)]
+    got = extract(spark.createDataFrame(pages, "page_id int, url string, html string"))
+    assert {r["text"] for r in got.collect()} == {"the same"}
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, None, 1), (1, None, None, 1), (None, "http://a", "", 2), (2, "no url", "<p>x", 3)]
+    frame = spark.createDataFrame(rows, "page_id int, url string, html string, low int")
+    assert sorted(r["text"] for r in extract(frame).collect()) == ["", "", "", "x"]
+    assert extract(frame).select("row.low").where(F.col("low").isNull()).count() == 0
+    assert extract(frame.where("false")).count() == 0
+
+
+def test_elements_close_as_in_html():
+    assert [t for _, t in blocks("<ul><li>a<ul><li>b</ul><li>c</ul>")[0]] == ["a", "b", "c"]

@@ -1,0 +1,47 @@
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from assonance.llm.line_dedup import drop_site_lines
+
+
+def by_hand(rows, ratio, least):
+    totals, seen = Counter(r[1] for r in rows), Counter()
+    for _, host, text in rows:
+        seen.update({(host, x.strip(" \t\r")) for x in (text or "").split("\n")})
+    cut = {k for k, n in seen.items() if k[1] and n >= least and n / totals[k[0]] > ratio}
+    return sorted(
+        (i, None if text is None else "\n".join(x for x in text.split("\n") if (host, x.strip(" \t\r")) not in cut)) for i, host, text in rows
+    )
+
+
+def test_against_brute_force(spark):
+    rows = [(i, ["a", "b", None][i % 3], "\n".join(["menu ", f"text {i}", "", "menu" if i % 2 else f"foot {i % 4}", "end\r"][: 1 + i % 5])) for i in range(120)]
+    rows += [(200, "a", None), (201, "a", ""), (202, "solo", "menu"), (203, "b", "\n\n")]
+    got = drop_site_lines(spark.createDataFrame(rows, "i int, h string, t string"), "h", "t", 0.3, 3)
+    assert sorted((r["i"], r["text"]) for r in got.select("row.i", "text").collect()) == by_hand(rows, 0.3, 3)
+
+
+def test_odd_rows(docs, no_docs):
+    got = drop_site_lines(docs, "source", "text", 0.1, 1).select("row.doc_id", "row.host", "text", "n_lines", "n_dropped").collect()
+    assert len(got) == 10
+    six = [r for r in got if r["doc_id"] == 6]
+    assert [(r["text"], r["n_lines"], r["n_dropped"]) for r in six] == [("", 3, 3)] * 2
+    three = next(r for r in got if r["doc_id"] == 3)
+    assert three["text"] is None and three["n_lines"] == 0
+    assert drop_site_lines(no_docs).count() == 0
+
+
+def test_copies_can_be_left_whole(spark):
+    rows = [(i, "h", "all\nthe\nsame") for i in range(10)] + [(i, "h", f"all\nown line number {i}") for i in range(10, 30)]
+    got = drop_site_lines(spark.createDataFrame(rows, "i int, h string, t string"), "h", "t", 0.2, 3, whole_over=0.5)
+    texts = {r["i"]: r["text"] for r in got.select("row.i", "text").collect()}
+    assert texts[0] == "all\nthe\nsame" and texts[12] == "own line number 12"
+
+
+def test_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr("assonance.plans.joins.bounded_join.__defaults__", (None, 0, 4))
+    rows = [(i, "h", f"menu\n{i}") for i in range(40)]
+    got = drop_site_lines(spark.createDataFrame(rows, "i int, h string, t string"), "h", "t", 0.3, 3)
+    assert {r["text"] for r in got.collect()} == {str(i) for i in range(40)}
+    assert got.where(F.col("n_dropped") != 1).count() == 0

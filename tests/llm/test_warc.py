@@ -1,0 +1,66 @@
+import base64
+import gzip
+import hashlib
+import io
+import json
+import random
+import zlib
+
+import pytest
+
+from assonance.llm import warc
+
+
+def test_one_stream_becomes_members():
+    rng = random.Random(1)
+    payloads = [bytes(rng.choices(b"abc\r\n", k=n)) for n in (0, 1, 5000, 3_000_000, 17)]
+    records = [warc.record(str(i), f"http://a/{i}\r\nX: y", p, "1" if i == 4 else None) for i, p in enumerate(payloads)]
+    target, index = io.BytesIO(), io.BytesIO()
+    assert warc.normalise(io.BytesIO(gzip.compress(b"".join(records))), target, index) == 5
+    told = [json.loads(x) for x in index.getvalue().splitlines()]
+    data = target.getvalue()
+    assert [zlib.decompress(data[x["offset"] : x["offset"] + x["length"]], 31) for x in told] == records
+    assert gzip.decompress(data) == b"".join(records)
+    again, side = io.BytesIO(), io.BytesIO()
+    assert warc.normalise(io.BytesIO(data), again, side) == 5 and again.getvalue() == data and side.getvalue() == index.getvalue()
+    for r, p in zip(records[:4], payloads, strict=False):
+        assert warc.parsed(r)["payload"] == p
+
+
+@pytest.mark.parametrize("part", [10, 400])
+def test_cut_archives_are_noticed(part):
+    whole = warc.record("1", "u", b"x" * 1000, None)
+    with pytest.raises(ValueError, match="ends within"):
+        warc.normalise(io.BytesIO(gzip.compress(whole[:part])), io.BytesIO(), io.BytesIO())
+
+
+def test_round_trip(spark, tmp_path):
+    rows = [(1, "http://a", "<p>é"), (2, "http://b", "<p>é"), (3, None, None), (4, "x", ""), (4, "x", ""), (None, "n", "<p>é"), (5, "y", "z" * 500_000), (3, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    folder = f"file://{tmp_path}"
+    members = warc.normalise_archives(warc.write_archives(warc.planned(pages, "page_id", "url", "html"), folder, roll=1000), folder)
+    got = sorted((r["page"] or "", r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], bytes(r["payload"])) for r in warc.read_archives(members, folder, payloads=True).collect())
+    want = []
+    for page, _, html in rows:
+        body = (html or "").encode()
+        first = min(p for p, _, h in rows if (h or "") == (html or "") and p is not None)
+        response = page == first
+        want.append((str(page or ""), len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if response else "revisit", None if response else str(first), body if response else b""))
+    assert got == sorted(want)
+    assert members.agg({"n": "sum"}).first()[0] == len(rows) and not list(tmp_path.glob("*.part"))
+    small = {r["page"]: r["refers_to"] for r in warc.planned(pages, "page_id", "url", "html", least=1).collect()}
+    assert small["4"] is None and small["2"] == "1"
+
+
+def test_no_pages(spark, tmp_path):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    archives = warc.write_archives(warc.planned(none, "page_id", "url", "html"), f"file://{tmp_path}")
+    assert warc.read_archives(warc.normalise_archives(archives, f"file://{tmp_path}"), f"file://{tmp_path}").count() == 0
+
+
+def test_normalising_again_after_a_lost_task(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}") for i in range(20)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}"
+    archives = warc.write_archives(warc.planned(pages, "page_id", "url", "html"), folder)
+    first = sorted(map(tuple, warc.normalise_archives(archives, folder).collect()))
+    assert sorted(map(tuple, warc.normalise_archives(archives, folder).collect())) == first
