@@ -1,0 +1,139 @@
+"""Seeds, matches, frames and groups."""
+
+import itertools
+
+import pytest
+from pyspark.sql import functions as F
+
+from assonance.functions.kernels import LocalAligner, RatioExtender
+from assonance.functions.sounds import SKELETON, TableSounds
+from assonance.operators import matches as M
+from assonance.operators.documents import make_documents, voiced
+from assonance.operators.frame import ReuseFrame
+from assonance.operators.groups import group_matches
+from assonance.operators.index import phonetic_index
+from assonance.operators.reuse import ReuseConfig, find_reuse
+from assonance.operators.seeds import cross_corpus_seeds, find_seeds, has_variant
+from assonance.sources.corpus import TableLoader
+
+NONE = TableSounds({"x": ("x",)}, select=None)
+MATCH = "u_id string, v_id string, u_ord long, v_ord long, u_start int, u_end int, v_start int, v_end int"
+
+
+def corpus(spark, texts):
+    return TableLoader().of(spark.createDataFrame(list(texts.items()), "doc_id string, text string"))
+
+
+def frame(spark, texts, matches, sounds=NONE):
+    docs = make_documents(corpus(spark, texts), sounds)
+    at = {i: n for n, i in enumerate(texts)}
+    rows = [(u, v, at[u], at[v], *bounds) for u, v, *bounds in matches]
+    return ReuseFrame(docs, spark.createDataFrame(rows, MATCH))
+
+
+THREE = {"1": "與朋友交言而有信雖曰未學吾", "2": "與朋友交言而有信雖曰已學吾", "3": "與朋友交言而有信雖未讀書吾"}
+
+
+def test_extension_in_a_frame(spark):
+    given = [(a, b, s, s + 4, s, s + 4) for a, b in itertools.combinations(THREE, 2) for s in (0, 4)]
+    out = frame(spark, THREE, given).extend(RatioExtender(0.8, 50, phonetic=False))
+    got = {(r["u_id"], r["v_id"]): (r["u_text"], r["v_text"]) for r in out.matches.collect()}
+    assert out.number_of_matches == 3 and out.number_of_docs == 3
+    assert got == {("1", "2"): (THREE["1"], THREE["2"]), ("1", "3"): (THREE["1"], THREE["3"]), ("2", "3"): (THREE["2"][:9],) * 2}
+
+
+def test_filter_and_order(spark):
+    f = frame(spark, {"1": "abcdefg123", "2": "abcdefg456", "3": "456nothing"}, [("1", "2", 0, 7, 0, 7), ("2", "3", 7, 10, 3, 6)])
+    assert [r["u_id"] for r in f.filter(M.length() > 3).matches.collect()] == ["1"]
+    rows = [("d1", "d3", 8, 10, 0, 2), ("d1", "d3", 0, 4, 4, 9), ("d1", "d2", 10, 12, 0, 2), ("d1", "d3", 4, 9, 4, 9), ("d1", "d2", 2, 4, 6, 8), ("d1", "d2", 7, 9, 6, 8), ("d2", "d3", 6, 8, 6, 8)]
+    named = spark.createDataFrame([(*r, 0.0, f"m{i}") for i, r in enumerate(rows, 1)], "u_id string, v_id string, u_start int, u_end int, v_start int, v_end int, weight double, name string")
+    assert [r["name"] for r in named.orderBy(*M.order_of_matches()).collect()] == ["m5", "m6", "m3", "m2", "m4", "m1", "m7"]
+
+
+def test_adding(spark):
+    f = frame(spark, {"1": "ab", "2": "cd"}, [("1", "2", 0, 1, 0, 1)])
+    more = f.add_docs(make_documents(corpus(spark, {"2": "xyz", "3": "q"}), NONE)).add_matches(f.matches)
+    assert more.number_of_docs == 3 and more.number_of_matches == 2
+    assert len(more.docs.where("doc_id = '2'").first()["tokens"]) == 3
+    with pytest.raises(ValueError, match="needs an id"):
+        f.add_docs(f.docs.withColumn("doc_id", F.lit(None).cast("string")))
+
+
+def grouped(spark, texts, given):
+    f = frame(spark, texts, given).align(LocalAligner(phonetic=False))
+    # Spans as given: grouping is about them and not about what alignment leaves.
+    text = lambda x: F.udf(lambda i, a, b: texts[i][a:b])(F.col(f"{x}_id"), F.col(f"{x}_start"), F.col(f"{x}_end"))
+    rows = frame(spark, texts, given).matches.withColumn("u_text", text("u")).withColumn("v_text", text("v"))
+    blank = F.array(F.lit("-"))
+    rows = rows.withColumns({"weight": F.lit(1.0), "graphic": F.lit(0.5), "au": blank, "av": blank, "u_transcription": F.lit("*"), "v_transcription": F.lit("*"), "seq": F.lit(0)})
+    assert f.number_of_docs == len(texts)
+    return group_matches(rows)
+
+
+def test_triangle_is_one_group(spark):
+    got = grouped(spark, THREE, [(a, b, 0, 8, 0, 8) for a, b in itertools.combinations(THREE, 2)]).collect()
+    assert [(r["n_matches"], r["weighted_score"], r["anchor_id"], r["anchor_start"]) for r in got] == [(3, 2.0, "1", 0)]
+
+
+def test_groups_overlap(spark):
+    texts = {"1": "abcd12z34abcd", "2": "12y34abcdabcd", "3": "123456789"}
+    given = [("1", "2", 4, 13, 0, 9), ("1", "2", 0, 4, 9, 13), ("2", "1", 0, 5, 4, 9), ("3", "1", 0, 4, 4, 9), ("2", "3", 0, 5, 0, 4)]
+    assert sorted(r["n_matches"] for r in grouped(spark, texts, given).collect()) == [1, 1, 3]
+    path = grouped(spark, {"1": "abcd", "2": "abxx", "3": "abyy"}, [("1", "2", 0, 2, 0, 2), ("1", "3", 0, 2, 0, 2)])
+    assert sorted(r["n_matches"] for r in path.collect()) == [1, 1, 2]
+
+
+def test_matches_of_the_same_texts_are_one(spark):
+    rows = [("1", "2", "a", "b"), ("2", "1", "b", "a"), ("1", "2", "b", "a"), ("1", "2", "a", "c")]
+    keys = [r[0] for r in spark.createDataFrame(rows, "u_id string, v_id string, u_text string, v_text string").select(M.match_key()).collect()]
+    assert keys[0] == keys[1] == keys[2] != keys[3]
+
+
+def test_weighted_score(spark):
+    got = spark.createDataFrame([(0.8, 0.4), (0.5, 0.0)], "p double, g double").select(M.weighted_score(F.col("p"), F.col("g"))).collect()
+    assert [r[0] for r in got] == [2.0, float("inf")]
+
+
+def test_seeds(spark):
+    docs = make_documents(corpus(spark, {"a": "one day two", "b": "one tay two ons", "c": "one day two"}), SKELETON, "word")
+    index = phonetic_index(docs, 3, spaces_break=False)
+    every = {(r["u_id"], r["v_id"], r["u_start"], r["v_start"]) for r in find_seeds(index, all_pairs=True).collect()}
+    assert every == {("b", "a", 0, 0), ("b", "c", 0, 0), ("a", "c", 0, 0)}
+    assert {(r["u_id"], r["v_id"]) for r in find_seeds(index).collect()} == {("b", "a"), ("b", "c")}
+    assert cross_corpus_seeds(index.where("doc_id = 'a'"), index.where("doc_id <> 'a'")).count() == 2
+
+
+def test_variants_of_unequal_length(spark):
+    array = lambda *x: F.array(*map(F.lit, x))
+    got = spark.range(1).select(has_variant(array("a", "b"), array("a"), array("x", "y"), array("x")), has_variant(array("a", "b"), array("c"), array("x", "y"), array("x"))).first()
+    assert tuple(got) == (False, True)
+
+
+def test_lost_characters_block_seeds(spark):
+    docs = make_documents(corpus(spark, {"a": "ab□cd", "b": "ab。cd"}), TableSounds({c: (c,) for c in "abcd"}, select=None))
+    starts = {(r["doc_id"], r["start"]) for r in phonetic_index(docs, 2).collect()}
+    assert starts == {("a", 0), ("a", 3), ("b", 0), ("b", 3)}
+
+
+def test_the_whole_query(spark):
+    table = TableSounds({c: (s,) for c, s in zip("abcdefghijklmnopqrABC", "abcdefghijklmnopqrabc", strict=True)}, select=None)
+    texts = {"1": "xx。abcdefghij。yy", "2": "ABcdefghij", "3": "zzz"}
+    config = ReuseConfig(ngram_order=3, filters=M.Filters(min_length=5), gap_sign="-")
+    found = find_reuse(corpus(spark, texts), table, config)
+    rows = M.results(found.matches).collect()
+    assert [tuple(r[f] for f in M.FIELDS) for r in rows] == [
+        ("1", "2", "abcdefghij", "ABcdefghij", "abcdefghij", "ABcdefghij", "*" + " ".join("abcdefghij"), "*" + " ".join("abcdefghij"), 3, 13, 0, 10, 1.0, 0.8)
+    ]
+    assert M.results(found.matches).columns == list(M.FIELDS)
+    assert find_reuse(corpus(spark, texts), table, ReuseConfig(ngram_order=3, filters=M.Filters(min_length=5, max_graphic=0.7))).number_of_matches == 0
+    assert found.group().first()["n_matches"] == 1
+
+
+def test_nothing_to_find(spark):
+    none = corpus(spark, {"1": "x"}).where("false")
+    assert find_reuse(none, SKELETON, ReuseConfig(tokeniser="word")).number_of_matches == 0
+
+
+def test_voicing_keeps_columns(spark):
+    docs = make_documents(corpus(spark, {"1": "ab"}), SKELETON)
+    assert voiced(docs.drop("phon", "syll"), SKELETON).columns == docs.columns
