@@ -1,17 +1,57 @@
-"""Connected components as alternating star contractions over an edge table.
+"""Connected components: local contraction, then alternating star contractions.
 
-Every step is an aggregation to a minimum and an equi-join, so no task holds
-the neighbours of a node together; the driver sees two numbers per round.
+First each task contracts up to ``LOCAL_EDGES`` edges to stars by union-find,
+which leaves at most one edge per node and task; of small graphs one task
+then has the result.  Otherwise the stars of all tasks are contracted further:
+every step is an aggregation to a minimum and an equi-join, so no task holds
+the neighbours of a node together, and the driver sees two numbers per round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assonance.plans.durable import durable
 
 
+#: Edges that one task contracts; it bounds the task's memory.
+LOCAL_EDGES = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict = {}
+
+    def find(x):
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(u), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    stars = [(x, find(x)) for x in list(parent)]
+    stars = [s for s in stars if s[0] != s[1]]
+    if stars:
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*stars, strict=True)], names=["u", "v"])
+
+
+def _contracted(edges: DataFrame, count: int, local: int) -> DataFrame:
+    """A forest of stars for each ``local`` edges or so."""
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.coalesce(max(1, -(-count // local))).mapInArrow(_forest, f"u {kind}, v {kind}")
+
+
 def _signature(edges: DataFrame) -> tuple:
     # A sum of hashes that can't overflow: 32 bits of each, as a decimal.
     part = F.pmod(F.xxhash64("u", "v"), F.lit(1 << 32)).cast("decimal(20,0)")
@@ -31,24 +71,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("low").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60, local: int = LOCAL_EDGES) -> DataFrame:
     """``node`` and ``component`` (the least node that can be reached) of every node that has an edge to another.
 
     Nodes may be of any ordered type.  Edges with a null end and loops count
     for nothing; an empty edge table gives no rows.
     """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    now = durable(now.where(edges[a].isNotNull() & edges[b].isNotNull() & (F.col("u") != F.col("v"))).distinct())
-    before = _signature(now)
-    for _ in range(rounds):
-        if not before[0]:
-            break
-        now = durable(_small_star(_large_star(now)))
-        after = _signature(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    given = edges.where(edges[a].isNotNull() & edges[b].isNotNull() & (edges[a] != edges[b]))
+    given = durable(given.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
+    count = given.count()
+    now = durable(_contracted(given, count, local))
+    if count > local:
+        before = _signature(now)
+        for _ in range(rounds):
+            now = durable(_small_star(_large_star(now)))
+            after = _signature(now)
+            if after == before:
+                break
+            before = after
+        else:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
