@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assonance.functions.text import bind
 from assonance.plans.durable import durable
 from assonance.plans.joins import bounded_join
 
@@ -106,13 +107,14 @@ class _Scan:
 _PROBES = "array<struct<at:int,here:array<string>>>"
 
 
-def _scanned(documents: DataFrame, text: str, keep: list[str], scan: _Scan) -> DataFrame:
-    w = words(F.col(f"`{text}`"))
-    rows = documents.select(
-        F.monotonically_increasing_id().alias("id"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), w.alias("w")
-    )
-    probes = F.when(scan.possible(F.col("w")), scan.probes(F.col("w"))).otherwise(F.array().cast(_PROBES))
-    return rows.select("id", "row", F.size("w").cast("long").alias("n_words"), probes.alias("probes"))
+def _scanned(rows: DataFrame, text: Column, scan: _Scan) -> DataFrame:
+    """``rows`` (``id``, ``row``) with the words of ``text`` counted and probed."""
+
+    def look(w: Column) -> Column:
+        probes = F.when(scan.possible(w), scan.probes(w)).otherwise(F.array().cast(_PROBES))
+        return F.struct(F.size(w).cast("long").alias("n_words"), probes.alias("probes"))
+
+    return rows.select("id", "row", bind(words(text), look).alias("x")).select("id", "row", "x.n_words", "x.probes")
 
 
 def find_hits(
@@ -133,7 +135,9 @@ def find_hits(
     """
     scan = _Scan(benchmark, item, item_text, window, set_limit)
     keep = [c for c in documents.columns if c != text] if keep is None else keep
-    return scan.verified(_scanned(documents, text, keep, scan)).drop("id")
+    row = F.struct(*[F.col(f"`{c}`") for c in keep])
+    rows = documents.withColumns({"__id": F.monotonically_increasing_id(), "__row": row, "__text": F.col(f"`{text}`")})
+    return scan.verified(_scanned(rows.select(F.col("__id").alias("id"), F.col("__row").alias("row"), "__text"), F.col("__text"), scan)).drop("id")
 
 
 def _merged(hits: Column) -> Column:
@@ -166,10 +170,9 @@ def _judged(documents: DataFrame, benchmark: DataFrame, text: str, item: str = "
     """
     scan = _Scan(benchmark, item, item_text, window, set_limit)
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
-    rows = documents.select(row).withColumn("w", words(F.col(f"row.`{text}`"))).withColumn("may", scan.possible(F.col("w")))
+    rows = documents.select(row, bind(words(F.col(f"`{text}`")), scan.possible).alias("may"))
     held = durable(rows.where("may").select("row", F.monotonically_increasing_id().alias("id")))
-    w = words(F.col(f"row.`{text}`"))
-    slim = held.select("id", F.struct("id").alias("row"), w.alias("w")).select("id", "row", F.size("w").cast("long").alias("n_words"), scan.probes(F.col("w")).alias("probes"))
+    slim = _scanned(held.select("id", F.struct("id").alias("row"), F.col(f"row.`{text}`").alias("body")), F.col("body"), scan)
     return rows.where(~F.col("may")).select("row"), held.join(scan.verified(slim).select("id", "n_words", "spans"), "id")
 
 
