@@ -3,7 +3,8 @@
 Pages are grouped by host.  For each host and line, the pages that contain
 the line are divided by all pages of the host; lines over ``max_ratio`` on at
 least ``min_pages`` pages are boilerplate and are cut from every page of that
-host.  A page counts once for a line however often it repeats it.
+host.  A page counts once for a line however often it repeats it.  Lines of
+several words seldom recur by chance: ``phrase_ratio`` is a bound of their own.
 
 Lines are compared without surrounding blanks, by the 128-bit MD5 of their
 text.  Blank lines are neither counted nor cut.  Null hosts form a host of
@@ -37,22 +38,24 @@ def _digest(line: Column) -> Column:
 
 
 def boilerplate_lines(
-    pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, phrase_ratio: float | None = None
 ) -> DataFrame:
-    """``host``, ``digest``, ``pages`` and ``ratio`` of every line over the ratio."""
+    """``host``, ``digest``, ``pages`` and ``ratio`` of every line over the ratio; lines of several words have ``phrase_ratio``, if given."""
     keyed = pages.select(_host(host).alias("host"), F.col(f"`{text}`").alias("text"))
     totals = durable(keyed.groupBy("host").agg(F.count("*").alias("host_pages")))
     lines = F.array_distinct(F.transform(_lines(F.col("text")), lambda x: _bare(x)))
     seen = (
         keyed.select("host", F.explode(F.filter(lines, lambda x: x != "")).alias("line"))
         .groupBy("host", _digest(F.col("line")).alias("digest"))
-        .agg(F.count("*").alias("pages"))
+        .agg(F.count("*").alias("pages"), F.bool_or(F.col("line").rlike(r"\S\s+\S")).alias("phrase"))
         .where(F.col("pages") >= min_pages)
     )
+    least = F.when(F.col("phrase"), max_ratio if phrase_ratio is None else phrase_ratio).otherwise(max_ratio)
     return (
         bounded_join(seen, totals, ["host"], "inner", totals.count())
         .withColumn("ratio", F.col("pages") / F.col("host_pages"))
-        .where(F.col("ratio") > max_ratio)
+        .where(F.col("ratio") > least)
+        .drop("phrase")
     )
 
 
@@ -67,6 +70,7 @@ def drop_site_lines(
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
     whole_over: float | None = None,
+    phrase_ratio: float | None = None,
 ) -> DataFrame:
     """Columns ``row`` (the page as a struct), ``text``, ``n_lines`` and ``n_dropped``.
 
@@ -74,7 +78,7 @@ def drop_site_lines(
     page that would lose more than that share of the characters of its lines
     is left whole: it is a copy of another page, not a page with boilerplate.
     """
-    heavy = durable(boilerplate_lines(pages, host, text, max_ratio, min_pages).select("host", "digest"))
+    heavy = durable(boilerplate_lines(pages, host, text, max_ratio, min_pages, phrase_ratio).select("host", "digest"))
     n_heavy = heavy.count()
     by_host = heavy.groupBy("host").agg(F.collect_set("digest").alias("heavy"))
     keyed = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), _host(host).alias("host"))
