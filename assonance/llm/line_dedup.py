@@ -38,16 +38,27 @@ def _digest(line: Column) -> Column:
 
 
 def boilerplate_lines(
-    pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, phrase_ratio: float | None = None
+    pages: DataFrame,
+    host: str,
+    text: str,
+    max_ratio: float = MAX_RATIO,
+    min_pages: int = MIN_PAGES,
+    phrase_ratio: float | None = None,
+    distinct: bool = False,
 ) -> DataFrame:
-    """``host``, ``digest``, ``pages`` and ``ratio`` of every line over the ratio; lines of several words have ``phrase_ratio``, if given."""
+    """``host``, ``digest``, ``pages`` and ``ratio`` of every line over the ratio; lines of several words have ``phrase_ratio``, if given.
+
+    With ``distinct``, pages of a host with equal texts (by MD5) count as one.
+    """
     keyed = pages.select(_host(host).alias("host"), F.col(f"`{text}`").alias("text"))
-    totals = durable(keyed.groupBy("host").agg(F.count("*").alias("host_pages")))
+    whole = [F.coalesce(_digest(F.col("text")), F.lit(b"")).alias("whole")] if distinct else []
+    number = F.count_distinct("whole") if distinct else F.count("*")
+    totals = durable(keyed.select("host", *whole).groupBy("host").agg(number.alias("host_pages")))
     lines = F.array_distinct(F.transform(_lines(F.col("text")), lambda x: _bare(x)))
     seen = (
-        keyed.select("host", F.explode(F.filter(lines, lambda x: x != "")).alias("line"))
+        keyed.select("host", *whole, F.explode(F.filter(lines, lambda x: x != "")).alias("line"))
         .groupBy("host", _digest(F.col("line")).alias("digest"))
-        .agg(F.count("*").alias("pages"), F.bool_or(F.col("line").rlike(r"\S\s+\S")).alias("phrase"))
+        .agg(number.alias("pages"), F.bool_or(F.col("line").rlike(r"\S\s+\S")).alias("phrase"))
         .where(F.col("pages") >= min_pages)
     )
     least = F.when(F.col("phrase"), max_ratio if phrase_ratio is None else phrase_ratio).otherwise(max_ratio)
@@ -71,14 +82,15 @@ def drop_site_lines(
     min_pages: int = MIN_PAGES,
     whole_over: float | None = None,
     phrase_ratio: float | None = None,
+    distinct: bool = False,
 ) -> DataFrame:
     """Columns ``row`` (the page as a struct), ``text``, ``n_lines`` and ``n_dropped``.
 
     ``n_lines`` counts the lines that aren't blank.  With ``whole_over``, a
     page that would lose more than that share of the characters of its lines
-    is left whole: it is a copy of another page, not a page with boilerplate.
+    is left whole, whether or not another page has its text.
     """
-    heavy = durable(boilerplate_lines(pages, host, text, max_ratio, min_pages, phrase_ratio).select("host", "digest"))
+    heavy = durable(boilerplate_lines(pages, host, text, max_ratio, min_pages, phrase_ratio, distinct).select("host", "digest"))
     n_heavy = heavy.count()
     by_host = heavy.groupBy("host").agg(F.collect_set("digest").alias("heavy"))
     keyed = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), _host(host).alias("host"))

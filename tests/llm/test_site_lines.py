@@ -28,3 +28,13 @@ def test_repeated_lines_and_passages_in_hot_large_and_small_sources(spark):
     assert sum("on four pages only" in t for t in got) == 4 * len(SITES)
     assert sum("Yes." in t for t in got) == sum("Yes." in t for _, t in rows)
     assert all(t.startswith(own(i)) for i, t in enumerate(got))
+
+
+def test_pages_that_are_mostly_boilerplate_lose_it_and_copies_stay(spark):
+    menu = ["home and news and contact of the whole site", "all rights are reserved by the owners"]
+    rows = [("s", "\n".join([menu[0], f"own {i}", menu[1]])) for i in range(100)] + [("s", "\n".join(menu))]
+    copy = "\n".join(["the text of a page", "that is there many times"])
+    rows += [("s", copy)] * 50 + [("s", f"{copy}\n{menu[0]}")] * 20 + [("s", None)] * 3
+    got = stage(spark, rows)
+    assert got[:101] == [*(f"own {i}" for i in range(100)), ""]
+    assert set(got[101:171]) == {copy} and got[171:] == [None] * 3
