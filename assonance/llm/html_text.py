@@ -10,7 +10,8 @@ have it, the presentations (sequences of child elements) and the contents
 
 what says the same on every page, in the same form, has none.  Elements on at
 least ``MIN_PAGES`` pages of a host with less than ``LEAST`` are cut from all
-of its pages.
+of its pages.  Pages of a host with equal html (by MD5) count as one page, and
+a page of which the tree would leave nothing keeps all of its text.
 
 Entropy can't see a menu whose words differ on each page, and a host of few
 pages has none to speak of.  So two things hold on every page whatever the
@@ -22,7 +23,7 @@ headings or lists.
 
 A null or empty page has an empty text.  Null hosts form one host.  Unclosed
 and truncated markup is closed at the end of the page; a tag that isn't ended
-is dropped.  Repeated rows are pages of their own; an empty table gives no
+is dropped.  Repeated rows have results of their own; an empty table gives no
 rows.  Memory: one batch of pages, and the low elements of a host.
 """
 
@@ -195,16 +196,17 @@ def main_text(page: str | None, low: set[int]) -> str:
             known[id(n)] = state
         return state
 
-    kept = [(n, t) for n, t in found if not n.noise and not cut(n)]
-    if any(n.inside for n, _ in kept):
-        kept = [(n, t) for n, t in kept if n.inside]
-    return " ".join(t for _, t in kept)
+    told = [(n, t) for n, t in found if not n.noise]
+    if any(n.inside for n, _ in told):
+        told = [(n, t) for n, t in told if n.inside]
+    kept = [(n, t) for n, t in told if not cut(n)]
+    return " ".join(t for _, t in kept or told)
 
 
 PRESENCE, STYLE, CONTENT = 0, 1, 2
 
 
-def _page_counts(page: str, counts: Counter, host: int) -> None:
+def _page_counts(page: str, counts: Counter, host: int, share: float) -> None:
     found, every = blocks(page)
     seen: set[tuple[int, int, int]] = set()
     for node in every:
@@ -219,30 +221,34 @@ def _page_counts(page: str, counts: Counter, host: int) -> None:
         while node is not None and node.tag not in ("", "body", "html"):
             seen.add((node.path, CONTENT, content))
             node = node.parent
-    counts.update((host, *x) for x in seen)
+    for x in seen:
+        counts[(host, *x)] += share
 
 
 def site_counts(pages: DataFrame) -> DataFrame:
-    """``host``, ``path``, ``kind``, ``feature``, ``n`` of ``host`` (hash) and ``html``, summed within a batch."""
+    """``host``, ``path``, ``kind``, ``feature``, ``n`` of ``host`` (hash), ``html`` and ``copies``, summed within a batch.
+
+    Each of the ``copies`` rows of a page counts for its part, so that together they are one page.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for host, page, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if page:
-                    _page_counts(page, counts, host)
+                    _page_counts(page, counts, host, 1 / copies)
             keys = list(zip(*counts, strict=True)) if counts else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.int32()), pa.array(keys[3], pa.int64()), pa.array(counts.values(), pa.int64())],
+                [pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.int32()), pa.array(keys[3], pa.int64()), pa.array(counts.values(), pa.float64())],
                 names=["host", "path", "kind", "feature", "n"],
             )
 
-    return pages.mapInArrow(run, "host long, path long, kind int, feature long, n long")
+    return pages.mapInArrow(run, "host long, path long, kind int, feature long, n double")
 
 
 def importance(counts: DataFrame) -> DataFrame:
     """``host``, ``path``, ``pages`` and ``importance`` of each element of each site style tree."""
-    each = counts.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    each = counts.groupBy("host", "path", "kind", "feature").agg(F.round(F.sum("n")).alias("n"))
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
     sums = each.groupBy("host", "path").agg(
         of(PRESENCE, F.col("n")).alias("pages"),
@@ -265,7 +271,10 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", least: float
     """Columns ``row`` (the page without its html, as a struct) and ``text``."""
     small_batches(pages.sparkSession)
     host = F.xxhash64(host_of(F.col(f"`{url}`")))
-    counts = site_counts(pages.select(host.alias("host"), F.col(f"`{html}`").alias("html")))
+    keyed = pages.select(host.alias("host"), F.col(f"`{html}`").alias("html"), F.unhex(F.md5(f"`{html}`")).alias("digest"))
+    copied = durable(keyed.groupBy("host", "digest").agg(F.count("*").alias("copies")).where((F.col("copies") > 1) & F.col("digest").isNotNull()))
+    told = bounded_join(keyed, copied, ["host", "digest"], "left", copied.count())
+    counts = site_counts(told.select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies")))
     low = durable(importance(counts).where((F.col("pages") >= min_pages) & (F.col("importance") < least)).select("host", "path"))
     by_host = low.groupBy("host").agg(F.collect_set("path").alias("low"))
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html]).alias("row"), host.alias("host"), F.col(f"`{html}`").alias("html"))
