@@ -11,8 +11,8 @@ linear in the number of features.  Labels, language, source and id are never
 features.
 
 The machine is fitted on at most ``SAMPLE`` labelled texts (a documented
-bound: those of the smallest hash of their id); their features, not their
-texts, go to the driver.  Everything is scored.  Null texts score as empty
+bound: those of the smallest hash of their id; of an id with several rows the
+text of the smallest hash); their features, not their texts, go to the driver.  Everything is scored.  Null texts score as empty
 ones; repeated labels of an id count as their mean; without labels of both
 kinds every score is the share of ones (a half without any label).
 """
@@ -174,10 +174,11 @@ def train(
     known = known.where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     # The chosen labels are at most ``sample`` rows of two numbers.
-    texts = documents.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
-    got = _features_of(texts).collect()
+    texts = documents.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "id")
+    # One text of an id, however often its rows are repeated: what is collected has ``sample`` rows at most.
+    one = texts.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    got = _features_of(one.select("y", "first.text")).collect()
     got.sort(key=lambda r: (bytes(r["stats"]), bytes(r["slots"]), r["y"]))
-    got = got[: 2 * sample]  # repeated rows of an id
     slots = np.frombuffer(b"".join(bytes(r["slots"]) for r in got), np.float16).reshape(-1, WORD_SLOTS).astype(np.float32)
     stats = np.frombuffer(b"".join(bytes(r["stats"]) for r in got), np.float32).reshape(len(got), N_STATS)
     return FactorisationMachine.fit(slots, stats, np.array([r["y"] for r in got]))
