@@ -8,14 +8,19 @@ The count is the initial symbols minus the merges; no identifiers are made.
 
 Counts are the ``tokenizers`` library's for the same file, without special
 tokens added; the file's own special strings inside a text are one token
-each, as is that library's default.  A null or empty text has 0 tokens.
-Memory: the counts of the latest words are kept, up to ``KEPT`` twice over.
+each, as is that library's default.  A null or empty text has 0 tokens; a
+very long text or word is counted whole, in n log n steps; repeated rows are
+counted each for itself; an empty table gives no rows; further columns, also
+of clashing names, stay inside ``row``.  Memory: one batch of texts, the heap
+of one pre-token, and the counts of the latest words of up to ``SHORT``
+characters, ``KEPT`` of them twice over.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +33,8 @@ from assonance.llm.batches import small_batches
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEPT = 300_000
+#: Longer words are counted anew each time, so what is kept is bounded in bytes too.
+SHORT = 64
 
 
 def _byte_names() -> dict[str, int]:
@@ -61,6 +68,7 @@ class MergeCounter:
             raise ValueError(f"added tokens that take in what is beside them: {path}")
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pieces = regex.compile(PATTERN)
+        self.mixed_blanks = re.compile(r" \s")
         self.fresh: dict[str, int] = {}
         self.stale: dict[str, int] = {}
 
@@ -101,13 +109,18 @@ class MergeCounter:
                     heapq.heappush(heap, (found[0], h, found[1]))
         return left
 
+    def _counted(self, text: str) -> int:
+        return self.merged(text) if text[1:].isalpha() and text[0] == " " else sum(map(self.merged, self.pieces.findall(text)))
+
     def _piece(self, text: str) -> int:
-        """Tokens of a stretch of text in which only single spaces stand, and those only at its start."""
+        """Tokens of a stretch of text of which no pre-token reaches over its ends."""
+        if len(text) > SHORT:
+            return self._counted(text)
         n = self.fresh.get(text)
         if n is None:
             n = self.stale.get(text)
             if n is None:
-                n = self.merged(text) if text[1:].isalpha() and text[0] == " " else sum(map(self.merged, self.pieces.findall(text)))
+                n = self._counted(text)
             if len(self.fresh) >= KEPT:
                 self.stale, self.fresh = self.fresh, {}
             self.fresh[text] = n
@@ -116,9 +129,10 @@ class MergeCounter:
     def _plain(self, text: str) -> int:
         if not text:
             return 0
-        if "  " in text or text[0] == " ":
+        # A space before another blank belongs to a run of blanks, which may go on over the next space.
+        if text[0] == " " or self.mixed_blanks.search(text):
             return sum(map(self._piece, self.pieces.findall(text)))
-        # A pre-token takes in one space at its start, so it never reaches over the next space.
+        # Any other space starts a pre-token, so none reaches over it.
         first, *others = text.split(" ")
         return self._piece(first) + sum([self._piece(" " + x) for x in others])
 

@@ -41,6 +41,16 @@ def test_counts_of_any_text(text):
     assert token_counts._counter(path).count(text) == len(_library(path).encode(text, add_special_tokens=False).ids)
 
 
+def test_counts_of_mixed_blanks(counter, library):
+    """Spaces, tabs, line breaks and the blanks beyond ASCII in any mixture."""
+    rng = random.Random(21)
+    parts = [" ", " ", " ", "\t", "\n", "\r", "\xa0", "\u3000", "\x85", "\u2028", "\x1c", "a", "word", "12", ".", "é", "'s", "日本"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(50_000)]
+    texts += ["\n \xa0 \xa0\x85", "\xa0 \xa0", "a \xa0 b"]
+    told = [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert [counter.count(x) for x in texts] == told
+
+
 _LIBRARIES = {}
 
 
@@ -66,6 +76,12 @@ def test_memory_of_words_is_bounded(vocabulary, monkeypatch):
     assert counter.count(text) == counter.count(text) and len(counter.fresh) <= 10 and len(counter.stale) <= 10
 
 
+def test_long_words_are_not_kept(vocabulary):
+    counter = token_counts.MergeCounter(vocabulary("byte_bpe_50k.json"))
+    counter.count("x" * 5000 + " " + "y" * 70)
+    assert max(map(len, [*counter.fresh, ""])) <= token_counts.SHORT
+
+
 @pytest.fixture(scope="module")
 def codec(vocabulary):
     return pieces.PieceCodec.load(vocabulary("piece_bpe_32k.model"))
