@@ -14,15 +14,23 @@ one step and is probed by binary search.
   the order of merges, so maximal score sums give other pieces), and for such
   files the same matrix advances by merges: every pair of neighbours is one
   substring probe, the vectorised maximum (leftmost on ties) is merged.
+  Words of over ``LONG`` characters (scripts without spaces, encoded data)
+  have few others of their length, and a matrix of them would cost their
+  square: they are merged by a heap of pairs over a linked list instead.
 
 Characters without a piece become their UTF-8 byte pieces if the model has
 them, else the unknown piece.  A null text stays null and an empty one has no
-pieces.  Decoding gives the text back, but for U+2581 itself, which reads as
-a space, as in the library.
+pieces; a very long text is encoded whole, in n log n steps; repeated rows
+are encoded each for itself; an empty table gives no rows; only the given
+column is read, so further columns may have any names.  Decoding gives the
+text back, but for U+2581 itself, which reads as a space, as in the library.
+Memory: one batch of texts and their ids, and the pieces of up to ``KEPT``
+words of at most ``LONG`` characters, twice over.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -33,6 +41,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 KEPT = 250_000
+LONG = 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: What the library takes off the lowest score for an unknown character.
 UNKNOWN_COST = 10.0
@@ -95,8 +104,10 @@ class PieceCodec:
         self.unknown = kinds.index("unknown") if "unknown" in kinds else -1
         self.byte_ids = {int(pieces[i][3:5], 16): i for i, k in enumerate(kinds) if k == "byte"}
         self.bytes_of = [None if k == "control" else bytes([int(p[3:5], 16)]) if k == "byte" else " ⁇ ".encode() if k == "unknown" else p.replace(SPACE, " ").encode() for p, k in zip(pieces, kinds, strict=True)]
+        self.place_of = {pieces[normal[j]]: place for place, j in enumerate(self.table.order.tolist())}
         self.fresh: dict[str, bytes] = {}
         self.stale: dict[str, bytes] = {}
+        self.passing: dict[str, bytes] = {}
         self.units = re.compile(f"{SPACE}+[^{SPACE}]*")
 
     @classmethod
@@ -194,6 +205,45 @@ class PieceCodec:
             out.append(list(zip(p[:k], s[:k], strict=True)))
         return out
 
+    def heap_merges(self, word: str) -> list[tuple[int, int]]:
+        """As ``merges`` for one word, in n log n steps: the best pair is on top of a heap, the segments are a linked list."""
+        table, places = self.table, self.place_of
+        n, longest, scores = len(word), table.longest, table.scores
+        end = list(range(1, n + 1))
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def push(i: int, j: int) -> None:
+            stop = end[j]
+            if stop - i <= longest:
+                place = places.get(word[i:stop])
+                if place is not None:
+                    heap.append((-scores[place], i, stop)) if filling else heapq.heappush(heap, (-scores[place], i, stop))
+
+        filling = True
+        for i in range(n - 1):
+            push(i, i + 1)
+        heapq.heapify(heap)
+        filling = False
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            j = after[i]
+            # A pair is stale if its left segment is gone or either has grown.
+            if end[i] < 0 or j >= n or end[j] != stop:
+                continue
+            end[i], end[j] = stop, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                push(i, k)
+            if before[i] >= 0:
+                push(before[i], i)
+        out, i = [], 0
+        while i < n:
+            out.append((places.get(word[i : end[i]], -1), i))
+            i = after[i]
+        return out
+
     def _learn(self, words: Iterable[str]) -> None:
         if len(self.fresh) >= KEPT:
             self.stale, self.fresh = self.fresh, {}
@@ -208,6 +258,7 @@ class PieceCodec:
             step = max(1, 400_000 // (length * (length if length < 64 else 64)))
             for i in range(0, len(same), step):
                 group = same[i : i + step]
+                kept = self.fresh if length <= LONG else self.passing
                 for word, found in zip(group, self._segment(group, length), strict=True):
                     ids: list[int] = []
                     for place, at in found:
@@ -217,12 +268,12 @@ class PieceCodec:
                             ids += [self.byte_ids[b] for b in word[at].encode("utf-8", "replace")]
                         else:
                             ids.append(self.unknown)
-                    self.fresh[word] = np.array(ids, np.int32).tobytes()
+                    kept[word] = np.array(ids, np.int32).tobytes()
 
     def _segment(self, words: list[str], length: int) -> list[list[tuple[int, int]]]:
         if self.algorithm == UNIGRAM:
             return self.viterbi(words, length)
-        return self.merges(words, length)
+        return self.merges(words, length) if length <= LONG else [self.heap_merges(w) for w in words]
 
     def _words(self, text: str) -> list[str]:
         if not text:
@@ -250,7 +301,14 @@ class PieceCodec:
         if self._wanted:
             self._learn(self._wanted)
             self._wanted = set()
-        return [b"".join([self._known(w) for w in x]) if isinstance(x, list) else x for x in out]
+        for i, words in enumerate(out):
+            if isinstance(words, list):
+                try:
+                    out[i] = b"".join([self.fresh[w] for w in words])
+                except KeyError:
+                    out[i] = b"".join([self._known(w) for w in words])
+        self.passing = {}
+        return out
 
     _wanted: set[str] = set()
 
@@ -258,11 +316,37 @@ class PieceCodec:
         found = self.fresh.get(word)
         if found is None:
             found = self.stale.get(word)
+        if found is None:
+            found = self.passing.get(word)
         if found is None:
             self._learn([word])
-            found = self.fresh[word]
+            found = self.fresh[word] if len(word) <= LONG else self.passing[word]
         return found
 
+    def decode_batch(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """Texts of rows of ids: row ``i`` has ``ids[offsets[i]:offsets[i + 1]]``."""
+        if self._pool is None:
+            parts = [x or b"" for x in self.bytes_of]
+            sizes = np.array([len(x) for x in parts], np.int64)
+            self._pool = np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes
+        pool, starts, sizes = self._pool
+        out: list[str] = []
+        first = 0
+        while first < len(offsets) - 1:
+            # Some rows at a time: about a million ids, or one longer row.
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + (1 << 20), "right")) - 1)
+            part = ids[offsets[first] : offsets[last]]
+            size = sizes[part]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            data = pool[np.repeat(starts[part] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+            cuts = ends[offsets[first : last + 1] - offsets[first]].tolist()
+            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
+            out += [t[1:] if t[:1] == " " else t for t in texts]
+            first = last
+        return out
+
+    _pool: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join([x for x in map(self.bytes_of.__getitem__, ids) if x]).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
@@ -337,10 +421,13 @@ def encode(text: Column, path: str, algorithm: str | None = None) -> Column:
 
 
 def decode(ids: Column, path: str) -> Column:
+    """The text of each array of piece ids; null for a null array."""
+
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(path)
         for batch in batches:
-            yield pa.array([None if x is None else codec.decode(x) for x in batch.to_pylist()], pa.string())
+            found = codec.decode_batch(batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy().astype(np.int64))
+            yield pa.array([t if known else None for t, known in zip(found, batch.is_valid().to_pylist(), strict=True)], pa.string())
 
     return texts(ids)

@@ -77,8 +77,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = docs.select("doc_id", pieces.encode(F.col("text"), _vocabulary("piece_bpe_32k.model")).alias("ids"))
-    return ids.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids")
+    path = _vocabulary("piece_bpe_32k.model")
+    ids = docs.select("doc_id", pieces.encode(F.col("text"), path).alias("ids"))
+    again = ids.select("doc_id", "ids", pieces.decode(F.col("ids"), path).alias("decoded"))
+    return again.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", F.md5("decoded").alias("decoded_md5"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -133,3 +134,25 @@ def test_pieces_as_columns(docs, no_docs, vocabulary, processor):
     for r in rows:
         assert r["ids"] == (None if r["text"] is None else processor.encode(r["text"])) and r["again"] == r["text"]
     assert no_docs.select(pieces.encode(F.col("text"), path)).count() == 0
+
+
+def test_words_without_spaces(codec, processor):
+    """Long words are merged by a heap; the ids are the library's, and 40,000 letters take no second."""
+    rng = random.Random(12)
+    letters = ["abcdet", "日本語中a", "aab", "thein", "ab😀", "ABCDabcd0123+/"]
+    words = ["".join(rng.choices(rng.choice(letters), k=rng.randint(pieces.LONG - 3, 300))) for _ in range(600)]
+    words += ["".join(rng.choices(x, k=40_000)) for x in letters]
+    texts = [*words, words[0] + " and " + words[1]]
+    began = time.perf_counter()
+    found = codec.encode_batch(texts)
+    assert time.perf_counter() - began < 10
+    assert [np.frombuffer(x, np.int32).tolist() for x in found] == processor.encode(texts)
+    assert max(map(len, [*codec.fresh, ""])) <= pieces.LONG and not codec.passing
+
+
+def test_decoding_in_batches(codec, processor):
+    rng = random.Random(5)
+    rows = [[rng.randrange(3, processor.vocab_size()) for _ in range(rng.randint(0, 50))] for _ in range(300)] + [[], [1, 2, 5]]
+    flat = np.array([i for r in rows for i in r], np.int32)
+    assert codec.decode_batch(flat, np.cumsum([0, *map(len, rows)])) == [codec.decode(r) for r in rows]
+    assert codec.decode_batch(np.zeros(0, np.int32), np.array([0])) == []
