@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assonance.llm.neighbours import Tree, inner_products, search
+from assonance.llm.neighbours import Shard, Tree, inner_products, search
 
 
 def by_hand(rows, k):
@@ -45,3 +45,41 @@ def test_pruning_and_recall():
         hits = np.mean([len(set(j[q == i]) & set(truth[i])) / 10 for i in range(len(queries))])
         assert hits >= least
     assert work[3.0] <= work[1.0] < 0.3 * len(points) * len(queries)
+
+
+@pytest.mark.parametrize("scale", [1e-100, 1e-3, 1.0, 1e4, 1e7, 1e150])
+def test_copies_of_a_longest_vector(scale):
+    """Ties go to the smallest ids however long the vectors are."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    copies = rng.choice(3000, 600, replace=False)
+    x[copies] = x[copies[0]]
+    x *= scale
+    ids = rng.permutation(3000)
+    shard, asked = Shard(ids, x, 20), ids % 20 == 0
+    q, found, score = shard.nearest(ids[asked], x[asked], 1.0)
+    for i in ids[asked]:
+        row = x[ids == i]
+        s = inner_products(np.repeat(row, len(x), 0), x)
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:20]
+        assert found[q == i].tolist() == ids[order].tolist() and score[q == i].tolist() == s[order].tolist()
+
+
+def test_one_very_long_vector():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 16))
+    x[77] *= 1e8
+    ids = np.arange(3000)
+    q, found, _ = Shard(ids, x, 10).nearest(ids[::20], x[::20], 1.0)
+    for i in ids[::20]:
+        s = inner_products(np.repeat(x[i : i + 1], 3000, 0), x)
+        assert found[q == i].tolist() == [j for j in np.lexsort((ids, -s)) if j != i][:10]
+
+
+def test_a_vector_is_shuffled_once(spark):
+    """However many blocks the queries make, rows are sent once and queries once per shard."""
+    rng = np.random.default_rng(1)
+    frame = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    plan = search(frame, F.col("vec_id") % 20 == 0, k=3, shard_rows=50, block_rows=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
