@@ -3,8 +3,9 @@
 First each task contracts up to ``LOCAL_EDGES`` edges to stars by union-find,
 which leaves at most one edge per node and task; of small graphs one task
 then has the result.  Otherwise the stars of all tasks are contracted further:
-every step is an aggregation to a minimum and an equi-join, so no task holds
-the neighbours of a node together, and the driver sees two numbers per round.
+every step is an aggregation to a minimum and an equi-join.  The neighbours of
+a node are counted by that aggregation, and the join deals those of a hub over
+many tasks.  The driver sees two numbers per round.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assonance.plans.durable import durable
-
+from assonance.plans.joins import HOT_ROWS, skewed_join
 
 #: Edges that one task contracts; it bounds the task's memory.
 LOCAL_EDGES = 500_000
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(batches: Iterator[pa.RecordBatch], most: int = 4 * LOCAL_EDGES) -> Iterator[pa.RecordBatch]:
     parent: dict = {}
 
     def find(x):
@@ -33,6 +34,13 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = root, parent[x]
         return root
 
+    def stars(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        found = [(x, find(x)) for x in list(parent)]
+        found = [s for s in found if s[0] != s[1]]
+        parent.clear()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*found, strict=True)], names=["u", "v"])
+
     kind = None
     for batch in batches:
         kind = batch.schema.field(0).type
@@ -40,10 +48,11 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = find(u), find(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    stars = [(x, find(x)) for x in list(parent)]
-    stars = [s for s in stars if s[0] != s[1]]
-    if stars:
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*stars, strict=True)], names=["u", "v"])
+        # However many edges a task is given, it holds so many nodes: what is given out is a forest of its part.
+        if len(parent) > most:
+            yield from stars(kind)
+    if parent:
+        yield from stars(kind)
 
 
 def _contracted(edges: DataFrame, count: int, local: int) -> DataFrame:
@@ -58,20 +67,25 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(part)).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _to_low(edges: DataFrame, least: DataFrame, hot_rows: int) -> DataFrame:
+    """``edges`` with ``low`` of their ``u``; ``least`` has also how many neighbours each ``u`` has (``n``)."""
+    return skewed_join(edges, least.select("u", "low"), ["u"], hot_rows=hot_rows, spread=F.xxhash64("v"), counts=least.select("u", "n"))
+
+
+def _large_star(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    return both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    low = durable(both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).select("u", F.least("u", "low").alias("low"), "n"))
+    return _to_low(both.where(F.col("v") > F.col("u")), low, hot_rows).select(F.col("v").alias("u"), F.col("low").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("low"))
-    moved = down.join(low, "u").where(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v"))
+    low = durable(down.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")))
+    moved = _to_low(down, low, hot_rows).where(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.union(low.select("u", F.col("low").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60, local: int = LOCAL_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60, local: int = LOCAL_EDGES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``node`` and ``component`` (the least node that can be reached) of every node that has an edge to another.
 
     Nodes may be of any ordered type.  Edges with a null end and loops count
@@ -84,7 +98,7 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60, loc
     if count > local:
         before = _signature(now)
         for _ in range(rounds):
-            now = durable(_small_star(_large_star(now)))
+            now = durable(_small_star(durable(_large_star(now, hot_rows)), hot_rows))
             after = _signature(now)
             if after == before:
                 break

@@ -1,4 +1,4 @@
-"""Equi-joins whose broadcast side is counted first, with a salted way beyond the bound."""
+"""Equi-joins whose broadcast side is measured first, with a salted way beyond the bound."""
 
 from __future__ import annotations
 
@@ -7,8 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-SALTS = 64
+from assonance.plans.durable import durable
+
+#: What a broadcast side may hold.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: A key of more rows than this is hot: its rows are dealt over as many tasks as it has times so many, but at most ``SALTS``.
+HOT_ROWS, SALTS = 1_000, 4_096
+#: Hot keys that are broadcast: the hottest, if there are more.
+HOT_KEYS = 20_000
 
 
 def bounded_join(
@@ -20,17 +26,47 @@ def bounded_join(
     spread: Column | None = None,
     limit: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    right_bytes: int = 0,
 ) -> DataFrame:
-    """Join ``left`` to the dimension ``right``, of which ``right_rows`` were counted.
+    """Join ``left`` to the dimension ``right``, of which ``right_rows`` (and ``right_bytes``) were measured.
 
-    Up to ``limit`` rows the right side is broadcast.  Beyond it the right side
-    is repeated once per salt and the left side dealt over the salts by
-    ``spread`` (default: a hash of its row), so that a hot key meets in
-    ``salts`` tasks and not in one.
+    Up to ``limit`` rows and ``BROADCAST_BYTES`` the right side is broadcast;
+    beyond that it is a ``skewed_join``.
     """
-    if right_rows <= limit:
+    if right_rows <= limit and right_bytes <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), list(on), how)
+    return skewed_join(left, right, on, how, spread, salts=salts)
+
+
+def skewed_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    spread: Column | None = None,
+    hot_rows: int = HOT_ROWS,
+    salts: int = SALTS,
+    counts: DataFrame | None = None,
+) -> DataFrame:
+    """A shuffled join in which no hot key of ``left`` meets in one task.
+
+    Keys of over ``hot_rows`` rows are found by an aggregation (or given as
+    ``counts``: the keys and ``n``).  Rows of such a key are dealt over salts
+    by ``spread`` (default: a hash of the row), and only the right rows of
+    those keys are repeated, once per salt.
+    """
+    on = list(on)
+    counts = left.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = counts.where(F.col("n") > hot_rows).select(*on, F.least(F.ceil(F.col("n") / hot_rows), F.lit(salts)).cast("int").alias("__salts"))
+    hot = durable(hot)
+    n_hot = hot.count()
+    if not n_hot:
+        return left.join(right, on, how)
+    if n_hot > HOT_KEYS:
+        hot = durable(hot.orderBy(F.desc("__salts")).limit(HOT_KEYS))
     spread = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]) if spread is None else spread
-    salted = left.withColumn("__salt", F.pmod(spread, F.lit(salts)).cast("int"))
-    repeated = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Hashed once more: rows of one task must not agree in the salt.
+    salt = F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread, F.lit(41)), F.col("__salts"))).cast("int")
+    salted = left.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).drop("__salts")
+    repeated = right.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
     return salted.join(repeated, [*on, "__salt"], how).drop("__salt")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assonance.plans.components import connected_components
-from assonance.plans.joins import bounded_join
+from assonance.plans.joins import bounded_join, skewed_join
 from assonance.plans.ordinal import with_ordinal
 
 
@@ -54,3 +54,42 @@ def test_bounded_join(spark, limit, how):
     got = bounded_join(left, right, ["k"], how, 2, limit=limit, salts=8)
     want = left.join(right, "k", how)
     assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_skewed_join(spark, how):
+    left = spark.createDataFrame([(i, "hot" if i % 4 else f"k{i}") for i in range(400)] + [(-1, None)], "i int, k string")
+    right = spark.createDataFrame([("hot", 1), ("hot", 3), ("k4", 2), (None, 9)], "k string, v int")
+    got, want = skewed_join(left, right, ["k"], how, hot_rows=20), left.join(right, "k", how)
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_a_hot_key_is_dealt_over_tasks(spark):
+    left, right = spark.range(4000).selectExpr("id as i", "0 as k"), spark.createDataFrame([(0, "x")], "k int, v string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = skewed_join(left, right.hint("merge"), ["k"], hot_rows=100).groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 3000
+
+
+def test_components_of_a_hub(spark):
+    edges = [(1, i) for i in range(2, 400)] + [(i, 10_000 - i) for i in range(2, 400)]
+    got = connected_components(spark.createDataFrame(edges, "x long, y long").repartition(6), "x", "y", local=40, hot_rows=20)
+    assert {r["component"] for r in got.collect()} == {1} and got.count() == 797
+
+
+def test_running_sums(spark):
+    frame = spark.range(300).select((F.col("id") * 7919 % 300).alias("k"))
+    got = with_ordinal(frame.repartition(5), "at", F.asc("k"), weight=F.col("k")).collect()
+    assert sorted((r["k"], r["at"]) for r in got) == [(k, k * (k - 1) // 2) for k in range(300)]
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    from types import SimpleNamespace
+
+    from assonance.plans import durable
+
+    gone = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True))
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: gone))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        durable.shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))
