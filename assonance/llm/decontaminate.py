@@ -9,15 +9,25 @@ A training text is scanned in two steps.  Every occurrence of a window of
 ``w + 1 - ceil(w/2)``-th word of the text, so only those blocks are hashed and
 probed against the set of all such grams of all windows.  Texts with a block
 in the set (few, in clean corpora) are scanned at every word; window hashes
-meet the broadcast windows, and a hit counts only if the words are equal.
+meet the windows, and a hit counts only if the words are equal.
+
+The set is part of the plan, and its size is known before: up to ``SET_LIMIT``
+hashes as a hash set, up to ``BLOOM_LIMIT`` as a Bloom filter of ``BLOOM_BITS``
+bits each, which lets through one block in a thousand more.  For a larger
+benchmark it is the hashes of the blocks that become rows, and meet the grams
+in a join; texts don't.
 
 Null or wordless texts have no words and no hits; repeated rows are judged
-each for itself; items without id hit words but can't be named; an empty
-benchmark hits nothing; further columns are carried along.
+each for itself; very long texts are scanned whole, in steps that grow with
+their words; items without id hit words but can't be named; an empty
+benchmark hits nothing; an empty table gives no rows; further columns are
+carried along whatever they are called.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +36,12 @@ from assonance.plans.durable import durable
 from assonance.plans.joins import bounded_join
 
 WINDOW = 13
-#: Grams that are put into the plan as a hash set (8 bytes each); beyond it they are joined by a shuffle.
-SET_LIMIT = 400_000
+#: Hashes that are put into the plan as a hash set, and as a Bloom filter of so many bits and probes a hash.
+SET_LIMIT, BLOOM_LIMIT = 200_000, 4_000_000
+BLOOM_BITS, BLOOM_PROBES = 20, 4
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same runs in a text whose A-Z are still there.
+WORD_AS_WRITTEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,58 +75,116 @@ def _block(length: int) -> tuple[int, int]:
     return gram, length + 1 - gram
 
 
+def _bloom_places(h: Column, bits: int) -> list[Column]:
+    """Bits that stand for a hash."""
+    return [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(bits)) for i in range(BLOOM_PROBES)]
+
+
+def _known(hashes: DataFrame, n: int, set_limit: int, bloom_limit: int) -> Callable[[Column], Column] | None:
+    """A test whether a hash may be one of the ``n`` of ``hashes``; None if they are too many for the plan."""
+    if not n:
+        return lambda h: F.lit(False)
+    if n <= set_limit:
+        found = [r[0] for r in hashes.collect()]
+        return lambda h: h.isin(found)
+    if n > bloom_limit:
+        return None
+    bits = 64 * -(-n * BLOOM_BITS // 64)
+    set_ = hashes.select(F.explode(F.array(*_bloom_places(F.col(hashes.columns[0]), bits))).alias("bit"))
+    of_word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int")))
+    filled = {r[0]: r[1] for r in set_.groupBy(F.floor(F.col("bit") / 64).cast("long").alias("word")).agg(of_word).collect()}
+    # A constant: the optimizer reads the text once, and the plan has an array of longs.
+    table = F.from_json(F.lit("[" + ",".join(str(filled.get(i, 0)) for i in range(bits // 64)) + "]"), "array<bigint>")
+
+    def test(h: Column) -> Column:
+        out = F.lit(True)
+        for bit in _bloom_places(h, bits):
+            word = F.get(table, F.floor(bit / 64).cast("int"))
+            out = out & (F.call_function("shiftright", word, F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        return out
+
+    return test
+
+
 class _Scan:
-    """The hash sets of one benchmark, and the columns that find them in a text's words."""
+    """The windows of one benchmark, and the columns that find them in a text's words."""
 
-    def __init__(self, benchmark: DataFrame, item: str, item_text: str, window: int, set_limit: int) -> None:
+    def __init__(self, benchmark: DataFrame, item: str, item_text: str, window: int, set_limit: int, bloom_limit: int) -> None:
         self.table = durable(benchmark_windows(benchmark, item, item_text, window))
-        self.n_windows = self.table.count()
-        self.lengths = sorted(r[0] for r in self.table.select("length").distinct().collect())
-        self.in_sets = self.n_windows * (window + 1) <= set_limit
+        size = F.sum(F.length(F.array_join("words", " ")) + F.coalesce(F.length(F.array_join("items", " ")), F.lit(0)))
+        per_length = self.table.groupBy("length").agg(F.count("*"), size).collect()
+        self.lengths = sorted(r[0] for r in per_length)
+        self.n_windows, self.n_bytes = sum(r[1] for r in per_length), sum(r[2] for r in per_length)
+        self.grams, self.may_block, self.may_window = {}, {}, {}
+        for length in self.lengths:
+            gram, _ = _block(length)
+            inside = F.transform(_starts(F.lit(length), gram), lambda i: F.xxhash64(F.slice("words", i, gram)))  # noqa: B023
+            here = self.table.where(F.col("length") == length)
+            grams = durable(here.select(F.explode(inside).alias("gram")).distinct())
+            windows = here.select("hash").distinct()
+            self.grams[length] = grams
+            self.may_block[length] = _known(grams, grams.count(), set_limit, bloom_limit)
+            self.may_window[length] = _known(windows, windows.count(), set_limit, bloom_limit)
+        self.in_plan = all(f is not None for f in [*self.may_block.values(), *self.may_window.values()])
+
+    def blocks(self, w: Column, length: int) -> Column:
+        """Hashes of the blocks of a text of which every window of ``length`` words spans one."""
+        gram, step = _block(length)
+        return F.transform(_starts(F.size(w), gram, step), lambda i: F.xxhash64(F.slice(w, i, gram)))
 
     def possible(self, w: Column) -> Column:
         """Whether some window may occur: true for every text in which one does."""
         out = F.lit(False)
-        for length in self.lengths if self.in_sets else ():
+        for length in self.lengths:
             gram, step = _block(length)
-            inside = F.transform(_starts(F.lit(length), gram), lambda i: F.xxhash64(F.slice("words", i, gram)))  # noqa: B023
-            grams = self.table.where(F.col("length") == length).select(F.explode(inside).alias("g")).distinct()
-            known = [r[0] for r in grams.collect()]
-            out = out | F.exists(_starts(F.size(w), gram, step), lambda i: F.xxhash64(F.slice(w, i, gram)).isin(known))  # noqa: B023
-        return out if self.in_sets else F.lit(bool(self.n_windows))
+            known = self.may_block[length]
+            out = out | F.exists(_starts(F.size(w), gram, step), lambda i: known(F.xxhash64(F.slice(w, i, gram))))  # noqa: B023
+        return out
 
     def probes(self, w: Column) -> Column:
-        """Places, lengths and hashes of the windows of a text that are in the set."""
+        """Places and words of what may be a window."""
         found = []
         for length in self.lengths:
-            at = _starts(F.size(w), length)
-            if self.in_sets:
-                known = [r[0] for r in self.table.where(F.col("length") == length).select("hash").distinct().collect()]
-                at = F.filter(at, lambda i: F.xxhash64(F.slice(w, i, length)).isin(known))  # noqa: B023
+            known = self.may_window[length] or (lambda h: F.lit(True))
+            at = F.filter(_starts(F.size(w), length), lambda i: known(F.xxhash64(F.slice(w, i, length))))  # noqa: B023
             found.append(F.transform(at, lambda i: F.struct(i.alias("at"), F.slice(w, i, length).alias("here"))))  # noqa: B023
         return F.concat(*found) if found else F.array().cast(_PROBES)
 
+    def marked(self, rows: DataFrame, text: Column) -> DataFrame:
+        """``rows`` (``id`` and others) with ``may``: whether some window may occur in ``text``."""
+        if self.in_plan:
+            return rows.withColumn("may", bind(words(text), self.possible))
+        met = None
+        for length in self.lengths:
+            each = rows.select("id", F.explode(bind(words(text), lambda w: self.blocks(w, length))).alias("gram"))  # noqa: B023
+            hit = each.join(self.grams[length].hint("shuffle_hash"), "gram", "left_semi").select("id").distinct()
+            met = hit if met is None else met.union(hit)
+        met = durable(met.distinct())
+        return bounded_join(rows, met.withColumn("may", F.lit(True)), ["id"], "left", met.count()).withColumn("may", F.coalesce("may", F.lit(False)))
+
     def verified(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (``id``, ``row``, ``n_words``, ``probes``) with the probes that truly hit as ``spans`` and ``items``."""
-        each = rows.select("id", "row", "n_words", F.explode_outer("probes").alias("p"))
-        each = each.select("id", "row", "n_words", "p.at", "p.here", F.size("p.here").alias("length"), F.xxhash64("p.here").alias("hash"))
-        met = bounded_join(each, self.table, ["length", "hash"], "left", self.n_windows, spread=F.xxhash64("id", "at"))
-        hit = F.when(F.col("here") == F.col("words"), F.struct("at", (F.col("at") + F.col("length")).alias("end"), "items"))
-        found = met.groupBy("id").agg(F.first("row").alias("row"), F.first("n_words").alias("n_words"), F.collect_list(hit).alias("hits"))
-        items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-        return found.select("id", "row", "n_words", _merged(F.col("hits")).alias("spans"), items.alias("items"))
+        """``id``, ``spans`` and ``items`` of those of ``rows`` (``id``, ``probes``) that some window truly hits."""
+        each = rows.select("id", F.explode("probes").alias("p"))
+        each = each.select("id", "p.at", "p.here", F.size("p.here").alias("length"), F.xxhash64("p.here").alias("hash"))
+        met = bounded_join(each, self.table, ["length", "hash"], "inner", self.n_windows, spread=F.xxhash64("id", "at"), right_bytes=self.n_bytes)
+        met = met.where(F.col("here") == F.col("words"))
+        hit = F.struct("at", (F.col("at") + F.col("length")).alias("end"))
+        found = met.groupBy("id").agg(F.collect_list(hit).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        return found.select("id", _merged(F.col("hits")).alias("spans"), F.array_sort("items").alias("items"))
 
 
 _PROBES = "array<struct<at:int,here:array<string>>>"
+_SPANS = "array<struct<start:int,end:int>>"
 
 
 def _scanned(rows: DataFrame, text: Column, scan: _Scan) -> DataFrame:
-    """``rows`` (``id``, ``row``) with the words of ``text`` counted and probed."""
-
-    def look(w: Column) -> Column:
-        probes = F.when(scan.possible(w), scan.probes(w)).otherwise(F.array().cast(_PROBES))
-        return F.struct(F.size(w).cast("long").alias("n_words"), probes.alias("probes"))
-
+    """``id`` and ``row`` with the words of ``text`` counted and probed."""
+    none = F.array().cast(_PROBES)
+    if scan.in_plan:
+        look = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.when(scan.possible(w), scan.probes(w)).otherwise(none).alias("probes"))
+    else:
+        rows = scan.marked(rows, text)
+        look = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.when(F.col("may"), scan.probes(w)).otherwise(none).alias("probes"))
     return rows.select("id", "row", bind(words(text), look).alias("x")).select("id", "row", "x.n_words", "x.probes")
 
 
@@ -126,32 +197,42 @@ def find_hits(
     item_text: str = "text",
     window: int = WINDOW,
     set_limit: int = SET_LIMIT,
+    bloom_limit: int = BLOOM_LIMIT,
 ) -> DataFrame:
     """Columns ``row`` (the columns ``keep`` of the document as a struct), ``n_words``, ``spans`` and ``items``.
 
     ``spans`` are the sorted, disjoint word ranges [start, end) that some
     window covers, counted from 0; ``items`` the sorted ids of the items met.
-    By default all columns but the text are kept: what is kept is shuffled.
+    By default all columns but the text are kept.  What is kept is stored
+    once; only rows in which something was found are shuffled.
     """
-    scan = _Scan(benchmark, item, item_text, window, set_limit)
+    scan = _Scan(benchmark, item, item_text, window, set_limit, bloom_limit)
     keep = [c for c in documents.columns if c != text] if keep is None else keep
     row = F.struct(*[F.col(f"`{c}`") for c in keep])
-    rows = documents.withColumns({"__id": F.monotonically_increasing_id(), "__row": row, "__text": F.col(f"`{text}`")})
-    return scan.verified(_scanned(rows.select(F.col("__id").alias("id"), F.col("__row").alias("row"), "__text"), F.col("__text"), scan)).drop("id")
+    rows = _numbered(documents.select(row.alias("row"), F.col(f"`{text}`").alias("body")), scan)
+    looked = durable(_scanned(rows, F.col("body"), scan))
+    none = looked.where(F.size("probes") == 0).select("row", "n_words", F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    some = looked.where(F.size("probes") > 0)
+    met = some.select("id", "row", "n_words").join(scan.verified(some), "id", "left")
+    return none.union(met.select("row", "n_words", F.coalesce("spans", F.array().cast(_SPANS)), F.coalesce("items", F.array().cast("array<string>"))))
+
+
+def _numbered(rows: DataFrame, scan: _Scan) -> DataFrame:
+    """``rows`` with an ``id``; stored first where they are read more than once, since the numbers depend on the reading."""
+    numbered = rows.withColumn("id", F.monotonically_increasing_id())
+    return numbered if scan.in_plan else durable(numbered)
 
 
 def _merged(hits: Column) -> Column:
-    """Word ranges of overlapping or touching hits as one, from 0."""
-    kind = "array<struct<start:int,end:int>>"
-    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    """Word ranges of overlapping or touching hits as one, from 0: the runs of the places that hits cover."""
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["at"] - 1, h["end"] - 2)))))
 
-    def add(out: Column, h: Column) -> Column:
-        last = F.element_at(out, -1)
-        grown = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(span(last["start"], F.greatest(last["end"], h["end"]))))
-        return F.when((F.size(out) > 0) & (F.coalesce(F.try_element_at(out, F.lit(-1))["end"], F.lit(-1)) >= h["start"]), grown).otherwise(F.concat(out, F.array(span(h["start"], h["end"]))))
+    def runs(p: Column) -> Column:
+        first = F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1) < x - 1))
+        last = F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) > x + 1))
+        return F.zip_with(first, last, lambda a, b: F.struct(a.cast("int").alias("start"), (b + 1).cast("int").alias("end")))
 
-    ordered = F.array_sort(F.array_distinct(F.transform(hits, lambda h: span(h["at"] - 1, h["end"] - 1))))
-    return F.aggregate(ordered, F.array().cast(kind), add)
+    return bind(covered, runs)
 
 
 def n_hit(spans: Column) -> Column:
@@ -163,45 +244,50 @@ def contaminated(spans: Column, n_words: Column) -> Column:
     return (n_hit(spans) > 0) & (20 * n_hit(spans) >= n_words)
 
 
-def _judged(documents: DataFrame, benchmark: DataFrame, text: str, item: str = "item_id", item_text: str = "text", window: int = WINDOW, set_limit: int = SET_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """``row`` of the texts that can't hold a window, and ``row``, ``n_words``, ``spans`` of the others.
+def _judged(
+    documents: DataFrame, benchmark: DataFrame, text: str, item: str = "item_id", item_text: str = "text", window: int = WINDOW,
+    set_limit: int = SET_LIMIT, bloom_limit: int = BLOOM_LIMIT,
+) -> tuple[DataFrame, DataFrame]:
+    """``row`` of the texts that can't hold a window, and ``row``, ``n_words``, ``spans`` of those that a window hits.
 
-    Only the others, stored once, are shuffled with their texts.
+    Only what may hold one is stored once and then shuffled.
     """
-    scan = _Scan(benchmark, item, item_text, window, set_limit)
+    scan = _Scan(benchmark, item, item_text, window, set_limit, bloom_limit)
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
-    rows = documents.select(row, bind(words(F.col(f"`{text}`")), scan.possible).alias("may"))
+    rows = scan.marked(_numbered(documents.select(row), scan), F.col(f"row.`{text}`"))
     held = durable(rows.where("may").select("row", F.monotonically_increasing_id().alias("id")))
-    slim = _scanned(held.select("id", F.struct("id").alias("row"), F.col(f"row.`{text}`").alias("body")), F.col("body"), scan)
-    return rows.where(~F.col("may")).select("row"), held.join(scan.verified(slim).select("id", "n_words", "spans"), "id")
+    looked = held.select("id", bind(words(F.col(f"row.`{text}`")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), scan.probes(w).alias("probes"))).alias("x"))
+    looked = durable(looked.select("id", "x.n_words", "x.probes").where(F.size("probes") > 0))
+    hit = looked.select("id", "n_words").join(scan.verified(looked), "id").select("id", "n_words", "spans")
+    return rows.where(~F.col("may")).select("row"), held.join(hit, "id", "left")
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that aren't contaminated, with their columns."""
     clean, judged = _judged(documents, benchmark, text, **options)
-    return clean.union(judged.where(~contaminated(F.col("spans"), F.col("n_words"))).select("row")).select("row.*")
+    gone = F.coalesce(contaminated(F.col("spans"), F.col("n_words")), F.lit(False))
+    return clean.union(judged.where(~gone).select("row")).select("row.*")
 
 
 def cut_spans(documents: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """All documents with their columns; the words of hit spans, and what stands between those, are cut from the text."""
     clean, judged = _judged(documents, benchmark, text, **options)
     body = F.col(f"row.`{text}`")
-    plain = F.translate(body, UPPER, LOWER)
+    # One flag per word: what the spans cover, as runs beside each other.
+    end_before = lambda i: F.when(i > 0, F.get("spans", i - 1)["end"]).otherwise(0)
+    runs = F.transform("spans", lambda s, i: F.concat(F.array_repeat(F.lit(False), s["start"] - end_before(i)), F.array_repeat(F.lit(True), s["end"] - s["start"])))
+    rest = F.array_repeat(F.lit(False), (F.col("n_words") - F.element_at("spans", -1)["end"]).cast("int"))
     # gaps[i] stands before word i; the last one ends the text.
-    parts = judged.withColumn("gaps", F.transform(F.split(plain, WORD), lambda g: F.length(g))).withColumn(
-        "sizes", F.transform(words(body), lambda x: F.length(x))
+    parts = F.struct(
+        F.split(F.translate(body, UPPER, LOWER), WORD).alias("gaps"), F.regexp_extract_all(body, F.lit(WORD_AS_WRITTEN), F.lit(0)).alias("words"), F.concat(F.flatten(runs), rest).alias("hit")
     )
-    inside = lambda i: F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"]))
-
-    def step(acc: Column, i: Column) -> Column:
-        gap, size = F.element_at("gaps", i + 1), F.element_at("sizes", i + 1)
-        before = F.when(inside(i) & inside(i - 1), F.lit("")).otherwise(F.substring(body, acc["at"] + 1, gap))
-        word = F.when(inside(i), F.lit("")).otherwise(F.substring(body, acc["at"] + gap + 1, size))
-        return F.struct((acc["at"] + gap + size).alias("at"), F.concat(acc["out"], before, word).alias("out"))
-
-    n = F.size("sizes")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda acc: F.concat(acc["out"], F.expr(f"substring(row.`{text}`, 1 + aggregate(gaps, 0, (a, g) -> a + g) - element_at(gaps, -1) + aggregate(sizes, 0, (a, g) -> a + g))")))
-    cut = parts.withColumn("cut", F.when((F.size("spans") > 0) & (n > 0), done).otherwise(body))
+
+    def joined(d: Column) -> Column:
+        after_hit = lambda i: F.coalesce(F.get(d["hit"], i - 1), F.lit(False))
+        word = lambda i: F.when(F.get(d["hit"], i), F.lit("")).otherwise(F.get(d["words"], i))
+        gap = lambda g, i: F.when(F.coalesce(F.get(d["hit"], i), F.lit(False)) & after_hit(i), F.lit("")).otherwise(g)
+        return F.array_join(F.transform(d["gaps"], lambda g, i: F.concat(gap(g, i), F.coalesce(word(i), F.lit("")))), "")
+
+    cut = judged.withColumn("cut", F.when(F.size("spans") > 0, bind(parts, joined)).otherwise(body))
     whole = cut.select(*[(F.col("cut") if c == text else F.col(f"row.`{c}`")).alias(c) for c in documents.columns])
     return clean.select("row.*").union(whole)

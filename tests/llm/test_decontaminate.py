@@ -68,3 +68,40 @@ def test_long_text_with_a_passage_at_its_end(spark):
     docs = spark.createDataFrame([(1, " ".join(f"n{i}" for i in range(40_000)) + " " + passage)], "doc_id long, text string")
     row = find_hits(docs, spark.createDataFrame([(5, passage)], "item_id long, text string")).first()
     assert [tuple(s) for s in row["spans"]] == [(40_000, 40_013)] and row["items"] == ["5"]
+
+
+@pytest.mark.parametrize("limits", [{"set_limit": 0}, {"set_limit": 0, "bloom_limit": 0}])
+def test_larger_benchmarks_give_the_same(spark, case, limits):
+    """A Bloom filter in the plan, and blocks that meet the grams in a join."""
+    docs, items = case
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = find_hits(*frames, window=5, **limits)
+    assert {r[0]: (r[1], r[2], r[3]) for r in found.select("row.doc_id", "n_words", n_hit(F.col("spans")), "items").collect()} == by_hand(docs, items, 5)
+    for act in (drop_contaminated, cut_spans):
+        assert sorted(map(tuple, act(*frames, window=5, **limits).collect())) == sorted(map(tuple, act(*frames, window=5).collect()))
+
+
+def test_half_a_million_windows(spark):
+    """The two-step probe holds at a benchmark of half a million windows."""
+    bench = spark.range(1000).selectExpr("id as item_id", "array_join(transform(sequence(0, 511), i -> concat('b', hex(xxhash64(id, i)))), ' ') as text")
+    passage = bench.where("item_id = 77").first()["text"].split(" ")
+    docs = [(1, "x " * 50 + " ".join(passage[200:213]) + " y" * 60), (2, "z " * 300), (3, " ".join(passage[:12]))]
+    found = find_hits(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert "bloom" not in found.columns
+    assert {r[0]: (r[1], r[2]) for r in found.select("row.doc_id", n_hit(F.col("spans")), "items").collect()} == {1: (13, ["77"]), 2: (0, []), 3: (0, [])}
+
+
+def test_cutting_long_texts(spark):
+    """As a plain loop over words and gaps cuts them."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [" ".join(rng.choice([f"N{i},", f"n{i}", passage, passage.upper(), " ".join(passage.split()[3:9])]) for i in range(rng.randint(0, 40))) for _ in range(40)]
+    texts.append(" ".join(f"n{i}" for i in range(20_000)) + " " + passage + "!")
+    got = {r[0]: r[1] for r in cut_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()}
+    grams = {tuple(passage.split()[i : i + 13]) for i in range(18)}
+    for i, text in enumerate(texts):
+        words, gaps = re.findall(r"[A-Za-z0-9]+", text), re.split(r"[A-Za-z0-9]+", text)
+        low = [w.lower() for w in words]
+        hit = {j for s in range(len(low) - 12) if tuple(low[s : s + 13]) in grams for j in range(s, s + 13)}
+        out = "".join(("" if j in hit and j - 1 in hit else gaps[j]) + ("" if j in hit else w) for j, w in enumerate(words)) + gaps[-1]
+        assert got[i] == out
