@@ -8,23 +8,34 @@ have it, the presentations (sequences of child elements) and the contents
     GAMMA * (1 - mean over contents of log_m(pages with that content))
     + (1 - GAMMA) * (entropy to base m of its presentations):
 
-what says the same on every page, in the same form, has none.  Elements on at
-least ``MIN_PAGES`` pages of a host with less than ``LEAST`` are cut from all
-of its pages.  Pages of a host with equal html (by MD5) count as one page, and
-a page of which the tree would leave nothing keeps all of its text.
-
-Entropy can't see a menu whose words differ on each page, and a host of few
-pages has none to speak of.  So two things hold on every page whatever the
-counts say.  Elements whose tag, role, class or id names a menu, header,
-footer, sidebar, notice, advert, form, script, style or comments are cut; and
-if the page has an article or main element, only what is inside it is text,
-and of that the tree may cut only containers, never plain paragraphs,
-headings or lists.
+what says the same on every page, in the same form, has none.  The tree also
+holds what part of a page's text an element has and how much of that is link
+text.  An element that stands on ``MIN_PAGES`` pages is judged; it is low, and
+is cut from all pages, if its importance is under ``LEAST``, if over ``LINKS``
+of its text is link text (a menu of other words on each page), or if it stands
+beside the article with less than ``SHARE`` of the text.  Hosts of fewer than
+``MIN_HOST`` pages have no statistics of their own: they share one tree, in
+which equal paths of all of them count together.
+
+Pages of a tree with equal html (by MD5) count as one page.  Inside an article
+or main element the tree may cut only containers, never paragraphs, headings,
+lists or tables, and what is around an article can't cut it.
+
+What the tree can't tell holds on every page: elements whose tag, landmark
+role or attribute says so (script, nav, footer, form, hidden ...), and reader
+comments, whose words differ on every page, go.  Names of classes and ids
+(adverts, sidebars, notices) decide inside an article, and elsewhere only
+about elements that the tree hasn't judged; of those, nothing beside an
+article stays.  A name counts by its last word (``share-prices`` are prices),
+after words such as list or box.  A page is never cut to nothing: what leaves
+no text is undone, first the tree's cuts, then the names'.
 
 A null or empty page has an empty text.  Null hosts form one host.  Unclosed
 and truncated markup is closed at the end of the page; a tag that isn't ended
-is dropped.  Repeated rows have results of their own; an empty table gives no
-rows.  Memory: one batch of pages, and the low elements of a host.
+is dropped.  Pages may be long and deep.  Repeated rows have results of their
+own; an empty table gives no rows; further columns stay inside ``row``.
+Memory: one batch of pages, and the judged elements (up to ``VERDICTS`` in
+each worker; beyond that each page meets its own by a join).
 """
 
 from __future__ import annotations
@@ -34,6 +45,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -41,9 +53,12 @@ from pyspark.sql import functions as F
 
 from assonance.llm.batches import small_batches
 from assonance.plans.durable import durable
-from assonance.plans.joins import bounded_join
+from assonance.plans.joins import bounded_join, skewed_join
 
-GAMMA, LEAST, MIN_PAGES = 0.9, 0.4, 10
+GAMMA, LEAST, LINKS, SHARE = 0.9, 0.4, 0.6, 0.15
+MIN_PAGES, MIN_HOST = 10, 30
+#: Judged elements that every worker may hold (17 bytes each).
+VERDICTS = 1_000_000
 
 # HTML's own lists, and words that name what isn't the article.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -61,12 +76,17 @@ NOT_TEXT = frozenset(
     "head script style noscript template nav footer aside form button select textarea input iframe svg canvas object dialog menu "
     "title xmp noembed noframes audio video map".split()
 )
-NOT_TEXT_WORDS = frozenset(
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
     "sidebar footer cookie cookies consent notice notices alert popup modal newsletter subscribe subscription signup login share "
-    "sharing social comment comments commentlist disqus reply replies respond related recommended breadcrumb breadcrumbs "
-    "pagination pager widget toolbar contentinfo complementary alertdialog dialog search".split()
+    "sharing social related recommended breadcrumb breadcrumbs pagination pager widget toolbar contentinfo complementary "
+    "alertdialog dialog search".split()
 )
+#: Words of a name that say nothing behind another, and words before which a name says what isn't there.
+BEHIND = frozenset("list area section wrapper wrap container box block slot unit left right top bottom inner outer panel form item items posts articles stories".split())
+BEFORE = frozenset("no not has with without is".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody tr td th article main".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z|<([a-zA-Z][^\s/>]*)[^>]*>", re.S)
@@ -76,47 +96,80 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "noise", "inside", "children")
+    __slots__ = ("tag", "path", "parent", "noise", "named", "inside", "holds", "children", "chars", "links")
 
-    def __init__(self, tag: str, path: int, parent: Node | None, noise: bool, inside: bool) -> None:
-        self.tag, self.path, self.parent, self.noise, self.inside = tag, path, parent, noise, inside
+    def __init__(self, tag: str, path: int, parent: Node | None, noise: bool, named: bool, inside: bool) -> None:
+        self.tag, self.path, self.parent, self.noise, self.named, self.inside = tag, path, parent, noise, named, inside
         self.children: list[int] = []
+        #: Whether an article or main element is inside; characters of its own text, and of links in it.
+        self.holds, self.chars, self.links = False, 0, 0
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
+def _says(names: str) -> set[str]:
+    """The word that each name of a class or id attribute comes to."""
+    out = set()
+    for name in names.split():
+        parts = [w.lower() for w in _NAME_PART.findall(name)]
+        while len(parts) > 1 and parts[-1] in BEHIND:
+            parts.pop()
+        if parts and parts[0] not in BEFORE:
+            out.add(parts[-1])
+    return out
+
+
 def _open(tag: str, attributes: str, parent: Node) -> Node:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
-    named = f"{found.get('class', '')} {found.get('id', '')}" if found else ""
-    form = _hash(f"{tag} {_DIGITS.sub('#', ' '.join(sorted(named.split())))}") if named else _hash(tag)
-    noise = parent.noise
-    if not noise and tag not in ("html", "body", "main"):
-        words = {w.lower() for w in _NAME_PART.findall(f"{named} {found.get('role', '')}")} if found else ()
+    names = f"{found.get('class', '')} {found.get('id', '')}" if found else ""
+    form = _hash(f"{tag} {_DIGITS.sub('#', ' '.join(sorted(names.split())))}") if names else _hash(tag)
+    noise, named = parent.noise, parent.named
+    article = tag in ("article", "main")
+    if not noise and not article and tag not in ("html", "body"):
+        says = _says(names) if names else ()
         noise = (
             tag in NOT_TEXT
-            or bool(words) and not NOT_TEXT_WORDS.isdisjoint(words)
-            or not parent.inside and (tag == "header" or "header" in words)
-            or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        )
+            or tag == "header" and not parent.inside
+            or bool(found) and (
+                not COMMENTS.isdisjoint(says)
+                or found.get("role", "").lower() in ROLES
+                or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+            )
+        )
+        said = not NAMES.isdisjoint(says) or not parent.inside and "header" in says
+        named = named or said and tag not in PLAIN
     parent.children.append(form)
     path = _hash(f"{parent.path} {form}")
-    return Node(tag, path, parent, noise, parent.inside or (tag in ("article", "main") and not noise))
+    inside = parent.inside or article and not noise
+    if inside and not parent.inside:
+        # What is around an article doesn't speak for it.
+        named = False
+        around: Node | None = parent
+        while around is not None and not around.holds:
+            around.holds = True
+            around = around.parent
+    return Node(tag, path, parent, noise, named, inside)
 
 
 def blocks(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     """Blocks of text with the element each stands in, in page order, and all elements that aren't inline."""
-    root = Node("", 0, None, False, False)
+    root = Node("", 0, None, False, False, False)
     now, every, out, held = root, [], [], []
     at, size = 0, len(page)
+    in_link, linked = False, 0
 
     def flush() -> None:
+        nonlocal in_link, linked
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
                 out.append((now, text))
+                now.chars += len(text)
+                now.links += min(linked, len(text))
+        in_link, linked = False, 0
 
     def pop_to(node: Node) -> None:
         nonlocal now
@@ -131,6 +184,8 @@ def blocks(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         start, end = found.span()
         if start > at:
             held.append(page[at:start])
+            if in_link:
+                linked += start - at
         at = end
         tag = found[2] or found[4]
         if not tag:
@@ -138,6 +193,7 @@ def blocks(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         tag = tag.lower()
         if found[1]:
             if tag in INLINE or tag in VOID:
+                in_link = in_link and tag != "a"
                 continue
             node = now
             while node is not root and node.tag != tag:
@@ -153,6 +209,7 @@ def blocks(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             at = close.end() if close else size
             continue
         if tag in INLINE:
+            in_link = in_link or tag == "a"
             continue
         if tag in VOID:
             held.append(" ")
@@ -177,56 +234,94 @@ def blocks(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     return out, every
 
 
-def main_text(page: str | None, low: set[int]) -> str:
-    """The text of a page without noise and without the elements whose paths are ``low``."""
+Paths = frozenset[int] | set[int]
+TOP = ("", "html", "body")
+
+
+def main_text(page: str | None, low: Paths, known: Paths = frozenset()) -> str:
+    """The text of a page; ``low`` are the paths that the tree cuts, ``known`` (and these) those that it has judged."""
     if not page:
         return ""
     found, _ = blocks(page)
-    known: dict[int, bool] = {}
-
-    def cut(node: Node | None) -> bool:
-        """Whether the element or one around it is low; pages may nest deeper than calls can."""
-        chain = []
-        while node is not None and node.tag and id(node) not in known:
-            chain.append(node)
-            node = node.parent
-        state = known.get(id(node), False)
+    told = [(n, t) for n, t in found if not n.noise]
+    article = any(n.inside for n, _ in told)
+    states: dict[int, tuple[bool, bool]] = {}
+
+    def state(node: Node) -> tuple[bool, bool]:
+        """Whether the element or one around it (an article looks no further) is low, and is judged; pages may nest deeper than calls can."""
+        chain: list[Node] = []
+        at: Node | None = node
+        while at is not None and at.tag not in TOP and id(at) not in states:
+            chain.append(at)
+            at = at.parent
+        last = (False, False) if at is None or at.tag in TOP else states[id(at)]
         for n in reversed(chain):
-            state = state or n.path in low and not (n.inside and n.tag in PLAIN) and n.tag not in ("html", "body")
-            known[id(n)] = state
-        return state
+            if n.tag in ("article", "main") and n.inside and not n.parent.inside:
+                last = (False, False)
+            elif not n.holds:
+                is_low = n.path in low
+                may = not (n.inside and n.tag in PLAIN)
+                last = (last[0] or is_low and may, last[1] or is_low or n.path in known)
+            states[id(n)] = last
+        return last
 
-    told = [(n, t) for n, t in found if not n.noise]
-    if any(n.inside for n, _ in told):
-        told = [(n, t) for n, t in told if n.inside]
-    kept = [(n, t) for n, t in told if not cut(n)]
-    return " ".join(t for _, t in kept or told)
+    def stays(node: Node) -> bool:
+        cut, judged = state(node)
+        if cut or node.named and (node.inside or not judged):
+            return False
+        return node.inside or not article or judged
+
+    kept = [t for n, t in told if stays(n)]
+    if not kept:
+        bound = [(n, t) for n, t in told if n.inside] if article else told
+        kept = [t for n, t in bound if not n.named] or [t for _, t in bound]
+    return " ".join(kept)
 
 
-PRESENCE, STYLE, CONTENT = 0, 1, 2
+PRESENCE, STYLE, CONTENT, PART, LINKED, BESIDE = range(6)
 
 
-def _page_counts(page: str, counts: Counter, host: int, share: float) -> None:
+def _page_counts(page: str, counts: Counter, pool: int, share: float) -> None:
     found, every = blocks(page)
+    every = [n for n in every if not n.noise and n.tag not in ("html", "body", "head")]
     seen: set[tuple[int, int, int]] = set()
     for node in every:
-        if node.tag in ("html", "body", "head"):
-            continue
         seen.add((node.path, PRESENCE, 0))
         if node.children:
             form = [c for c, before in zip(node.children, [None, *node.children], strict=False) if c != before]
             seen.add((node.path, STYLE, hash(tuple(form))))
+    sizes: dict[int, list[int]] = {}
+    total, article = 0, any(n.inside for n in every)
     for node, text in found:
+        if node.noise:
+            continue
+        total += len(text)
         content = _hash(text)
-        while node is not None and node.tag not in ("", "body", "html"):
-            seen.add((node.path, CONTENT, content))
-            node = node.parent
+        at: Node | None = node
+        while at is not None and at.tag not in TOP:
+            seen.add((at.path, CONTENT, content))
+            at = at.parent
+    for node in every:
+        at, above = node, set()
+        while at is not None and at.tag not in TOP and (node.chars or node.links):
+            if at.path not in above:
+                above.add(at.path)
+                size = sizes.setdefault(at.path, [0, 0])
+                size[0] += node.chars
+                size[1] += node.links
+            at = at.parent
     for x in seen:
-        counts[(host, *x)] += share
+        counts[(pool, *x)] += share
+    for path, (chars, links) in sizes.items():
+        counts[(pool, path, PART, 0)] += share * chars / max(total, 1)
+        counts[(pool, path, LINKED, 0)] += share * links / max(chars, 1)
+    if article:
+        for path in {n.path for n in every if not n.inside and not n.holds}:
+            counts[(pool, path, BESIDE, 0)] += share
 
 
 def site_counts(pages: DataFrame) -> DataFrame:
-    """``host``, ``path``, ``kind``, ``feature``, ``n`` of ``host`` (hash), ``html`` and ``copies``, summed within a batch.
+    """``pool``, ``path``, ``kind``, ``feature``, ``n`` of ``pool``, ``html`` and ``copies``, summed within a batch.
 
     Each of the ``copies`` rows of a page counts for its part, so that together they are one page.
     """
@@ -234,55 +329,116 @@ def site_counts(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
-            for host, page, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for pool, page, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if page:
-                    _page_counts(page, counts, host, 1 / copies)
+                    _page_counts(page, counts, pool, 1 / copies)
             keys = list(zip(*counts, strict=True)) if counts else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.int32()), pa.array(keys[3], pa.int64()), pa.array(counts.values(), pa.float64())],
-                names=["host", "path", "kind", "feature", "n"],
+                names=["pool", "path", "kind", "feature", "n"],
             )
 
-    return pages.mapInArrow(run, "host long, path long, kind int, feature long, n double")
+    return pages.mapInArrow(run, "pool long, path long, kind int, feature long, n double")
 
 
 def importance(counts: DataFrame) -> DataFrame:
-    """``host``, ``path``, ``pages`` and ``importance`` of each element of each site style tree."""
-    each = counts.groupBy("host", "path", "kind", "feature").agg(F.round(F.sum("n")).alias("n"))
+    """``pool``, ``path``, ``pages``, ``importance``, ``part``, ``linked`` and ``beside`` (shares) of each element of each tree."""
+    total = F.sum("n")
+    each = counts.groupBy("pool", "path", "kind", "feature").agg(total.alias("n"))
+    each = each.withColumn("n", F.when(F.col("kind") <= CONTENT, F.round("n")).otherwise(F.col("n")))
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
-    sums = each.groupBy("host", "path").agg(
+    sums = each.groupBy("pool", "path").agg(
         of(PRESENCE, F.col("n")).alias("pages"),
         of(STYLE, F.col("n")).alias("styled"),
         of(STYLE, F.col("n") * F.log("n")).alias("style_logs"),
         of(CONTENT, F.log("n")).alias("content_logs"),
         of(CONTENT, F.lit(1)).alias("contents"),
+        *[of(k, F.col("n")).alias(c) for k, c in ((PART, "part"), (LINKED, "linked"), (BESIDE, "beside"))],
     )
     base = F.log("pages")
     content = F.when(F.col("contents") > 0, 1 - F.col("content_logs") / F.col("contents") / base).otherwise(0.0)
     style = F.coalesce((F.log("styled") - F.col("style_logs") / F.col("styled")) / base, F.lit(0.0))
-    return sums.where(F.col("pages") > 1).select("host", "path", "pages", (GAMMA * content + (1 - GAMMA) * style).alias("importance"))
+    shares = [(F.coalesce(c, F.lit(0.0)) / F.col("pages")).alias(c) for c in ("part", "linked", "beside")]
+    return sums.where(F.col("pages") > 1).select("pool", "path", "pages", (GAMMA * content + (1 - GAMMA) * style).alias("importance"), *shares)
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html", least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
+def verdicts(pages: DataFrame, url: str = "url", html: str = "html", least: float = LEAST, min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame, int]:
+    """``pool``, ``path`` and ``low`` of all judged elements; the hosts that have a tree of their own, and how many."""
+    keyed = pages.select(F.xxhash64(host_of(F.col(f"`{url}`"))).alias("host"), F.col(f"`{html}`").alias("html"), F.unhex(F.md5(f"`{html}`")).alias("digest"))
+    distinct = durable(keyed.where(F.col("digest").isNotNull()).groupBy("host", "digest").agg(F.count("*").alias("copies")))
+    large = durable(distinct.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_HOST).select("host", F.col("host").alias("own")))
+    n_large = large.count()
+    pooled = lambda t: bounded_join(t, large, ["host"], "left", n_large, spread=F.xxhash64("digest")).withColumn("pool", F.coalesce("own", F.lit(0)))
+    copied = durable(pooled(distinct).groupBy("pool", "digest").agg(F.sum("copies").alias("copies")).where(F.col("copies") > 1))
+    told = bounded_join(pooled(keyed), copied, ["pool", "digest"], "left", copied.count(), spread=F.monotonically_increasing_id())
+    counts = site_counts(told.select("pool", "html", F.coalesce("copies", F.lit(1)).alias("copies")))
+    low = (F.col("importance") < least) | (F.col("linked") > LINKS) | (F.col("beside") > 0.5) & (F.col("part") < SHARE)
+    judged = importance(counts).where(F.col("pages") >= min_pages)
+    return durable(judged.select("pool", "path", low.alias("low"))), large, n_large
+
+
+class _Judged:
+    """All verdicts in a worker, as sorted arrays; those of a pool as sets once a page of it is met."""
+
+    def __init__(self, pool: np.ndarray, path: np.ndarray, low: np.ndarray) -> None:
+        order = np.argsort(pool, kind="stable")
+        self.pool, self.path, self.low = pool[order], path[order], low[order]
+        self.met: dict[int, tuple[frozenset[int], frozenset[int]]] = {}
+
+    def of(self, pool: int) -> tuple[frozenset[int], frozenset[int]]:
+        if pool not in self.met:
+            if len(self.met) >= 64:
+                self.met.clear()
+            here = slice(*np.searchsorted(self.pool, [pool, pool + 1]).tolist())
+            path, low = self.path[here], self.low[here]
+            self.met[pool] = frozenset(path[low].tolist()), frozenset(path[~low].tolist())
+        return self.met[pool]
+
+
+def extract(pages: DataFrame, url: str = "url", html: str = "html", least: float = LEAST, min_pages: int = MIN_PAGES, limit: int = VERDICTS) -> DataFrame:
     """Columns ``row`` (the page without its html, as a struct) and ``text``."""
     small_batches(pages.sparkSession)
-    host = F.xxhash64(host_of(F.col(f"`{url}`")))
-    keyed = pages.select(host.alias("host"), F.col(f"`{html}`").alias("html"), F.unhex(F.md5(f"`{html}`")).alias("digest"))
-    copied = durable(keyed.groupBy("host", "digest").agg(F.count("*").alias("copies")).where((F.col("copies") > 1) & F.col("digest").isNotNull()))
-    told = bounded_join(keyed, copied, ["host", "digest"], "left", copied.count())
-    counts = site_counts(told.select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies")))
-    low = durable(importance(counts).where((F.col("pages") >= min_pages) & (F.col("importance") < least)).select("host", "path"))
-    by_host = low.groupBy("host").agg(F.collect_set("path").alias("low"))
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html]).alias("row"), host.alias("host"), F.col(f"`{html}`").alias("html"))
-    joined = bounded_join(rows, by_host, ["host"], "left", low.count(), spread=F.xxhash64("row"))
+    judged, large, n_large = verdicts(pages, url, html, least, min_pages)
+    rows = pages.select(
+        F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html]).alias("row"), F.xxhash64(host_of(F.col(f"`{url}`"))).alias("host"), F.col(f"`{html}`").alias("html")
+    )
+    rows = bounded_join(rows, large, ["host"], "left", n_large, spread=F.xxhash64("row")).select("row", F.coalesce("own", F.lit(0)).alias("pool"), "html")
+    if judged.count() > limit:
+        return _joined(rows, judged)
+    table = judged.toArrow()
+    columns = [table.column(c).to_numpy() for c in ("pool", "path", "low")]
+    held = pages.sparkSession.sparkContext.broadcast((columns[0], columns[1], columns[2].astype(bool)))
 
     @F.arrow_udf("string")
     def text(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for page, paths in batches:
-            yield pa.array([main_text(p, set(x or ())) for p, x in zip(page.to_pylist(), paths.to_pylist(), strict=True)], pa.string())
+        known = _Judged(*held.value)
+        for page, pool in batches:
+            yield pa.array([main_text(p, *known.of(x)) for p, x in zip(page.to_pylist(), pool.to_pylist(), strict=True)], pa.string())
+
+    return rows.select("row", text("html", "pool").alias("text"))
+
+
+def _joined(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """As ``extract`` where the verdicts are too many for a worker: each page meets those of its own elements."""
+    stored = durable(rows.withColumn("id", F.monotonically_increasing_id()))
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(i, pool, path) for i, pool, page in zip(*(c.to_pylist() for c in batch.columns), strict=True) if page for path in {n.path for n in blocks(page)[1]}]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["id", "pool", "path"])
+
+    each = stored.select("id", "pool", "html").mapInArrow(paths, "id long, pool long, path long")
+    met = skewed_join(durable(each), judged, ["pool", "path"], spread=F.xxhash64("id"))
+    of = lambda low: F.collect_list(F.when(F.col("low") == low, F.col("path")))
+    own = stored.join(met.groupBy("id").agg(of(True).alias("low"), of(False).alias("known")), "id", "left")
+
+    @F.arrow_udf("string")
+    def text(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([main_text(p, set(a or ()), set(b or ())) for p, a, b in zip(*(c.to_pylist() for c in batch), strict=True)], pa.string())
 
-    return joined.select("row", text("html", "low").alias("text"))
+    return own.select("row", text("html", "low", "known").alias("text"))

@@ -49,3 +49,50 @@ def test_odd_rows(spark):
 
 def test_elements_close_as_in_html():
     assert [t for _, t in blocks("<ul><li>a<ul><li>b</ul><li>c</ul>")[0]] == ["a", "b", "c"]
+
+
+KEPT = [
+    ("<article class='post promotion-review'><h1>T</h1><p>a</article>", "T a"),
+    ("<article><div class='share-prices'><p>a</p></div></article>", "a"),
+    ("<article><p>a</p><section class='search-methods'><p>b</p></section></article>", "a b"),
+    ("<article><h2 class='related-work'>a</h2><p>b</p></article>", "a b"),
+    ("<div class='content no-sidebar'><p>a</p></div>", "a"), ("<article class='post comments-open'><p>a</article>", "a"), ("<div id=main class='has-share'><p>a</div>", "a"),
+    ("<article><div class='post-header'><h1>T</h1></div><p>a</article>", "T a"),
+    ("<article><p>a</p><div class='ad-slot'>no</div><ul class='comment-list'><li>no</ul><div class='SharePanel'>no</div></article>", "a"),
+    ("<div class='sidebar'><article><p>a</p></article>no</div>", "a"), ("<div class='cookie-notice'>only this</div>", "only this"), ("<div role=banner>no</div><p>a", "a"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), KEPT, ids=range(len(KEPT)))
+def test_names(page, text):
+    assert main_text(page, set()) == text
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(rows)], "page_id int, url string, html string")
+
+
+def site(host, n, more=0):
+    """Pages whose adverts, menu and teaser no tag or name gives away; each has other words, of a small pool or of none."""
+    pool = ["buy this now", "only today", "three for two"]
+    menu = lambda i: "".join(f"<p><a href='/{i}'>topic {i} {j}</a></p>" for j in range(4))
+    body = lambda i: f"<article><h1>title {i}</h1><div class=x><div class=k>about us</div><p>{'words ' * 40}{i}</p></div></article>"
+    return [(host, f"<body><div class=q>{pool[i % 3]}</div><div class=m>{menu(i)}</div>{body(i)}<div class=t>next {i}</div><div class=lead>{'lead ' * 30}{i}</div></body>") for i in range(more, more + n)]
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_the_tree_decides(spark, limit):
+    """Inside an article, beside it, and on hosts too small for a tree of their own."""
+    rows = site("large.example", 60) + [r for k in range(12) for r in site(f"h{k}.example", 2, 2 * k)]
+    got = {r["page_id"]: r["text"] for r in extract(pages_of(spark, rows).repartition(3), limit=limit).select("row.page_id", "text").collect()}
+    for i, (host, _) in enumerate(rows):
+        own = i if host == "large.example" else i - 60
+        assert got[i] == f"title {own} {'words ' * 40}{own} {'lead ' * 30}{own}"
+
+
+def test_menus_of_other_words(spark):
+    """Without an article, what is nearly all links goes."""
+    page = "<div class=m>{}</div><div class=b><p>own text {} with <a>a link</a> and more</p></div>"
+    rows = [("h.example", page.format("".join(f"<p><a>word{i} {j}</a></p>" for j in range(5)), i)) for i in range(40)]
+    got = extract(pages_of(spark, rows)).select("row.page_id", "text").orderBy("page_id").collect()
+    assert [r["text"] for r in got] == [f"own text {i} with a link and more" for i in range(40)]
