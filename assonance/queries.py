@@ -177,20 +177,23 @@ doc AS (
 
 _GRAMS = rf"""
 gram AS (
-  SELECT doc_id, doc_ord, i - 1 AS s, least(i - 1 + {ORDER}, len(w)) AS e, w[i : i + {ORDER} - 1] AS t,
-         list_transform(w[i : i + {ORDER} - 1], lambda x: translate(x, '{_LETTERS}', '{_CLASSES}')) AS snd
+  SELECT doc_id, doc_ord, i - 1 AS s, least(i - 1 + {ORDER}, len(w)) AS e, w[i : i + {ORDER} - 1] AS t
   FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - {ORDER} + 1, 1))) AS i FROM doc WHERE len(w) > 0)),
 idx AS (
-  SELECT *, array_to_string(snd, '') AS key FROM gram
+  SELECT *, translate(array_to_string(t, ''), '{_LETTERS}', '{_CLASSES}') AS key FROM gram
   WHERE regexp_full_match(array_to_string(t, ''), '[{_LETTERS}]+'))"""
 
-_VARIANTS = """
-hot AS (SELECT key FROM idx GROUP BY key HAVING min(doc_ord) < max(doc_ord) AND min(array_to_string(t, ' ')) < max(array_to_string(t, ' '))),
-kept AS (SELECT * FROM idx WHERE key IN (SELECT key FROM hot)),
-seed AS (
+# Few keys are written in two ways, so only their postings are kept for the join; a pair is looked at word by word.
+_VARIANTS = f"""
+written AS MATERIALIZED (SELECT doc_id, doc_ord, s, e, key, array_to_string(t, ' ') AS text FROM idx),
+hot AS MATERIALIZED (SELECT key FROM written GROUP BY key HAVING min(doc_ord) < max(doc_ord) AND min(text) < max(text)),
+kept AS MATERIALIZED (
+  SELECT written.*, string_split(text, ' ') AS t, string_split(translate(text, '{_LETTERS}', '{_CLASSES}'), ' ') AS snd
+  FROM written JOIN hot USING (key)),
+seed AS MATERIALIZED (
   SELECT a.doc_id AS u_id, b.doc_id AS v_id, a.doc_ord AS u_ord, b.doc_ord AS v_ord, a.s AS u_start, a.e AS u_end, b.s AS v_start, b.e AS v_end,
-         array_to_string(a.t, ' ') AS u_text, array_to_string(b.t, ' ') AS v_text
-  FROM kept a JOIN kept b ON a.key = b.key AND a.doc_ord < b.doc_ord
+         a.text AS u_text, b.text AS v_text
+  FROM kept a JOIN kept b ON a.key = b.key AND a.doc_ord < b.doc_ord AND a.text <> b.text
   WHERE len(list_filter(generate_series(1, least(len(a.t), len(b.t))), lambda i: a.t[i] <> b.t[i] AND a.snd[i] = b.snd[i])) > 0)"""
 
 
