@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
+import shlex
+import shutil
+import subprocess
 import sys
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -39,6 +44,20 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _show(lines: Iterator[str], out) -> None:
+    """Through the pager (``PAGER``, else less) on a terminal, and plainly otherwise."""
+    pager = shlex.split(os.environ.get("PAGER") or "less")
+    if out is not None or not sys.stdout.isatty() or not shutil.which(pager[0]):
+        (out or sys.stdout).writelines(line + "\n" for line in lines)
+        return
+    with subprocess.Popen(pager, stdin=subprocess.PIPE, text=True) as shown:
+        try:
+            shown.stdin.writelines(line + "\n" for line in lines)
+        except BrokenPipeError:
+            # The reader has seen enough.
+            pass
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
     given = parser().parse_args(args)
     logging.basicConfig(stream=sys.stderr, level=[logging.WARNING, logging.INFO, logging.DEBUG][min(given.verbose, 2)])
@@ -52,17 +71,16 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=N
     config = ReuseConfig(given.ngram_order, given.threshold, given.len_limit, given.context, given.all, filters)
     sounds = table_sounds(read_sound_table(spark, given.sound_table))
     frame = find_reuse(loader(given.input_format)(spark, given.paths), sounds, config)
-    out = out or sys.stdout
     if given.group:
-        groups = frame.group()
+        found = frame.grouped()
         if given.output_file:
-            write_groups(groups, given.output_file)
+            write_groups(frame.docs, found, given.output_file, gap_sign=config.gap_sign)
         else:
-            out.writelines(line + "\n" for line in group_lines(groups))
+            _show(group_lines(frame.docs, found, gap_sign=config.gap_sign), out)
     elif given.output_file:
         write(frame.docs, frame.matches, given.output_file, config.context, config.gap_sign)
     else:
-        out.writelines(line + "\n" for line in terminal_lines(frame.docs, frame.matches, config.context, config.gap_sign))
+        _show(terminal_lines(frame.docs, frame.matches, config.context, config.gap_sign), out)
     return 0
 
 

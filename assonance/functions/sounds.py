@@ -21,6 +21,8 @@ UNKNOWN = "\ue000"
 #: Initial, nucleus and coda among the segments of a reading.
 SELECTED = (3, 6, 7)
 BUCKETS = 512
+#: Stands between the phonemes of a token, and (the other) between tokens.
+PART, BREAK = "\u001f", "\u001e"
 
 
 def _quoted(value: str | None) -> str:
@@ -50,6 +52,15 @@ class Sounds:
         voiced = F.when(known.isNull(), F.array(F.lit(UNKNOWN))).otherwise(self.selected(known))
         return F.when(self.is_voiced(token), voiced)
 
+    def spoken(self, token: Column) -> Column:
+        """The phonemes of a token of letters in one; null for any other token and for an unknown one."""
+        known = self.reading(token)
+        return F.when(is_alpha(token) & known.isNotNull(), F.array_join(self.selected(known), ""))
+
+    def whole(self, token: Column) -> Column:
+        """The phonemes of a known token as one string that keeps them apart; equal for tokens of one sound."""
+        return F.array_join(F.transform(self.selected(self.reading(token)), lambda x: F.coalesce(x, F.lit("\u0000"))), PART)
+
     def syllable(self, token: Column) -> Column:
         """The whole reading in one, empty if unknown."""
         return F.coalesce(F.array_join(self.reading(token), ""), F.lit(""))
@@ -104,6 +115,13 @@ class LetterSounds(Sounds):
         # A word of known letters is voiced, so most words need one test.
         return F.when(self.is_known(token), F.array(F.translate(token, self.letters, self.classes))).when(self.is_voiced(token), F.array(F.lit(UNKNOWN)))
 
+    def spoken(self, token: Column) -> Column:
+        # Its letters are letters, so one test does.
+        return F.when(self.is_known(token), F.translate(token, self.letters, self.classes))
+
+    def whole(self, token: Column) -> Column:
+        return F.translate(token, self.letters, self.classes)
+
     def is_known(self, token: Column) -> Column:
         return token.rlike(f"^[{self.letters}]+$")
 

@@ -10,19 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assonance.functions.sounds import UNKNOWN
+from assonance.functions.sounds import BREAK, PART, UNKNOWN, Sounds
 from assonance.functions.text import bind, is_alpha, loose, ngram_starts
+from assonance.plans.durable import durable
+from assonance.plans.joins import bounded_join
 
 
-def ngrams(documents: DataFrame, order: int) -> DataFrame:
-    """Every n-gram of every document: ``doc_id``, ``doc_ord``, ``start``, ``end``, ``tokens``, ``phon``."""
+def ngrams(documents: DataFrame, order: int, parts: tuple[str, ...] = ("tokens", "phon")) -> DataFrame:
+    """Every n-gram of every document: ``doc_id``, ``doc_ord``, ``start``, ``end``, and of the document's arrays the slices ``parts``."""
 
     def grams(d: Column) -> Column:
         part = lambda c, i: F.slice(d[c], i + 1, F.lit(order)).alias(c)
-        gram = lambda i: F.struct(i.alias("start"), F.least(i + order, F.size(d["tokens"])).alias("end"), part("tokens", i), part("phon", i))
-        return F.transform(ngram_starts(F.size(d["tokens"]), order), gram)
+        gram = lambda i: F.struct(i.alias("start"), F.least(i + order, d["size"]).alias("end"), *[part(c, i) for c in parts])
+        return F.transform(ngram_starts(d["size"], order), gram)
 
-    made = bind(F.struct(loose(F.col("tokens")).alias("tokens"), loose(F.col("phon")).alias("phon")), grams)
+    made = bind(F.struct(F.size("tokens").alias("size"), *[loose(F.col(c)).alias(c) for c in parts]), grams)
     # The outer kind only: for the other one a filter would be inferred that makes all grams a second time.
     return documents.select("doc_id", "doc_ord", F.explode_outer(made).alias("g")).where(F.col("g").isNotNull()).select("doc_id", "doc_ord", "g.*")
 
@@ -33,39 +35,63 @@ def build_index(values: DataFrame, key: Column, keep: Column | None = None) -> D
     return kept.withColumn("key", key)
 
 
-def phonetic_index(documents: DataFrame, order: int, spaces_break: bool = True) -> DataFrame:
+def phonetic_index(documents: DataFrame, order: int, spaces_break: bool = True, sounds: Sounds | None = None, parts: tuple[str, ...] = ("text", "sound")) -> DataFrame:
     """N-grams by their sounds: those of letters only, of which every token's sound is known.
 
-    ``spoken`` has the joined phonemes of each token, ``sound`` its phoneme
-    tuple as one string.  Unless ``spaces_break`` is off (words), a space
-    inside an n-gram keeps it out, as it isn't a letter.
+    ``key`` are the joined phonemes; ``text`` the written tokens and ``sound``
+    the phoneme tuples of the tokens, each as one string with ``BREAK`` between
+    tokens.  Only what ``parts`` names is made; a key alone is enough to count.
+    Unless ``spaces_break`` is off (words), a space inside an n-gram keeps it
+    out, as it isn't a letter.  With ``sounds`` a token's phonemes come from its
+    text, else from the documents' ``phon``.
+
+    A token that can't stand in an n-gram has a null for its sound, and a
+    null in a concatenation is the whole n-gram's: so each n-gram is one
+    concatenation of neighbours, and no array is sliced.
     """
-    fine = lambda t, p: is_alpha(t["text"]) & p.isNotNull() & ~F.coalesce(F.array_contains(p, UNKNOWN), F.lit(False))
-    whole = lambda p: F.array_join(F.transform(p, lambda x: F.coalesce(x, F.lit("\u0000"))), "\u001f")
-    per_token = F.struct(
-        F.transform("tokens", lambda t: t["text"]).alias("texts"), F.transform("tokens", lambda t: t["after"] != "").alias("spaced"),
-        F.zip_with("tokens", "phon", fine).alias("fine"), F.transform("phon", lambda p: F.array_join(p, "")).alias("spoken"), F.transform("phon", whole).alias("sound"),
-    )
+    if sounds is None:
+        fine = lambda t, p: is_alpha(t["text"]) & p.isNotNull() & ~F.coalesce(F.array_contains(p, UNKNOWN), F.lit(False))
+        tuple_ = lambda p: F.array_join(F.transform(p, lambda x: F.coalesce(x, F.lit("\u0000"))), PART)
+        spoken = F.zip_with("tokens", "phon", lambda t, p: F.when(fine(t, p), F.array_join(p, "")))
+        whole = F.transform("phon", tuple_)
+    else:
+        spoken = F.transform("tokens", lambda t: sounds.spoken(t["text"]))
+        whole = F.transform("tokens", lambda t: F.coalesce(sounds.whole(t["text"]), F.lit("")))
+    per_token = F.struct(spoken.alias("key"), F.transform("tokens", lambda t: t["text"]).alias("text"), whole.alias("sound"))
+    wanted = ["key", *parts]
+    per_token = F.struct(*[per_token[c].alias(c) for c in wanted], *([F.transform("tokens", lambda t: t["after"] != "").alias("spaced")] if spaces_break and order > 1 else []))
 
     def grams(d: Column) -> Column:
-        part = lambda c, i, less=0: F.slice(d[c], i + 1, F.lit(order - less))
-
-        def fit(i: Column) -> Column:
-            keep = F.forall(part("fine", i), lambda x: F.coalesce(x, F.lit(False)))
-            return keep & ~F.exists(part("spaced", i, 1), lambda x: x) if spaces_break and order > 1 else keep
+        size = F.size(d["key"])
+
+        def joined(c: str, i: Column, between: str) -> Column:
+            pieces = []
+            for j in range(order):
+                if between and j:
+                    pieces.append(F.lit(between))
+                one = F.get(d[c], i + j)
+                if c == "key" and spaces_break and j < order - 1:
+                    one = F.when(~F.get(d["spaced"], i + j), one)
+                pieces.append(one)
+            return F.concat(*pieces)
 
         def gram(i: Column) -> Column:
-            return F.struct(
-                i.alias("start"), F.least(i + order, F.size(d["texts"])).alias("end"), part("texts", i).alias("texts"), part("sound", i).alias("sound"),
-                F.array_join(part("spoken", i), "").alias("spoken"),
-            )
-
-        return F.transform(F.filter(ngram_starts(F.size(d["texts"]), order), fit), gram)
+            between = {"key": "", "text": BREAK, "sound": BREAK}
+            return F.struct(i.alias("start"), (i + order).alias("end"), *[joined(c, i, between[c]).alias(c) for c in wanted])
+
+        inner = F.slice(d["spaced"], 1, F.greatest(size - 1, F.lit(0))) if spaces_break and order > 1 else None
+        fit = F.forall(d["key"], lambda x: x.isNotNull())
+        fit = fit if inner is None else fit & ~F.exists(inner, lambda x: x)
+        short = F.struct(
+            F.lit(0).alias("start"), size.alias("end"), F.when(fit, F.array_join(d["key"], "")).alias("key"), *[F.array_join(d[c], BREAK).alias(c) for c in parts]
+        )
+        many = F.transform(F.sequence(F.lit(0), F.greatest(size - order, F.lit(0))), gram)
+        return F.filter(F.when(size >= order, many).when(size > 0, F.array(short)), lambda g: g["key"].isNotNull())
 
     # Grams are made within the row of a document and only then become rows, which don't carry the document.
     each = documents.select("doc_id", "doc_ord", F.explode_outer(bind(per_token, grams)).alias("g"))
     kept = each.where(F.col("g").isNotNull()).select("doc_id", "doc_ord", "g.*")
-    return build_index(kept, F.col("spoken")).drop("spoken")
+    return build_index(kept, F.col("key"))
 
 
 def number_of_keys(index: DataFrame) -> int:
@@ -85,8 +111,14 @@ def lookup(index: DataFrame, key: str) -> DataFrame:
     return index.where(F.col("key") == key).orderBy("doc_ord", "start")
 
 
+def in_order(index: DataFrame) -> DataFrame:
+    """Keys with their number of values, in the order in which they are first seen."""
+    place = F.min(F.struct("doc_ord", "start")).alias("first")
+    return index.groupBy("key").agg(place, F.count("*").alias("n")).orderBy("first")
+
+
 def postings(index: DataFrame) -> DataFrame:
-    """``key``, ``first`` (where it is first seen), ``places`` in order, ``n`` and ``n_docs``."""
+    """``key``, ``first`` (where it is first seen), ``places`` in order, ``n`` and ``n_docs``; a whole list is one row."""
     place = F.struct("doc_ord", "start", "doc_id")
     return index.groupBy("key").agg(
         F.min(F.struct("doc_ord", "start")).alias("first"), F.array_sort(F.collect_list(place)).alias("places"),
@@ -94,10 +126,19 @@ def postings(index: DataFrame) -> DataFrame:
     )
 
 
-def keys_where(index: DataFrame, having: Column) -> DataFrame:
-    """Values of the keys of which ``having`` holds over ``n``, ``low_doc``, ``high_doc``, ``low_text``, ``high_text``."""
-    text = F.array_join("texts", "\u001f") if "texts" in index.columns else F.lit("")
-    stats = index.groupBy("key").agg(
+def key_counts(index: DataFrame) -> DataFrame:
+    """``key``, ``n``, ``low_doc``, ``high_doc``, ``low_text``, ``high_text`` (hashes of the written forms).
+
+    All but the key are numbers, so the aggregation keeps them in place.  Two
+    forms of one key would have to share a 64-bit hash to look like one.
+    """
+    text = F.xxhash64("text") if "text" in index.columns else F.lit(0).cast("long")
+    return index.groupBy("key").agg(
         F.count("*").alias("n"), F.min("doc_ord").alias("low_doc"), F.max("doc_ord").alias("high_doc"), F.min(text).alias("low_text"), F.max(text).alias("high_text")
     )
-    return index.join(stats.where(having).select("key"), "key", "left_semi")
+
+
+def keys_where(index: DataFrame, having: Column) -> DataFrame:
+    """Values of the keys of which ``having`` holds over the columns of ``key_counts``."""
+    keys = durable(key_counts(index).where(having).select("key", "n"))
+    return bounded_join(index, keys.select("key"), ["key"], "left_semi", keys.count(), spread=F.xxhash64("doc_ord", "start"))

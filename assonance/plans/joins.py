@@ -12,7 +12,7 @@ from assonance.plans.durable import durable
 #: What a broadcast side may hold.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: A key of more rows than this is hot: its rows are dealt over as many tasks as it has times so many, but at most ``SALTS``.
-HOT_ROWS, SALTS = 1_000, 4_096
+HOT_ROWS, SALTS = 256, 4_096
 #: Hot keys that are broadcast: the hottest, if there are more.
 HOT_KEYS = 20_000
 

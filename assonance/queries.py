@@ -41,8 +41,8 @@ def _unordered(spark: SparkSession, sf_dir: str, table: str, id: str) -> DataFra
     return voiced(rows.select(F.col("id").alias("doc_id"), F.col("id").cast("long").alias("doc_ord"), word_tokens(F.col("text")).alias("tokens")), SKELETON)
 
 
-def _index(documents: DataFrame) -> DataFrame:
-    return phonetic_index(documents, ORDER, spaces_break=False)
+def _index(documents: DataFrame, *parts: str) -> DataFrame:
+    return phonetic_index(documents, ORDER, spaces_break=False, sounds=SKELETON, parts=parts)
 
 
 def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def token_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N-grams of each document, and those that can be indexed."""
     docs = _unordered(spark, sf_dir, "documents", "doc_id")
-    every = ngrams(docs, ORDER).groupBy("doc_id").agg(F.count("*").alias("n_grams"), F.max("end").cast("long").alias("last_end"))
+    every = ngrams(docs, ORDER, ()).groupBy("doc_id").agg(F.count("*").alias("n_grams"), F.max("end").cast("long").alias("last_end"))
     kept = _index(docs).groupBy("doc_id").agg(F.count("*").alias("n_indexed"))
     return every.join(kept, "doc_id", "left").select("doc_id", "n_grams", "last_end", F.coalesce("n_indexed", F.lit(0)).cast("long").alias("n_indexed"))
 
@@ -100,7 +100,7 @@ def seed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def variant_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds with a graphic variant."""
-    seeds = find_seeds(_index(_documents(spark, sf_dir)))
+    seeds = find_seeds(_index(_documents(spark, sf_dir), "text", "sound"))
     return seeds.select("u_id", "v_id", *[F.col(c).cast("long").alias(c) for c in ("u_start", "u_end", "v_start", "v_end")])
 
 
@@ -113,7 +113,7 @@ def benchmark_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _seed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variant seeds as matches of their own, with texts."""
     docs = _documents(spark, sf_dir)
-    seeds = find_seeds(_index(docs))
+    seeds = find_seeds(_index(docs, "text", "sound"))
     side = lambda x: docs.select(F.col("doc_id").alias(f"{x}_id"), F.col("tokens").alias(f"{x}_tokens"))
     both = seeds.join(side("u"), "u_id").join(side("v"), "v_id")
     text = lambda x: span_text(F.col(f"{x}_tokens"), F.col(f"{x}_start"), F.col(f"{x}_end")).alias(f"{x}_text")
@@ -140,7 +140,7 @@ def reuse_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reuse_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole query, grouped: R5-R8."""
-    return group_matches(find_reuse(_corpus(spark, sf_dir), SKELETON, CONFIG).matches).drop("spans")
+    return group_matches(find_reuse(_corpus(spark, sf_dir), SKELETON, CONFIG).matches)
 
 
 def normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
