@@ -33,6 +33,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -333,8 +334,8 @@ class PieceCodec:
         out: list[str] = []
         first = 0
         while first < len(offsets) - 1:
-            # Some rows at a time: about a million ids, or one longer row.
-            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + (1 << 20), "right")) - 1)
+            # Some rows at a time: about 130,000 ids, or one longer row.
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + (1 << 17), "right")) - 1)
             part = ids[offsets[first] : offsets[last]]
             size = sizes[part]
             ends = np.concatenate([[0], np.cumsum(size)])
@@ -403,6 +404,18 @@ def _codec(path: str, algorithm: str | None = None) -> PieceCodec:
     return _CODECS[key]
 
 
+def _lists(found: list[bytes | None]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) // 4 for x in found])]).astype(np.int32)
+    values = np.frombuffer(b"".join([x for x in found if x]), np.int32)
+    null = pa.array([x is None for x in found], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=pa.list_(pa.int32()), mask=null)
+
+
+def _decoded(codec: PieceCodec, ids: pa.ListArray) -> pa.Array:
+    found = codec.decode_batch(ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy().astype(np.int64))
+    return pa.array([t if known else None for t, known in zip(found, ids.is_valid().to_pylist(), strict=True)], pa.string())
+
+
 def encode(text: Column, path: str, algorithm: str | None = None) -> Column:
     """The piece ids of each text, for the model file at ``path`` on every worker."""
 
@@ -410,16 +423,28 @@ def encode(text: Column, path: str, algorithm: str | None = None) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(path, algorithm)
         for batch in batches:
-            found = codec.encode_batch(batch.to_pylist())
-            sizes = [0 if x is None else len(x) // 4 for x in found]
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            values = np.frombuffer(b"".join([x for x in found if x]), np.int32)
-            null = pa.array([x is None for x in found], pa.bool_())
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=pa.list_(pa.int32()), mask=null)
+            yield _lists(codec.encode_batch(batch.to_pylist()))
 
     return ids(text)
 
 
+def round_trip(text: Column, path: str) -> Column:
+    """``ids`` of each text, and ``decoded_md5``: the MD5 of the text that they give back.
+
+    Both in one worker, which holds one codec; of the decoded text only the digest leaves it.
+    """
+
+    @F.arrow_udf("struct<ids:array<int>,decoded_md5:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = _codec(path)
+        for batch in batches:
+            ids = _lists(codec.encode_batch(batch.to_pylist()))
+            digest = [None if t is None else md5(t.encode()).hexdigest() for t in _decoded(codec, ids).to_pylist()]
+            yield pa.StructArray.from_arrays([ids, pa.array(digest, pa.string())], names=["ids", "decoded_md5"])
+
+    return both(text)
+
+
 def decode(ids: Column, path: str) -> Column:
     """The text of each array of piece ids; null for a null array."""
 
@@ -427,7 +452,6 @@ def decode(ids: Column, path: str) -> Column:
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(path)
         for batch in batches:
-            found = codec.decode_batch(batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy().astype(np.int64))
-            yield pa.array([t if known else None for t, known in zip(found, batch.is_valid().to_pylist(), strict=True)], pa.string())
+            yield _decoded(codec, batch)
 
     return texts(ids)

@@ -156,3 +156,9 @@ def test_decoding_in_batches(codec, processor):
     flat = np.array([i for r in rows for i in r], np.int32)
     assert codec.decode_batch(flat, np.cumsum([0, *map(len, rows)])) == [codec.decode(r) for r in rows]
     assert codec.decode_batch(np.zeros(0, np.int32), np.array([0])) == []
+
+
+def test_round_trip_in_one_pass(docs, vocabulary):
+    path = vocabulary("piece_bpe_32k.model")
+    both = docs.select(F.md5("text").alias("told"), pieces.encode(F.col("text"), path).alias("ids"), pieces.round_trip(F.col("text"), path).alias("x")).collect()
+    assert len(both) == 10 and all(r["x"]["ids"] == r["ids"] and r["x"]["decoded_md5"] == r["told"] for r in both)
