@@ -1,30 +1,17 @@
-"""Batches of rows that go to Python workers."""
+"""Batches of texts that go to Python workers."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: Rows and bytes of an Arrow batch: texts may be very long, so few go to a worker at once.
-ROWS, BYTES = 400, 16 << 20
+from assonance.plans.batches import bounded_batches
 
-
-def bounded_batches(spark: SparkSession, size: int = BYTES) -> None:
-    """Arrow batches of at most about ``size`` bytes, whatever rows they hold; a stricter setting stays."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    try:
-        known = int(spark.conf.get(name, str(size)))
-    except ValueError:
-        known = 1 << 62
-    if known <= 0 or known > size:
-        spark.conf.set(name, str(size))
+#: Rows of an Arrow batch: texts may be very long, so few go to a worker at once.
+ROWS = 400
 
 
 def small_batches(spark: SparkSession, rows: int = ROWS) -> None:
-    """As ``bounded_batches``, and at most ``rows`` rows; a stricter setting stays.
-
-    Plans are lazy, so what is set here stays for the session: it is only ever
-    made smaller, and no operator depends on larger batches.
-    """
+    """As ``bounded_batches``, and at most ``rows`` rows; a stricter setting stays."""
     bounded_batches(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     known = int(spark.conf.get(name, str(rows)))

@@ -12,9 +12,12 @@ features.
 
 The machine is fitted on at most ``SAMPLE`` labelled texts (a documented
 bound: those of the smallest hash of their id; of an id with several rows the
-text of the smallest hash); their features, not their texts, go to the driver.  Everything is scored.  Null texts score as empty
-ones; repeated labels of an id count as their mean; without labels of both
-kinds every score is the share of ones (a half without any label).
+text of the smallest hash); their features, not their texts, go to the driver.  Everything is scored, whole
+texts however long.  Null texts score as empty ones; repeated documents are
+scored each for itself; repeated labels of an id count as their mean; without
+labels of both kinds every score is the share of ones (a half without any
+label, and the model says ``fitted`` False); an empty table gives no rows;
+only the named columns are read, so further ones may have any names.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ RANK = 6
 SAMPLE = 8_000
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.01, 1e-4
 KEPT = 400_000
+#: Words whose hashes are kept are no longer than this.
+SHORT = 64
 #: The signs whose share each is a statistic of its own.
 SIGNS = b"!|#$%&*.,-_?:;/\\()<>{}[]=+@\"'"
 N_STATS = 14 + len(SIGNS)
@@ -45,9 +50,11 @@ class _Slots(dict):
     """64-bit word hashes, kept for the latest words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= SHORT:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -84,6 +91,8 @@ class FactorisationMachine:
     w0: float
     w: np.ndarray
     v: np.ndarray
+    #: Whether there were labels of both kinds to learn from.
+    fitted: bool = False
 
     def design(self, slots: np.ndarray, stats: np.ndarray) -> np.ndarray:
         """Word slots, standardised statistics and their bins side by side."""
@@ -115,6 +124,7 @@ class FactorisationMachine:
         )
         if not len(y) or share in (0.0, 1.0):
             return model
+        model.fitted = True
         model.v = rng.normal(0, 0.02, (p, RANK)).astype(np.float32)
         x = model.design(slots, stats)
         moments = [[np.zeros_like(a), np.zeros_like(a)] for a in (model.w, model.v)] + [[0.0, 0.0]]

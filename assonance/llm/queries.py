@@ -22,13 +22,14 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         sharding.text_size(F.col("text")).alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
     )
-    placed = sharding.shard_by_bytes(docs, "doc_id", F.col("size"), shards=8)
+    # Records in the order of their texts' checksums: equal texts stand together, and part only where a shard is full.
+    placed = sharding.shard_by_bytes(docs, "text_crc32", F.col("size"), shards=8)
     return placed.select("row.*", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = line_dedup.drop_site_lines(docs, "source", "text")
+    out = line_dedup.drop_site_lines(docs, "source", "text", phrase_ratio=0.01, distinct=True)
     return out.select("row.doc_id", "text", "n_lines", "n_dropped")
 
 
@@ -77,22 +78,22 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = _vocabulary("piece_bpe_32k.model")
-    ids = docs.select("doc_id", pieces.encode(F.col("text"), path).alias("ids"))
-    again = ids.select("doc_id", "ids", pieces.decode(F.col("ids"), path).alias("decoded"))
-    return again.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", F.md5("decoded").alias("decoded_md5"))
+    both = docs.select("doc_id", pieces.round_trip(F.col("text"), _vocabulary("piece_bpe_32k.model")).alias("x"))
+    n_pieces = F.coalesce(F.size("x.ids"), F.lit(0)).cast("long").alias("n_pieces")
+    return both.select("doc_id", n_pieces, "x.ids", "x.decoded_md5")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     folder = warc.new_folder(spark)
-    archives = warc.write_archives(warc.planned(pages, "page_id", "url", "html"), folder)
-    members = warc.normalise_archives(archives, folder)
     kind = pages.schema["page_id"].dataType
-    read = warc.read_archives(members, folder)
-    out = durable(read.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")))
-    warc.remove_folder(folder)
-    return out
+    try:
+        archives = warc.write_archives(warc.planned(pages, "page_id", "url", "html"), folder)
+        members = warc.normalise_archives(archives, folder)
+        read = warc.read_archives(members, folder)
+        return durable(read.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")))
+    finally:
+        warc.remove_folder(folder)
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,20 +132,19 @@ def oracle_sql() -> dict[str, str]:
     }
 
 
-OP2_SQL = """
+OP2_SQL = r"""
 WITH pages AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1)) AS host, text,
-         string_split(text, chr(10)) AS lines
+  SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(md5(text), '') AS whole, string_split(text, chr(10)) AS lines
   FROM documents),
-totals AS (SELECT host, count(*) AS host_pages FROM pages GROUP BY host),
+totals AS (SELECT host, count(DISTINCT whole) AS host_pages FROM pages GROUP BY host),
 seen AS (
-  SELECT host, line, count(*) AS pages
-  FROM (SELECT host, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13))))) AS line FROM pages)
+  SELECT host, line, count(DISTINCT whole) AS pages
+  FROM (SELECT host, whole, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13))))) AS line FROM pages)
   WHERE line <> '' GROUP BY host, line),
 heavy AS (
   SELECT host, list(line) AS heavy
   FROM seen JOIN totals USING (host)
-  WHERE pages >= 5 AND pages / host_pages > 0.1 GROUP BY host),
+  WHERE pages >= 5 AND pages / host_pages > CASE WHEN regexp_matches(line, '[^\t\n\x0B\f\r ][\t\n\x0B\f\r ]+[^\t\n\x0B\f\r ]') THEN 0.01 ELSE 0.1 END GROUP BY host),
 marked AS (
   SELECT doc_id, lines, coalesce(heavy, []) AS heavy FROM pages LEFT JOIN heavy USING (host))
 SELECT doc_id,

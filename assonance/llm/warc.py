@@ -14,7 +14,8 @@ Pages with equal payloads (also empty ones) of at least ``least`` bytes: the
 one with the smallest id is a response and the others are revisits of it.
 Null payloads are empty; a row whose id repeats the smallest one is a response
 too; rows without id are revisits if their payload has a response, else
-responses; an empty table makes no archive; further columns are left out.
+responses; ids and URLs may hold any signs; very long payloads are one record;
+an empty table makes no archive; further columns are left out.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -57,6 +59,11 @@ def _line(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
+def _urn(page: str | None) -> str:
+    """The record id of a page; signs that would end a header are written as in URLs."""
+    return "<urn:nopage>" if page is None else f"<urn:page:{_line(page.replace('%', '%25'))}>"
+
+
 def record(page: str | None, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """One WARC record; that of a revisit has the HTTP header only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -64,7 +71,7 @@ def record(page: str | None, url: str | None, payload: bytes, refers_to: str | N
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page or ''}>",
+        f"WARC-Record-ID: {_urn(page)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {_line(url or '')}",
         f"WARC-Payload-Digest: sha1:{_digest(payload)}",
@@ -72,7 +79,7 @@ def record(page: str | None, url: str | None, payload: bytes, refers_to: str | N
         f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}"]
     return ("\r\n".join(head) + "\r\n\r\n").encode("utf-8", "replace") + block + b"\r\n\r\n"
 
 
@@ -130,7 +137,7 @@ def normalise(source: BinaryIO, target: BinaryIO, index: BinaryIO) -> int:
 
 def _named(value: str | None) -> str | None:
     found = re.fullmatch(r"<urn:page:(.*)>", value or "")
-    return found[1] if found and found[1] else None
+    return unquote(found[1], errors="replace") if found else None
 
 
 def parsed(data: bytes) -> dict:
@@ -259,4 +266,5 @@ def new_folder(spark) -> str:
 
 def remove_folder(folder: str) -> None:
     files, base = file_system(folder)
-    files.delete_dir(base)
+    if files.get_file_info(base).type != pafs.FileType.NotFound:
+        files.delete_dir(base)

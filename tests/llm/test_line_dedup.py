@@ -40,7 +40,7 @@ def test_copies_can_be_left_whole(spark):
 
 
 def test_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr("assonance.plans.joins.bounded_join.__defaults__", (None, 0, 4))
+    monkeypatch.setattr("assonance.plans.joins.bounded_join.__defaults__", (None, 0, 4, 0))
     rows = [(i, "h", f"menu\n{i}") for i in range(40)]
     got = drop_site_lines(spark.createDataFrame(rows, "i int, h string, t string"), "h", "t", 0.3, 3)
     assert {r["text"] for r in got.collect()} == {str(i) for i in range(40)}
