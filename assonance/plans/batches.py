@@ -7,16 +7,17 @@ from pyspark.sql import SparkSession
 BYTES = 16 << 20
 
 
-def bounded_batches(spark: SparkSession, size: int = BYTES) -> None:
-    """Arrow batches of at most about ``size`` bytes, whatever rows they hold; a stricter setting stays.
+def at_most(spark: SparkSession, name: str, most: int) -> None:
+    """Lower a session setting to ``most``; what is lower already (and above 0) stays.
 
     Plans are lazy, so what is set stays for the session: it is only ever made
     smaller, and no operator depends on larger batches.
     """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    try:
-        known = int(spark.conf.get(name, str(size)))
-    except ValueError:
-        known = 1 << 62
-    if known <= 0 or known > size:
-        spark.conf.set(name, str(size))
+    known = int(spark.conf.get(name).removesuffix("b"))
+    if known <= 0 or known > most:
+        spark.conf.set(name, str(most))
+
+
+def bounded_batches(spark: SparkSession, size: int = BYTES) -> None:
+    """Arrow batches of about ``size`` bytes at most, whatever rows they hold."""
+    at_most(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)

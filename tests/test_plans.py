@@ -93,3 +93,18 @@ def test_no_folder_of_one_machine_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: gone))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         durable.shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))
+
+
+def test_batches_are_bounded(spark):
+    """Settings are lowered from their defaults, and never raised."""
+    from assonance.plans.batches import at_most, bounded_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    bounded_batches(spark, 5 << 20)
+    assert spark.conf.get(name).removesuffix("b") == str(5 << 20)
+    bounded_batches(spark, 9 << 20)
+    assert spark.conf.get(name).removesuffix("b") == str(5 << 20)
+    at_most(spark, name, 1 << 20)
+    assert spark.conf.get(name).removesuffix("b") == str(1 << 20)
+    spark.conf.unset(name)
