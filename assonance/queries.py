@@ -6,22 +6,29 @@ used whole.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from assonance.functions.sounds import SKELETON
+from assonance.functions.sounds import SKELETON, TableSounds
 from assonance.functions.text import DELETED, LOST, LOST_AS, char_tokens, is_alnum, is_alpha, is_number, normalise, span_text
 from assonance.operators.documents import all_phonemes, make_documents, transcription, unknown_tokens, voiced
-from assonance.operators.groups import group_matches, group_members
-from assonance.operators.index import ngrams, phonetic_index, postings
-from assonance.operators.matches import Filters, length, results
+from assonance.operators.groups import group_matches, group_members, grouped
+from assonance.operators.index import contains, key_counts, lookup, ngrams, phonetic_index, postings
+from assonance.operators.matches import Filters, default_aligner, length, process_pairs, result_order, results
 from assonance.operators.reuse import ReuseConfig, find_reuse
 from assonance.operators.seeds import cross_corpus_seeds, find_seeds
+from assonance.plans.durable import shared_dir
+from assonance.plans.ordinal import with_ordinal
 from assonance.sources.corpus import TableLoader
+from assonance.sources.tables import read_sound_table, table_sounds
 
 ORDER = 4
+#: Of seeds that are aligned and ranked as they are.
+SEED_FILTERS = Filters(min_length=ORDER, max_length=ORDER, min_graphic=0.25, max_graphic=0.6, min_phonetic=1.0, max_phonetic=1.0)
 CONFIG = ReuseConfig(ngram_order=ORDER, tokeniser="word", filters=Filters(min_length=5, max_length=64, max_graphic=0.95))
 
 
@@ -133,6 +140,69 @@ def seed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.groupBy("group_id").agg(F.count("*").alias("n_matches")).groupBy("n_matches").agg(F.count("*").alias("n_groups"))
 
 
+def _even_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variant seeds, aligned and filtered: of those that sound alike in every place, no alignment has a gap."""
+    docs = _documents(spark, sf_dir)
+    aligned = process_pairs(docs, find_seeds(_index(docs, "text", "sound")), align=default_aligner())
+    return aligned.where(SEED_FILTERS.condition() & (F.size("au") == ORDER))
+
+
+def ranked_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned seeds, measured, filtered and ranked, with the fields of results."""
+    ranked = with_ordinal(_even_seeds(spark, sf_dir), "rank", *result_order())
+    out = results(ranked, "rank")
+    return out.select("rank", *[F.col(c).cast("long").alias(c) if c.endswith(("start", "end")) else F.col(c) for c in out.columns[1:]])
+
+
+def seed_group_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of aligned seeds with their means and anchors."""
+    groups = grouped(_even_seeds(spark, sf_dir)).groups
+    mean = lambda c: F.round(c, 6).alias(c)
+    return groups.select(
+        "n_matches", mean("graphic_similarity"), mean("phonetic_similarity"), mean("weighted_score"), "anchor_id",
+        F.col("anchor_start").cast("long").alias("anchor_start"), F.col("anchor_end").cast("long").alias("anchor_end"), "anchor_text",
+    )
+
+
+def _letter_table(spark: SparkSession) -> TableSounds:
+    """A sound table as files have it: readings of eight segments and two entries that name a source; the first reading counts."""
+    sound = dict(zip(SKELETON.letters, SKELETON.classes, strict=True))
+    reading = lambda c: ["", "", "", "" if sound[c] == "a" else sound[c], "", "", "a" if sound[c] == "a" else "", "", "made", "p. 1"]
+    path = f"{shared_dir(spark).rstrip('/')}/sound-table"
+    spark.createDataFrame([(json.dumps({c: [reading(c), ["x"] * 10] for c in SKELETON.letters}),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return table_sounds(read_sound_table(spark, path))
+
+
+def _characters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TableSounds]:
+    sounds = _letter_table(spark)
+    rows = _corpus(spark, sf_dir)
+    return voiced(rows.select(F.col("id").alias("doc_id"), F.col("id").cast("long").alias("doc_ord"), char_tokens(F.col("text")).alias("tokens")), sounds), sounds
+
+
+def char_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters by a sound table: selected segments and unknown signs."""
+    docs, _ = _characters(spark, sf_dir)
+    phonemes = all_phonemes(F.col("phon"))
+    return docs.select(
+        "doc_id", F.size(phonemes).cast("long").alias("n_phonemes"), F.size(unknown_tokens(F.col("phon"))).cast("long").alias("n_unknown"), F.md5(F.array_join(phonemes, "")).alias("phonemes_md5")
+    )
+
+
+def char_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N-grams of characters, of which none with a space or a mark inside is indexed."""
+    docs, sounds = _characters(spark, sf_dir)
+    counts = phonetic_index(docs, ORDER, sounds=sounds, parts=()).groupBy("key").agg(F.count("*").alias("n"))
+    return counts.agg(F.count("*").alias("n_keys"), F.sum("n").alias("n_values"), F.max("n").alias("most"))
+
+
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of the key that has most of them, in their order."""
+    index = _index(_documents(spark, sf_dir))
+    key = key_counts(index).orderBy(F.desc("n"), "key").first()["key"]
+    place = F.row_number().over(Window.orderBy("doc_ord", "start")).cast("long").alias("place")
+    return lookup(index, key).select(place, "key", "doc_id", F.col("start").cast("long").alias("start"), F.lit(contains(index, key)).alias("known"), F.lit(contains(index, "no such key")).alias("other_known"))
+
+
 def reuse_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole query: seeds, extension, alignment, filters, order, 14 fields."""
     return results(find_reuse(_corpus(spark, sf_dir), SKELETON, CONFIG).matches)
@@ -157,6 +227,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         normalised_texts, corpus_documents, token_classes, token_sounds, document_ngrams, index_summary, index_postings,
         seed_pairs, variant_seeds, benchmark_seeds, match_identity, seed_groups, reuse_matches, reuse_groups,
+        ranked_seeds, seed_group_measures, char_sounds, char_index, index_lookup,
     )
     return {f.__name__: f for f in made}
 
@@ -197,6 +268,28 @@ seed AS MATERIALIZED (
   WHERE len(list_filter(generate_series(1, least(len(a.t), len(b.t))), lambda i: a.t[i] <> b.t[i] AND a.snd[i] = b.snd[i])) > 0)"""
 
 
+# Seeds that sound alike in every place: aligned without gaps, at a phonetic similarity of 1.  The common length of the two
+# rows of words is the longest chain of equal words that goes on in both.
+_RANKED = f"""
+even AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, seed.*, string_split(u_text, ' ') AS ut, string_split(v_text, ' ') AS vt FROM seed
+  WHERE u_end - u_start = {ORDER} AND v_end - v_start = {ORDER}
+    AND string_split(translate(u_text, '{_LETTERS}', '{_CLASSES}'), ' ') = string_split(translate(v_text, '{_LETTERS}', '{_CLASSES}'), ' ')),
+cell AS MATERIALIZED (
+  SELECT r, i, j FROM (SELECT r, ut, vt, unnest(generate_series(1, {ORDER})) AS i FROM even), generate_series(1, {ORDER}) AS g(j) WHERE ut[i] = vt[j]),
+l1 AS (SELECT r, i, j, 1 AS l FROM cell),
+{{chains}}
+alike AS (SELECT r, 2.0 * coalesce(max(l), 0) / {2 * ORDER} AS graphic FROM even LEFT JOIN l{ORDER} USING (r) GROUP BY r),
+ranked AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY 1.0 / graphic DESC, u_ord, v_ord, u_start, u_end, v_start, v_end) - 1 AS rank, *
+  FROM even JOIN alike USING (r) WHERE graphic BETWEEN {SEED_FILTERS.min_graphic} AND {SEED_FILTERS.max_graphic})""".replace(
+    "{chains}",
+    "".join(
+        f"l{n} AS (SELECT c.r, c.i, c.j, 1 + coalesce(max(p.l), 0) AS l FROM cell c LEFT JOIN l{n - 1} p ON p.r = c.r AND p.i < c.i AND p.j < c.j GROUP BY ALL),\n"
+        for n in range(2, ORDER + 1)
+    ),
+)
+
 def oracle_sql() -> dict[str, str]:
     clean = _CLEAN.format("text")
     return {
@@ -246,6 +339,50 @@ def oracle_sql() -> dict[str, str]:
             SELECT least(u_id, v_id) AS id_a, greatest(u_id, v_id) AS id_b, least(u_text, v_text) AS text_a, greatest(u_text, v_text) AS text_b,
                    count(*) AS n_matches, CAST(max(greatest(u_end - u_start, v_end - v_start)) AS BIGINT) AS n_tokens
             FROM seed GROUP BY ALL""",
+        "ranked_seeds": f"""
+            WITH {_DOCS}, {_GRAMS}, {_VARIANTS}, {_RANKED}
+            SELECT rank, u_id, v_id, u_text, v_text, replace(u_text, ' ', '') AS u_text_aligned, replace(v_text, ' ', '') AS v_text_aligned,
+                   '*' || translate(u_text, '{_LETTERS}', '{_CLASSES}') AS u_transcription, '*' || translate(v_text, '{_LETTERS}', '{_CLASSES}') AS v_transcription,
+                   CAST(u_start AS BIGINT) AS u_start, CAST(u_end AS BIGINT) AS u_end, CAST(v_start AS BIGINT) AS v_start, CAST(v_end AS BIGINT) AS v_end,
+                   CAST(1.0 AS DOUBLE) AS phonetic_similarity, CAST(graphic AS DOUBLE) AS graphic_similarity
+            FROM ranked""",
+        "seed_group_measures": f"""
+            WITH RECURSIVE {_DOCS}, {_GRAMS}, {_VARIANTS}, {_RANKED},
+            m AS MATERIALIZED (
+              SELECT dense_rank() OVER (ORDER BY least(u_id, v_id), greatest(u_id, v_id), least(u_text, v_text), greatest(u_text, v_text)) AS k, * FROM ranked),
+            one AS MATERIALIZED (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY k ORDER BY u_ord, v_ord, u_start, u_end, v_start, v_end) = 1),
+            held AS MATERIALIZED (SELECT k, u_id AS d, u_start AS s, u_end AS e FROM m UNION SELECT k, v_id, v_start, v_end FROM m),
+            span AS MATERIALIZED (SELECT d, s, e, count(*) AS n, min(k) AS low FROM held GROUP BY ALL),
+            edge AS MATERIALIZED (SELECT DISTINCT k AS a, low AS b FROM held JOIN span USING (d, s, e) WHERE n > 1 UNION SELECT low, k FROM held JOIN span USING (d, s, e) WHERE n > 1),
+            reach AS (SELECT a, b FROM edge UNION SELECT r.a, x.b FROM reach r JOIN edge x ON r.b = x.a),
+            part AS MATERIALIZED (
+              SELECT 'c' || low AS g, a AS k FROM (SELECT a, min(b) AS low FROM reach GROUP BY a)
+              UNION SELECT 's' || low, low FROM span WHERE n = 1),
+            side AS (
+              SELECT g, replace(u_text, ' ', '') AS al, u_ord AS o, u_start AS s, u_end AS e, u_id AS d, u_text AS t FROM part JOIN one USING (k)
+              UNION ALL SELECT g, replace(v_text, ' ', ''), v_ord, v_start, v_end, v_id, v_text FROM part JOIN one USING (k)),
+            anchor AS (SELECT * FROM side QUALIFY row_number() OVER (PARTITION BY g ORDER BY al, o, s, e, d, t) = 1)
+            SELECT n_matches, round(gs, 6) AS graphic_similarity, round(ps, 6) AS phonetic_similarity, round(ws, 6) AS weighted_score,
+                   d AS anchor_id, CAST(s AS BIGINT) AS anchor_start, CAST(e AS BIGINT) AS anchor_end, t AS anchor_text
+            FROM (SELECT g, count(*) AS n_matches, avg(CAST(graphic AS DOUBLE)) AS gs, CAST(1.0 AS DOUBLE) AS ps, avg(1.0 / CAST(graphic AS DOUBLE)) AS ws FROM part JOIN one USING (k) GROUP BY g)
+            JOIN anchor USING (g)""",
+        "char_sounds": rf"""
+            WITH told AS (
+              SELECT CAST(doc_id AS VARCHAR) AS doc_id,
+                     translate(regexp_replace(regexp_replace({clean}, '[^\p{{L}}\p{{N}}]', '', 'g'), '[^{_LETTERS}]', chr(57344), 'g'), '{_LETTERS}', '{_CLASSES}') AS p
+              FROM documents)
+            SELECT doc_id, length(p) AS n_phonemes, length(p) - length(replace(p, chr(57344), '')) AS n_unknown, md5(p) AS phonemes_md5 FROM told""",
+        "char_index": rf"""
+            WITH text AS (SELECT {clean} AS t FROM documents),
+            run AS (SELECT unnest(regexp_extract_all(t, '[{_LETTERS}]{{{ORDER},}}')) AS r FROM text),
+            gram AS (
+              SELECT substr(translate(r, '{_LETTERS}', '{_CLASSES}'), i, {ORDER}) AS key FROM (SELECT r, unnest(generate_series(1, length(r) - {ORDER - 1})) AS i FROM run)
+              UNION ALL SELECT translate(rtrim(t, ' '), '{_LETTERS}', '{_CLASSES}') FROM text WHERE regexp_full_match(t, '[{_LETTERS}]{{1,{ORDER - 1}}} ?'))
+            SELECT count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_values, max(n) AS most FROM (SELECT key, count(*) AS n FROM gram GROUP BY key)""",
+        "index_lookup": f"""
+            WITH {_DOCS}, {_GRAMS},
+            top AS (SELECT key FROM idx GROUP BY key ORDER BY count(*) DESC, key LIMIT 1)
+            SELECT row_number() OVER (ORDER BY doc_ord, s) AS place, key, doc_id, CAST(s AS BIGINT) AS start, true AS known, false AS other_known FROM idx JOIN top USING (key)""",
         "seed_groups": f"""
             WITH RECURSIVE {_DOCS}, {_GRAMS}, {_VARIANTS},
             m AS MATERIALIZED (
