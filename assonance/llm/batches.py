@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from assonance.plans.batches import bounded_batches
+from assonance.plans.batches import at_most, bounded_batches
 
 #: Rows of an Arrow batch: texts may be very long, so few go to a worker at once.
 ROWS = 400
 
 
 def small_batches(spark: SparkSession, rows: int = ROWS) -> None:
-    """As ``bounded_batches``, and at most ``rows`` rows; a stricter setting stays."""
+    """As ``bounded_batches``, and at most ``rows`` rows."""
     bounded_batches(spark)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    known = int(spark.conf.get(name, str(rows)))
-    if known <= 0 or known > rows:
-        spark.conf.set(name, str(rows))
+    at_most(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)

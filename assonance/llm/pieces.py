@@ -32,16 +32,17 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 SPACE = "▁"
-KEPT = 250_000
+KEPT = 150_000
 LONG = 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: What the library takes off the lowest score for an unknown character.
@@ -151,8 +152,8 @@ class PieceCodec:
             out.append(found[::-1])
         return [[(p, s) for p, s in row] for row in out]
 
-    def merges(self, words: list[str], length: int) -> list[list[tuple[int, int]]]:
-        """As ``viterbi``, by merging the best pair of neighbours of every row until no row has one."""
+    def merges(self, words: list[str], length: int) -> list[bytes]:
+        """The ids of each word, by merging the best pair of neighbours of every row until no row has one."""
         table, n = self.table, len(words)
         prefix = table.prefixes(code_points(words, length))
         rows = np.arange(n)
@@ -174,7 +175,7 @@ class PieceCodec:
 
         for i in range(length - 1):
             score[:, i] = pair(rows, np.full(n, i))
-        live = rows
+        live, columns = rows, np.arange(length + 1)
         while len(live):
             at = score[live].argmax(axis=1)
             some = score[live, at] > -np.inf
@@ -182,30 +183,43 @@ class PieceCodec:
             if not len(live):
                 break
             # Close the gap: boundary at+1 goes, and what is right of it moves one to the left.
-            columns = np.arange(length + 2)
-            source = np.minimum(columns[None, :] + (columns[None, :] > at[:, None]), length + 1)
-            start[live] = np.take_along_axis(start[live], source, axis=1)
-            score[live] = np.take_along_axis(np.pad(score[live], ((0, 0), (0, 1)), constant_values=-np.inf), np.minimum(source[:, :length], length), axis=1)
+            right = columns[None, :] > at[:, None]
+            bounds, scores = start[live], score[live]
+            bounds[:, :-1] = np.where(right[:, : length + 1], bounds[:, 1:], bounds[:, :-1])
+            scores[:, :-1] = np.where(right[:, : length - 1], scores[:, 1:], scores[:, :-1])
+            scores[:, -1] = -np.inf
+            start[live], score[live] = bounds, scores
             count[live] -= 1
             score[live, at] = pair(live, at)
             left = at > 0
             score[live[left], at[left] - 1] = pair(live[left], at[left] - 1)
-        segments = np.arange(length)[None, :] < count[:, None]
-        out: list[list[tuple[int, int]]] = []
-        ends = np.where(segments, start[:, 1 : length + 1], 0)
-        begins = start[:, :length]
-        places = np.full((n, length), -1, np.int64)
-        r, c = np.nonzero(segments)
-        a, b = begins[r, c], ends[r, c]
+        r, c = np.nonzero(np.arange(length)[None, :] < count[:, None])
+        a, b = start[r, c], start[r, c + 1]
         fits = (b - a) <= table.longest
         size = np.where(fits, b - a, 0)
         h = prefix[r, b] - prefix[r, a] * table.powers[size]
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + size.astype(np.uint64)
-        places[r, c] = np.where(fits, table.probe(h ^ (h >> np.uint64(32))), -1)
-        for p, s, k in zip(places.tolist(), begins.tolist(), count.tolist(), strict=True):
-            out.append(list(zip(p[:k], s[:k], strict=True)))
+        place = np.where(fits, table.probe(h ^ (h >> np.uint64(32))), -1)
+        ends = np.cumsum(count).tolist()
+        data = self.ids[place].tobytes()
+        out = [data[4 * x : 4 * y] for x, y in zip([0, *ends], ends, strict=False)]
+        for i in set(r[place < 0].tolist()):
+            mine = slice(ends[i] - int(count[i]), ends[i])
+            out[i] = self._packed(words[i], zip(place[mine].tolist(), a[mine].tolist(), strict=True))
         return out
 
+    def _packed(self, word: str, found: Iterable[tuple[int, int]]) -> bytes:
+        """The ids of a word's segments (place and start); a character without a piece gives its bytes' or the unknown piece."""
+        ids: list[int] = []
+        for place, at in found:
+            if place >= 0:
+                ids.append(self.ids[place])
+            elif self.byte_ids:
+                ids += [self.byte_ids[b] for b in word[at].encode("utf-8", "replace")]
+            else:
+                ids.append(self.unknown)
+        return np.array(ids, np.int32).tobytes()
+
     def heap_merges(self, word: str) -> list[tuple[int, int]]:
         """As ``merges`` for one word, in n log n steps: the best pair is on top of a heap, the segments are a linked list."""
         table, places = self.table, self.place_of
@@ -260,21 +274,14 @@ class PieceCodec:
             for i in range(0, len(same), step):
                 group = same[i : i + step]
                 kept = self.fresh if length <= LONG else self.passing
-                for word, found in zip(group, self._segment(group, length), strict=True):
-                    ids: list[int] = []
-                    for place, at in found:
-                        if place >= 0:
-                            ids.append(self.ids[place])
-                        elif self.byte_ids:
-                            ids += [self.byte_ids[b] for b in word[at].encode("utf-8", "replace")]
-                        else:
-                            ids.append(self.unknown)
-                    kept[word] = np.array(ids, np.int32).tobytes()
-
-    def _segment(self, words: list[str], length: int) -> list[list[tuple[int, int]]]:
+                kept.update(zip(group, self._segment(group, length), strict=True))
+
+    def _segment(self, words: list[str], length: int) -> list[bytes]:
         if self.algorithm == UNIGRAM:
-            return self.viterbi(words, length)
-        return self.merges(words, length) if length <= LONG else [self.heap_merges(w) for w in words]
+            return [self._packed(w, found) for w, found in zip(words, self.viterbi(words, length), strict=True)]
+        if length <= LONG:
+            return self.merges(words, length)
+        return [self._packed(w, self.heap_merges(w)) for w in words]
 
     def _words(self, text: str) -> list[str]:
         if not text:
@@ -428,21 +435,27 @@ def encode(text: Column, path: str, algorithm: str | None = None) -> Column:
     return ids(text)
 
 
-def round_trip(text: Column, path: str) -> Column:
-    """``ids`` of each text, and ``decoded_md5``: the MD5 of the text that they give back.
+def round_trip(documents: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, ``n_pieces``, ``ids`` of each text, and ``decoded_md5``: the MD5 of the text that they give back.
 
-    Both in one worker, which holds one codec; of the decoded text only the digest leaves it.
+    One pass through one worker, which holds one codec; texts don't come back,
+    and of the decoded ones only the digests do.  A null text has null ids and
+    digest, and 0 pieces.
     """
 
-    @F.arrow_udf("struct<ids:array<int>,decoded_md5:string>")
-    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
         for batch in batches:
-            ids = _lists(codec.encode_batch(batch.to_pylist()))
+            *kept, texts = batch.columns
+            ids = _lists(codec.encode_batch(texts.to_pylist()))
             digest = [None if t is None else md5(t.encode()).hexdigest() for t in _decoded(codec, ids).to_pylist()]
-            yield pa.StructArray.from_arrays([ids, pa.array(digest, pa.string())], names=["ids", "decoded_md5"])
+            count = pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*kept, count, ids, pa.array(digest, pa.string())], names=[*keep, "n_pieces", "ids", "decoded_md5"])
 
-    return both(text)
+    kinds = [(f.name, f.dataType) for c in keep for f in [documents.schema[c]]]
+    schema = StructType([StructField(n, t) for n, t in [*kinds, ("n_pieces", LongType()), ("ids", ArrayType(IntegerType())), ("decoded_md5", StringType())]])
+    # The text goes last, under a name of its own.
+    return documents.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 
 
 def decode(ids: Column, path: str) -> Column:

@@ -38,7 +38,7 @@ BINS = 8
 RANK = 6
 SAMPLE = 8_000
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.01, 1e-4
-KEPT = 400_000
+KEPT = 100_000
 #: Words whose hashes are kept are no longer than this.
 SHORT = 64
 #: The signs whose share each is a statistic of its own.

@@ -32,7 +32,7 @@ from assonance.llm.batches import small_batches
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT = 300_000
+KEPT = 200_000
 #: Longer words are counted anew each time, so what is kept is bounded in bytes too.
 SHORT = 64
 
