@@ -11,10 +11,10 @@ import zlib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from assonance.functions.text import is_alpha, is_number
+from assonance.functions.text import ALPHA, NUMBER, is_alpha, is_number
 
 #: Stands for the sound of a token that no table knows; a private-use character.
 UNKNOWN = "\ue000"
@@ -46,6 +46,14 @@ class Sounds:
     def is_voiced(self, token: Column) -> Column:
         return is_alpha(token) | is_number(token)
 
+    def reading_sql(self) -> str:
+        """``reading`` of ``token`` as SQL."""
+        raise NotImplementedError
+
+    def selected_sql(self, segments: str) -> str:
+        """``selected`` as SQL."""
+        return segments
+
     def token_phonemes(self, token: Column) -> Column:
         """Selected segments; ``[UNKNOWN]`` if unknown; null if unvoiced."""
         known = self.reading(token)
@@ -93,6 +101,12 @@ class TableSounds(Sounds):
     def selected(self, segments: Column) -> Column:
         return segments if self.select is None else F.array(*[F.try_element_at(segments, F.lit(i + 1)) for i in self.select])
 
+    def reading_sql(self) -> str:
+        return f"try_element_at(element_at({self._sql}, CAST(crc32(coalesce(token, '')) % {BUCKETS} AS INT) + 1), token)"
+
+    def selected_sql(self, segments: str) -> str:
+        return segments if self.select is None else f"array({', '.join(f'try_element_at({segments}, {i + 1})' for i in self.select)})"
+
     def empty_size(self) -> int:
         """Segments of the table's first entry: the arity of an unvoiced token's empty phonemes."""
         return len(next(iter(self.table.values()), ()))
@@ -111,6 +125,9 @@ class LetterSounds(Sounds):
     def selected(self, segments: Column) -> Column:
         return segments
 
+    def reading_sql(self) -> str:
+        return f"CASE WHEN token RLIKE '^[{self.letters}]+$' THEN array(translate(token, '{self.letters}', '{self.classes}')) END"
+
     def token_phonemes(self, token: Column) -> Column:
         # A word of known letters is voiced, so most words need one test.
         return F.when(self.is_known(token), F.array(F.translate(token, self.letters, self.classes))).when(self.is_voiced(token), F.array(F.lit(UNKNOWN)))
@@ -143,6 +160,27 @@ SKELETON = LetterSounds(
 )
 
 
+def register(spark: SparkSession, sounds: Sounds, prefix: str = "g2p_") -> list[str]:
+    """SQL functions of tokens for this session: ``reading``, ``phonemes``, ``syllable``, ``is_voiced``, ``is_unknown`` and ``variants`` (of two).
+
+    They are SQL themselves, so calls of them are optimized like any other expression.  The names made are given back.
+    """
+    letters, numbers = rf"r'{ALPHA}'", rf"r'{NUMBER}'"
+    known = f"{prefix}reading(token)"
+    same = f"{prefix}phonemes(a) IS NOT NULL AND to_json(struct({prefix}phonemes(a))) = to_json(struct({prefix}phonemes(b)))"
+    made = {
+        "reading": ("token STRING", "ARRAY<STRING>", sounds.reading_sql()),
+        "is_voiced": ("token STRING", "BOOLEAN", f"token RLIKE {letters} OR token RLIKE {numbers}"),
+        "is_unknown": ("token STRING", "BOOLEAN", f"{known} IS NULL"),
+        "phonemes": ("token STRING", "ARRAY<STRING>", f"CASE WHEN {prefix}is_voiced(token) THEN CASE WHEN {known} IS NULL THEN array('{UNKNOWN}') ELSE {sounds.selected_sql(known)} END END"),
+        "syllable": ("token STRING", "STRING", f"coalesce(array_join({known}, ''), '')"),
+        "variants": ("a STRING, b STRING", "BOOLEAN", f"coalesce(NOT {prefix}is_unknown(a) AND NOT {prefix}is_unknown(b) AND a <> b AND {same}, false)"),
+    }
+    for name, (takes, gives, value) in made.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({takes}) RETURNS {gives} RETURN {value}")
+    return [prefix + name for name in made]
+
+
 def are_graphic_variants(sounds: Sounds, first: Column, *others: Column) -> Column:
     """Voiced and known tokens of one sound, each other than the first in writing."""
     known = lambda t: sounds.is_voiced(t) & ~sounds.is_unknown(t)

@@ -14,6 +14,10 @@ LOST, LOST_AS = "□○", "〼〇"
 LATE_LETTERS = r"\x{9FFD}-\x{9FFF}\x{2EBF0}-\x{2EE5D}\x{31350}-\x{323AF}"
 
 
+#: A token of letters, and one of numerals.
+ALPHA, NUMBER = rf"^[\p{{L}}{LATE_LETTERS}]+$", r"^[\p{N}〇零一二三四五六七八九十百千萬万億亿兆]+$"
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once.
 
@@ -35,11 +39,11 @@ def normalise(text: Column) -> Column:
 
 
 def is_alpha(token: Column) -> Column:
-    return token.rlike(rf"^[\p{{L}}{LATE_LETTERS}]+$")
+    return token.rlike(ALPHA)
 
 
 def is_number(token: Column) -> Column:
-    return token.rlike(r"^[\p{N}〇零一二三四五六七八九十百千萬万億亿兆]+$")
+    return token.rlike(NUMBER)
 
 
 def is_alnum(token: Column) -> Column:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assonance.functions import text as X
-from assonance.functions.sounds import LATIN, UNKNOWN, TableSounds, are_graphic_variants
+from assonance.functions.sounds import LATIN, UNKNOWN, TableSounds, are_graphic_variants, register
 from assonance.operators import index as I
 from assonance.operators.documents import all_phonemes, make_documents, transcription
 from assonance.sources.corpus import TableLoader
@@ -102,3 +102,17 @@ def test_phonetic_index_leaves_out_unknown_and_marks(spark):
     docs = make_documents(TableLoader().of(rows), LATIN, "char")
     got = {(r["doc_id"], r["start"]): r["key"] for r in I.phonetic_index(docs, 2).collect()}
     assert got == {("1", 0): "ab", ("1", 3): "kd", ("1", 6): "ef", ("2", 1): "ab"}
+
+
+@pytest.mark.parametrize("sounds", [TOY, LATIN, TableSounds({"字": ("0", "1", "2", "dz", "4", "5", "i", None), "子": ("0", "1", "2", "dz", "4", "5", "i", None)})], ids=["toy", "latin", "segments"])
+def test_registered_functions(spark, sounds):
+    """The functions for SQL give what the columns give."""
+    register(spark, sounds, "t_")
+    words = spark.createDataFrame([(w,) for w in ("one", "1", "two", "too", "go", "!", "字", "子", "7", "")] + [(None,)], "token string")
+    t = F.col("token")
+    told = words.select("token", sounds.token_phonemes(t), sounds.syllable(t), sounds.is_unknown(t), sounds.is_voiced(t)).collect()
+    got = words.selectExpr("token", "t_phonemes(token)", "t_syllable(token)", "t_is_unknown(token)", "t_is_voiced(token)").collect()
+    assert list(map(tuple, got)) == list(map(tuple, told))
+    pairs = words.crossJoin(words.toDF("other"))
+    both = pairs.select(are_graphic_variants(sounds, t, F.col("other")).alias("a"), F.expr("t_variants(token, other)").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both) and any(r["a"] for r in both) == (sounds is not LATIN)
