@@ -1,0 +1,272 @@
+"""The registered queries on a folder of odd tables, against plain Python."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from functools import reduce
+
+import numpy as np
+import pytest
+
+from assonance.llm import html_text, quality
+from assonance.llm.queries import queries
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+sentencepiece = pytest.importorskip("sentencepiece")
+
+PASSAGE = " ".join(f"bench{k}" for k in range(20))
+
+
+def made_documents():
+    rng = random.Random(14)
+    good = lambda n: " ".join(f"leaf{rng.randrange(4000)}" for _ in range(n)) + "."
+    rows = [(i, f"read more about this site\n{good(60)}" if i % 3 else good(60), "s" if i % 2 else None) for i in range(90)]
+    rows += [(100 + i, " ".join(f"WORD{i % 7}!!" for _ in range(30)), "s") for i in range(40)]
+    text = good(80)
+    rows += [(200 + i, text + (f" tail{i}" if i % 2 else ""), "t") for i in range(8)] + [(210, f"{PASSAGE} {good(30)}", "t"), (211, f"{PASSAGE} {good(700)}", "t")]
+    rows += [(220, None, "t"), (221, "", "t"), (222, " \n\t", None), (223, good(20_000), "s"), (224, "é日本\x00  x", "s"), (5, rows[5][1], None), (226, "one", "t")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Every table with nulls, empty and long texts, ties, repeated rows and further columns."""
+    top = tmp_path_factory.mktemp("odd")
+    docs = [(i, t, "en", s, len(t or ""), "x") for i, t, s in made_documents()]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, `id.n` string").repartition(4).write.parquet(f"{top}/documents.parquet")
+    labels = [(i, int(i < 100), 0) for i in [*range(90), *range(100, 140)]] + [(3, 1, 0), (None, 1, 0), (4, None, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    spark.createDataFrame([(1, PASSAGE), (2, None), (3, ""), (1, PASSAGE)], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+    rng = np.random.default_rng(3)
+    vectors = [(i, rng.normal(size=6).tolist()) for i in range(120)] + [(200 + i, [1.0] * 6) for i in range(40)] + [(300, None), (301, [0.0] * 6), (302, [None] * 6), (None, [1.0] * 6)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{top}/embeddings.parquet")
+    rng = random.Random(2)
+    page = lambda h, i: f"<html><body><nav>menu</nav><div class=ad{i % 9}>{rng.choice(['buy', 'now', 'only here'])}</div><article><h1>t{i}</h1><div class=k>{h}</div><p>own {i} {'text ' * 9}</p></article><div class=z>z{i % 4}</div>"
+    pages = [(i, f"http://{h}/{i}", page(h, i)) for i, h in enumerate(["a.example"] * 60 + [f"h{k}.example" for k in range(30)] * 2)]
+    pages += [(500, None, None), (501, "http://a.example/", ""), (502, "http://a.example/x", pages[3][2]), (503, "http://b.example/x", pages[3][2])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(f"{top}/pages.parquet")
+    return str(top)
+
+
+@pytest.fixture(scope="module")
+def documents():
+    return made_documents()
+
+
+def rows_of(spark, folder, name):
+    return [r.asDict() for r in queries()[name](spark, folder).collect()]
+
+
+def test_op1(spark, folder, documents):
+    """Sizes differ by less than two records, slots are gapless, equal texts stand together."""
+    rows = rows_of(spark, folder, "op1_shards")
+    told = sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in documents)
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == told and {r["law"] for r in rows} == {"bytes"}
+    by_shard, largest = defaultdict(list), max(r["size"] for r in rows)
+    for r in sorted(rows, key=lambda r: (r["shard"], r["slot"])):
+        by_shard[r["shard"]].append(r)
+    assert set(by_shard) <= set(range(8)) and all([r["slot"] for r in x] == list(range(len(x))) for x in by_shard.values())
+    sizes = [sum(r["size"] for r in by_shard[s]) for s in range(8)]
+    assert max(sizes) - min(sizes) < 2 * largest
+    order = [r["text_crc32"] for s in range(8) for r in by_shard[s]]
+    assert order == sorted(order)
+
+
+def test_op2(spark, folder, documents):
+    rows = rows_of(spark, folder, "op2_line_dedup")
+    texts, seen = defaultdict(set), defaultdict(set)
+    for _, t, s in documents:
+        texts[s].add(t)
+        for x in (t or "").split("\n"):
+            seen[s, x.strip(" \t\r")].add(t)
+    cut = {k for k, v in seen.items() if k[1] and len(v) >= 5 and len(v) / len(texts[k[0]]) > (0.01 if re.search(r"\S\s+\S", k[1]) else 0.1)}
+    want = sorted(((i, None if t is None else "\n".join(x for x in t.split("\n") if (s, x.strip(" \t\r")) not in cut)) for i, t, s in documents), key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in rows), key=str) == want and cut
+
+
+def test_op3(spark, folder):
+    got = rows_of(spark, folder, "op3_neighbours")
+    x = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect() if r["vec_id"] is not None and r["vec_id"] not in (300, 301, 302)}
+    # Not sum(), which compensates for rounding.
+    dot = lambda a, b: reduce(lambda n, pq: n + pq[0] * pq[1], zip(a, b, strict=True), 0.0)
+    want = {(q, n, i, s) for q in x if q % 20 == 0 for n, (s, i) in enumerate(sorted(((dot(x[q], x[i]), i) for i in x if i != q), key=lambda p: (-p[0], p[1]))[:20], 1)}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
+
+
+def by_hand_text(pages):
+    """Texts by a style tree of sets and loops, over the parser's blocks."""
+    host = lambda u: (re.match(r"https?://([^/]+)", u or "") or ["", ""])[1]
+    distinct = defaultdict(set)
+    for _, u, h in pages:
+        if h is not None:
+            distinct[host(u)].add(h)
+    pool = lambda u: host(u) if len(distinct[host(u)]) >= html_text.MIN_HOST else None
+    trees = defaultdict(set)
+    for _, u, h in pages:
+        if h:
+            trees[pool(u)].add(h)
+    low, known = defaultdict(set), defaultdict(set)
+    for name, htmls in trees.items():
+        on, style, content, part, linked, beside = (defaultdict(Counter) for _ in range(6))
+        for h in htmls:
+            found, every = html_text.blocks(h)
+            every = [n for n in every if not n.noise and n.tag not in ("html", "body", "head")]
+            total = sum(len(t) for n, t in found if not n.noise)
+            above = lambda n: [] if n is None or n.tag in html_text.TOP else [n, *above(n.parent)]  # noqa: B023, E731
+            for p in {n.path for n in every}:
+                on[p][h] = 1
+                own = [(n, t) for n, t in found if not n.noise and p in {x.path for x in above(n)}]
+                for t in {t for _, t in own}:
+                    content[p][t] += 1
+                for f in {tuple(c for c, b in zip(n.children, [None, *n.children]) if c != b) for n in every if n.path == p and n.children}:
+                    style[p][f] += 1
+                chars = sum(len(t) for _, t in own)
+                part[p][h] = chars / total if total else 0
+                linked[p][h] = 0.0
+                beside[p][h] = any(n.inside for n in every) and any(n.path == p and not n.inside and not n.holds for n in every)
+        for p, m in on.items():
+            m = len(m)
+            if m < html_text.MIN_PAGES:
+                continue
+            c = 1 - sum(math.log(n) for n in content[p].values()) / len(content[p]) / math.log(m) if content[p] else 0
+            all_ = sum(style[p].values())
+            s = -sum(n / all_ * math.log(n / all_) for n in style[p].values()) / math.log(m) if all_ else 0
+            weight = html_text.GAMMA * c + (1 - html_text.GAMMA) * s
+            cut = weight < html_text.LEAST or sum(beside[p].values()) / m > 0.5 and sum(part[p].values()) / m < html_text.SHARE
+            (low if cut else known)[name].add(p)
+    return {i: html_text.main_text(h, low[pool(u)], known[pool(u)]) for i, u, h in pages}, low
+
+
+def test_op4(spark, folder):
+    pages = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
+    want, low = by_hand_text(pages)
+    got = rows_of(spark, folder, "op4_html_text")
+    assert {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got) and len(low) == 2
+    assert want[3] == "t3 own 3 " + ("text " * 9).strip() and want[100].startswith("t100 h") and want[500] == want[501] == ""
+
+
+def test_op5_and_op9(spark, folder, documents, vocabulary):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    want = Counter((i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 1024) for i, t, _ in documents)
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in rows_of(spark, folder, "op5_token_counts")) == want
+    pieces = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    rows = rows_of(spark, folder, "op9_sentencepiece")
+    want = sorted(((i, None if t is None else pieces.encode(t), None if t is None else hashlib.md5(t.encode()).hexdigest()) for i, t, _ in documents), key=str)
+    assert sorted(((r["doc_id"], r["ids"], r["decoded_md5"]) for r in rows), key=str) == want
+
+
+def slow_score(model, text):
+    """The factorisation machine by its definition: every pair of features."""
+    slots, stats = quality.features(text)
+    x = model.design(slots[None], stats[None])[0].astype(float)
+    on = np.nonzero(x)[0]
+    raw = model.w0 + sum(model.w[i] * x[i] for i in on) + sum(float(model.v[i] @ model.v[j]) * x[i] * x[j] for a, i in enumerate(on) for j in on[a + 1 :])
+    return 1 / (1 + math.exp(-max(-30, min(30, raw))))
+
+
+def test_op6(spark, folder, documents):
+    rows = rows_of(spark, folder, "op6_quality")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = quality.train(docs.select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet"))
+    scores = defaultdict(list)
+    for i, t, _ in documents:
+        scores[i].append(t)
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1
+        if r["doc_id"] % 9 == 0 or r["doc_id"] >= 220:
+            assert any(abs(r["score"] - slow_score(model, t)) < 1e-3 for t in scores[r["doc_id"]])
+    assert np.mean([r["predicted"] == (r["doc_id"] < 100) for r in rows if r["doc_id"] < 140]) > 0.95 and len(rows) == len(documents)
+
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def hits(text):
+    words, bench = words_of(text), words_of(PASSAGE)
+    windows = {tuple(bench[i : i + 13]) for i in range(8)}
+    return len(words), len({j for s in range(len(words) - 12) if tuple(words[s : s + 13]) in windows for j in range(s, s + 13)})
+
+
+def test_op7(spark, folder, documents):
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = Counter()
+    for i, t, _ in documents:
+        n, hit = hits(t)
+        want[i, n, hit, int(hit > 0), digest("1" if hit else ""), hit > 0 and 20 * hit >= n] += 1
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert Counter(tuple(r[c] for c in names) for r in rows_of(spark, folder, "op7_decontaminate")) == want
+    assert {k[0] for k in want if k[5]} == {210}
+
+
+def test_op8(spark, folder):
+    pages = {r["page_id"]: (r["html"] or "").encode() for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    first = {}
+    for i in sorted(pages):
+        first.setdefault(pages[i], i)
+    sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    want = {(i, len(b), sha(b), "response" if first[b] == i else "revisit", None if first[b] == i else first[b]) for i, b in pages.items()}
+    assert {(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in rows_of(spark, folder, "op8_warc")} == want
+
+
+def near_groups(docs, width, percent=80):
+    """id -> least id of its component, by comparing all pairs."""
+    sets = {}
+    for i, t in docs:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+    low = {i: i for i in sets}
+    moved = True
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    while moved:
+        moved = False
+        for a, b in links:
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                moved = True
+    return sets, low
+
+
+def test_op10(spark, folder, documents):
+    sets, low = near_groups({i: t for i, t, _ in documents}.items(), 2)
+    want = Counter((i, len(sets[i]), low[i], low[i] == i) for i, _, _ in documents)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows_of(spark, folder, "op10_near_dup")) == want
+
+
+def test_the_pipeline(spark, folder, documents, vocabulary):
+    """All five stages by hand, over the classifier's own scores."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    slots, stats = (np.stack(x) for x in zip(*[quality.features(t) for _, t, _ in documents], strict=True))
+    left = [d for d, p in zip(documents, model.probability(slots, stats), strict=True) if p >= 0.7]
+    texts, seen = defaultdict(set), defaultdict(set)
+    for _, t, s in left:
+        texts[s].add(t)
+        for x in (t or "").split("\n"):
+            seen[s, x.strip(" \t\r")].add(t)
+    cut = {k for k, v in seen.items() if k[1] and len(v) >= 5 and len(v) / len(texts[k[0]]) > (0.01 if re.search(r"\S\s+\S", k[1]) else 0.1)}
+    left = [(i, None if t is None else "\n".join(x for x in t.split("\n") if (s, x.strip(" \t\r")) not in cut)) for i, t, s in left]
+    _, low = near_groups(dict(left).items(), 5)
+    left = [(i, t) for i, t in left if low[i] == i]
+    left = [(i, t) for i, t in left if not (hits(t)[1] > 0 and 20 * hits(t)[1] >= hits(t)[0])]
+    pieces = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    want = sorted(((i, None if t is None else pieces.encode(t)) for i, t in left), key=str)
+    assert sorted(((r["doc_id"], r["ids"]) for r in corpus_pipeline.run(spark, folder).collect()), key=str) == want
+    assert cut and 80 < len(want) < len(documents) - 40
+
+
+def test_no_labels_and_empty_tables(spark, folder, tmp_path):
+    """Without labels all documents stay; every query takes empty tables."""
+    for name in ("documents", "labels", "benchmark", "embeddings", "pages"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = corpus_pipeline.keep_good(spark, docs, str(tmp_path))
+    assert kept.count() == docs.count() and kept.columns == docs.columns
+    for name, query in queries().items():
+        assert query(spark, str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
