@@ -80,7 +80,9 @@ class JsonLinesLoader:
 
     def __call__(self, spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         files = check_paths(spark, paths, self.suffix)
-        order = F.array_position(F.array(*[F.lit(os.path.basename(f)) for f in files]), F.col("_metadata.file_name"))
+        # Whole paths, since files of one name may stand in several folders.
+        whole = [f if "://" in f else f"file://{os.path.abspath(f)}" for f in files]
+        order = F.array_position(F.array(*map(F.lit, whole)), F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))))
         lines = spark.read.text(files).where(F.trim("value") != "")
         parsed = lines.select(
             F.from_json("value", "map<string,string>").alias("o"),

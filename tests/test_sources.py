@@ -5,6 +5,8 @@ import json
 import logging
 
 import pytest
+
+from assonance.sources.corpus import JsonLinesLoader
 from pyspark.sql import functions as F
 
 from assonance import cli
@@ -114,3 +116,12 @@ def test_stream(spark, tmp_path):
     assert query.exception() is None
     got = {frozenset((r["u_id"], r["v_id"])) for r in spark.read.parquet(f"{tmp_path}/seeds").collect()}
     assert got == {frozenset("12"), frozenset("13"), frozenset("23")}
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    """Documents keep the order of paths, also of paths with odd signs."""
+    for folder, id in (("b +x", "1"), ("a", "2")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.jsonl").write_text("\n".join(json.dumps({"id": f"{id}{k}", "text": "t"}) for k in "xyz"))
+    got = JsonLinesLoader()(spark, [f"{tmp_path}/b +x/*.jsonl", f"{tmp_path}/a/*.jsonl"]).orderBy("place").collect()
+    assert [r["id"] for r in got] == ["1x", "1y", "1z", "2x", "2y", "2z"]
