@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from assonance.llm import decontaminate, html_text, line_dedup, near_dup, neighbours, pieces, quality, sharding, token_counts, warc
 from assonance.llm.batches import small_batches
 from assonance.plans.durable import durable
+from assonance.plans.spread import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
