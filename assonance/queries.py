@@ -23,6 +23,7 @@ from assonance.operators.reuse import ReuseConfig, find_reuse
 from assonance.operators.seeds import cross_corpus_seeds, find_seeds
 from assonance.plans.durable import shared_dir
 from assonance.plans.ordinal import with_ordinal
+from assonance.plans.spread import spread
 from assonance.sources.corpus import TableLoader
 from assonance.sources.tables import read_sound_table, table_sounds
 
@@ -33,7 +34,7 @@ CONFIG = ReuseConfig(ngram_order=ORDER, tokeniser="word", filters=Filters(min_le
 
 
 def _corpus(spark: SparkSession, sf_dir: str, table: str = "documents", id: str = "doc_id") -> DataFrame:
-    return TableLoader(id).of(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(id, "text"))
+    return TableLoader(id).of(spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(id, "text")))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from assonance.operators import index as I
 from assonance.operators.documents import all_phonemes, make_documents, transcription
 from assonance.sources.corpus import TableLoader
 
+# Passages, places and results of known cases, which must match.
 TOY = TableSounds({"1": ("w", "ʌn"), "one": ("w", "ʌn"), **dict.fromkeys(("2", "two", "to", "too"), ("t", "uː")), "3": ("θ", "riː"), "three": ("θ", "riː")}, select=None)
 
 

@@ -108,3 +108,13 @@ def test_batches_are_bounded(spark):
     at_most(spark, name, 1 << 20)
     assert spark.conf.get(name).removesuffix("b") == str(1 << 20)
     spark.conf.unset(name)
+
+
+def test_small_tables_are_dealt_out(spark, tmp_path):
+    from assonance.plans import spread as S
+
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    parts = S.spread(table).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(parts) == 1000 and min(parts) > 100
+    assert S.spread(table.repartition(1).where("id < 0")).count() == 0

@@ -31,6 +31,7 @@ def frame(spark, texts, matches, sounds=NONE):
     return ReuseFrame(docs, spark.createDataFrame(rows, MATCH))
 
 
+# Passages, places and results of known cases, which must match.
 THREE = {"1": "與朋友交言而有信雖曰未學吾", "2": "與朋友交言而有信雖曰已學吾", "3": "與朋友交言而有信雖未讀書吾"}
 
 
@@ -45,6 +46,7 @@ def test_extension_in_a_frame(spark):
 def test_filter_and_order(spark):
     f = frame(spark, {"1": "abcdefg123", "2": "abcdefg456", "3": "456nothing"}, [("1", "2", 0, 7, 0, 7), ("2", "3", 7, 10, 3, 6)])
     assert [r["u_id"] for r in f.filter(M.length() > 3).matches.collect()] == ["1"]
+    # A known order.
     rows = [("d1", "d3", 8, 10, 0, 2), ("d1", "d3", 0, 4, 4, 9), ("d1", "d2", 10, 12, 0, 2), ("d1", "d3", 4, 9, 4, 9), ("d1", "d2", 2, 4, 6, 8), ("d1", "d2", 7, 9, 6, 8), ("d2", "d3", 6, 8, 6, 8)]
     named = spark.createDataFrame([(*r, 0.0, f"m{i}") for i, r in enumerate(rows, 1)], "u_id string, v_id string, u_start int, u_end int, v_start int, v_end int, weight double, name string")
     assert [r["name"] for r in named.orderBy(*M.order_of_matches()).collect()] == ["m5", "m6", "m3", "m2", "m4", "m1", "m7"]
