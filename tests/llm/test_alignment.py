@@ -1,0 +1,120 @@
+"""Token alignment against the libraries on whole texts and plain loops over bytes."""
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from assonance.llm import alignment
+from assonance.llm.queries import queries
+
+tokenizers = pytest.importorskip("tokenizers")
+sentencepiece = pytest.importorskip("sentencepiece")
+
+
+@pytest.fixture(scope="module")
+def encode(vocabulary):
+    """Ids and bytes of the tokens of a whole text, by both libraries."""
+    a = tokenizers.Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte = {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in shown)}
+
+    def both(text):
+        ids_a, ids_b = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+        named = [bytes(byte[c] for c in a.id_to_token(i)) for i in ids_a]
+        pieces = [b.id_to_piece(i) for i in ids_b]
+        return ids_a, named, ids_b, [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids_b, pieces, strict=True)]
+
+    return both
+
+
+def ends_of(parts):
+    out, at = [], 0
+    for p in parts:
+        out.append((at, at + len(p)))
+        at += len(p)
+    return out
+
+
+def expected(rows, encode):
+    told, held = [], Counter()
+    for doc_id, text in rows:
+        ids_a, bytes_a, ids_b, bytes_b = encode(text) if text else ([], [], [], [])
+        whole = (" " + (text or "")).encode()
+        if not text or b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
+            told.append((doc_id, [], [], [], []))
+            continue
+        a, b = ends_of(bytes_a), ends_of(bytes_b)
+        links = [(ids_a[i], ids_b[j]) for i, (s, e) in enumerate(a) for j, (t, f) in enumerate(b) if s < f and t < e] if len(a) < 3000 else swept(ids_a, a, ids_b, b)
+        cuts = sorted({e for _, e in a} & {e for _, e in b})
+        groups = [([], []) for _ in cuts]
+        for side, ids, spans in ((0, ids_a, a), (1, ids_b, b)):
+            g = 0
+            for i, (_, e) in zip(ids, spans, strict=True):
+                groups[g][side].append(str(i))
+                g += e == cuts[g]
+        held.update(set(links))
+        told.append((doc_id, ids_a, ids_b, groups, links))
+    most = defaultdict(int)
+    for (a, _), n in held.items():
+        most[a] = max(most[a], n)
+    out = []
+    for doc_id, ids_a, ids_b, groups, links in told:
+        digest = hashlib.sha256(";".join(f"{','.join(a)}|{','.join(b)}" for a, b in groups).encode()).hexdigest() if groups else ""
+        out.append((doc_id, len(ids_a), len(ids_b), len(groups), len(links), sum(held[x] == most[x[0]] for x in links), sum(held[x] for x in links), digest))
+    return out
+
+
+def swept(ids_a, a, ids_b, b):
+    i = j = 0
+    out = []
+    while i < len(a) and j < len(b):
+        out.append((ids_a[i], ids_b[j]))
+        e, f = a[i][1], b[j][1]
+        i, j = i + (e <= f), j + (f <= e)
+    return out
+
+
+COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+ODD = [
+    None, "", " ", "\n", "  two  spaces ", "a\tb\n\nc  d", " lead", "trail ", "x \n y", "e f 　g", "<|endoftext|> and <s> or </s> <unk>", "<0x41> <0x0A>", "▁ under▁score", "日本語のテキスト 見る",
+    "don't they'll we've", "émigré naïve \U0001f600‍", "a\x00b \x1f c \x85 d", "1234567 89", "....!!!! ???", "ﬁ Å ① ½", "https://x.example/a?b=c&d=e#f", "é combining", "\r\n \r\n", "a" * 3000, "b " * 500, "﻿bom", "tab\t tab",
+]
+
+
+def test_query(spark, tmp_path, encode):
+    rng = random.Random(8)
+    words = [w for x in ODD if x for w in x.split(" ")] + "the reader found another page of recipes about warm bread".split()
+    rows = list(enumerate(ODD)) + [(100 + i, "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", "  ", " \n", ""]) for _ in range(rng.randrange(60)))) for i in range(200)]
+    rows += [(400, " ".join(rng.choice(words) for _ in range(6000))), (5, ODD[5]), (5, ODD[5]), (None, "the reader")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("row", "block", "place", "number", "pair", "n", "a")})
+    frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r[c] for c in COLUMNS) for r in queries()["op12_token_alignment"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(expected(rows, encode), key=repr)
+
+
+def test_smallest_table_whole(spark, encode):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = [tuple(r[c] for c in COLUMNS) for r in queries()["op12_token_alignment"](spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(expected(rows, encode))
+
+
+def test_blocks_groups_and_counts(spark, docs, no_docs, vocabulary, encode, monkeypatch):
+    """Many small blocks give what one gives; groups as text; pair counts; columns of clashing names stay apart."""
+    a, b = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    one = alignment.align(docs, a, b, keep=docs.columns, with_groups=True)
+    monkeypatch.setattr(alignment, "BLOCK", 40)
+    many = alignment.align(docs, a, b, keep=["doc_id", "n"])
+    columns = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    take = lambda f: sorted(([r["row"]["doc_id"], *(r[c] for c in columns)] for r in f.collect()), key=repr)
+    assert take(one.documents) == take(many.documents)
+    assert sorted(one.pair_counts.collect()) == sorted(many.pair_counts.collect())
+    told = {r["row"]["doc_id"]: r["groups"] for r in one.documents.collect()}
+    assert hashlib.sha256(told[1].encode()).hexdigest() == next(r["groups_sha256"] for r in one.documents.collect() if r["row"]["doc_id"] == 1)
+    counts = Counter(x for i, t in ((r["doc_id"], r["text"]) for r in docs.collect()) if t for x in set(swept(*(y for k in (0, 2) for y in (encode(t)[k], ends_of(encode(t)[k + 1]))))))
+    assert {(r["a"], r["b"]): r["n"] for r in one.pair_counts.collect()} == dict(counts)
+    assert alignment.align(no_docs, a, b, keep=["doc_id"]).documents.count() == 0
