@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assonance.llm import decontaminate, html_text, line_dedup, near_dup, neighbours, pieces, quality, sharding, token_counts, warc
+from assonance.llm import alignment, decontaminate, exact_dedup, html_text, line_dedup, near_dup, neighbours, pieces, quality, runs, sharding, token_counts, warc
 from assonance.llm.batches import small_batches
 from assonance.plans.durable import durable
 from assonance.plans.spread import spread
@@ -105,6 +105,35 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = runs.with_runs(docs, runs.with_planted_run(F.col("doc_id"), F.col("text")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    best = runs.densest(F.col("runs"))
+    return out.withColumn("best", best).select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs, _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
+    return found.documents.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = exact_dedup.groups(docs)
+    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shards": op1_shards,
@@ -117,6 +146,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_near_dup": op10_near_dup,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
@@ -127,6 +159,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontaminate": OP7_SQL,
         "op8_warc": OP8_SQL,
         "op10_near_dup": OP10_SQL,
+        "op13_exact_dedup": OP13_SQL,
     }
 
 
@@ -218,6 +251,13 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
 FROM bits JOIN first USING (html)
 """
 
+OP13_SQL = r"""
+WITH doc AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id IS NOT DISTINCT FROM min(doc_id) OVER same AS kept, text_sha256
+FROM doc WINDOW same AS (PARTITION BY text_sha256)
+"""
+
 OP3_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
