@@ -21,14 +21,17 @@ Pages of a tree with equal html (by MD5) count as one page.  Inside an article
 or main element the tree may cut only containers, never paragraphs, headings,
 lists or tables, and what is around an article can't cut it.
 
-What the tree can't tell holds on every page: elements whose tag, landmark
-role or attribute says so (script, nav, footer, form, hidden ...), and reader
-comments, whose words differ on every page, go.  Names of classes and ids
-(adverts, sidebars, notices) decide inside an article, and elsewhere only
-about elements that the tree hasn't judged; of those, nothing beside an
-article stays.  A name counts by its last word (``share-prices`` are prices),
-after words such as list or box.  A page is never cut to nothing: what leaves
-no text is undone, first the tree's cuts, then the names'.
+What HTML itself says isn't shown or isn't text (script, style, form, hidden
+...) goes on every page, and so do reader comments, whose words differ on
+every page.  Landmarks (nav, footer, aside, a header beside the article, and
+elements of such roles) and names of classes and ids (adverts, sidebars,
+notices) are only a presumption: what an element so called has goes unless the
+tree has judged it and found at least ``NAMED`` of its pages' text in it, or,
+where it hasn't been judged, at least half of the article's text on the page
+at hand stands in it.  A name counts by its last word (``share-prices`` are
+prices), after words such as list or box.  Of what the tree hasn't judged,
+nothing beside an article stays.  A page is never cut to nothing: what leaves
+no text is undone, first the tree's cuts, then the names', never landmarks.
 
 A null or empty page has an empty text.  Null hosts form one host.  Unclosed
 and truncated markup is closed at the end of the page; a tag that isn't ended
@@ -55,7 +58,7 @@ from assonance.llm.batches import small_batches
 from assonance.plans.durable import durable
 from assonance.plans.joins import bounded_join, skewed_join
 
-GAMMA, LEAST, LINKS, SHARE = 0.9, 0.4, 0.6, 0.15
+GAMMA, LEAST, LINKS, SHARE, NAMED = 0.9, 0.4, 0.6, 0.15, 0.3
 MIN_PAGES, MIN_HOST = 10, 30
 #: Judged elements that every worker may hold (17 bytes each).
 VERDICTS = 1_000_000
@@ -73,16 +76,17 @@ CLOSES = {
     "thead": ("thead tbody tfoot tr td th", ("table",)), "tbody": ("thead tbody tfoot tr td th", ("table",)),
 }
 NOT_TEXT = frozenset(
-    "head script style noscript template nav footer aside form button select textarea input iframe svg canvas object dialog menu "
+    "head script style noscript template form button select textarea input iframe svg canvas object dialog menu "
     "title xmp noembed noframes audio video map".split()
 )
+LANDMARKS = frozenset("nav footer aside".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
     "sidebar footer cookie cookies consent notice notices alert popup modal newsletter subscribe subscription signup login share "
     "sharing social related recommended breadcrumb breadcrumbs pagination pager widget toolbar contentinfo complementary "
-    "alertdialog dialog search".split()
+    "alertdialog dialog search reply respond".split()
 )
 #: Words of a name that say nothing behind another, and words before which a name says what isn't there.
 BEHIND = frozenset("list area section wrapper wrap container box block slot unit left right top bottom inner outer panel form item items posts articles stories".split())
@@ -90,16 +94,23 @@ BEFORE = frozenset("no not has with without is".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody tr td th article main".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z|<([a-zA-Z][^\s/>]*)[^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
+#: One attribute after the other, so that nothing inside a value or a longer name is taken for a name.
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 
 
+#: What speaks against an element: nothing, a name of a class or id, a landmark.
+UNNAMED, NAME, LANDMARK = range(3)
+
+
 class Node:
-    __slots__ = ("tag", "path", "parent", "noise", "named", "inside", "holds", "children", "chars", "links")
+    __slots__ = ("tag", "path", "parent", "noise", "says", "named", "inside", "holds", "children", "chars", "links")
 
-    def __init__(self, tag: str, path: int, parent: Node | None, noise: bool, named: bool, inside: bool) -> None:
-        self.tag, self.path, self.parent, self.noise, self.named, self.inside = tag, path, parent, noise, named, inside
+    def __init__(self, tag: str, path: int, parent: Node | None, noise: bool, says: int, named: int, inside: bool) -> None:
+        self.tag, self.path, self.parent, self.noise, self.inside = tag, path, parent, noise, inside
+        #: What its own name says, and the most that those around it say.
+        self.says, self.named = says, named
         self.children: list[int] = []
         #: Whether an article or main element is inside; characters of its own text, and of links in it.
         self.holds, self.chars, self.links = False, 0, 0
@@ -121,41 +132,48 @@ def _says(names: str) -> set[str]:
     return out
 
 
+def _attributes(told: str) -> dict[str, str]:
+    """Attributes by their lower-case names; of one name the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(told):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
 def _open(tag: str, attributes: str, parent: Node) -> Node:
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
+    found = _attributes(attributes) if attributes else {}
     names = f"{found.get('class', '')} {found.get('id', '')}" if found else ""
-    form = _hash(f"{tag} {_DIGITS.sub('#', ' '.join(sorted(names.split())))}") if names else _hash(tag)
-    noise, named = parent.noise, parent.named
+    form = _hash(f"{tag} {_DIGITS.sub('#', ' '.join(sorted(names.split())))}") if names.strip() else _hash(tag)
+    noise, says = parent.noise, UNNAMED
     article = tag in ("article", "main")
     if not noise and not article and tag not in ("html", "body"):
-        says = _says(names) if names else ()
+        said = _says(names) if names else set()
         noise = (
             tag in NOT_TEXT
-            or tag == "header" and not parent.inside
-            or bool(found) and (
-                not COMMENTS.isdisjoint(says)
-                or found.get("role", "").lower() in ROLES
-                or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-            )
+            or not COMMENTS.isdisjoint(said)
+            or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         )
-        said = not NAMES.isdisjoint(says) or not parent.inside and "header" in says
-        named = named or said and tag not in PLAIN
+        if tag in LANDMARKS or found.get("role", "").lower() in ROLES or tag == "header" and not parent.inside:
+            says = LANDMARK
+        elif tag not in PLAIN and (not NAMES.isdisjoint(said) or not parent.inside and "header" in said):
+            says = NAME
     parent.children.append(form)
     path = _hash(f"{parent.path} {form}")
-    inside = parent.inside or article and not noise
+    named = max(parent.named, says)
+    inside = parent.inside or article and not noise and named < LANDMARK
     if inside and not parent.inside:
         # What is around an article doesn't speak for it.
-        named = False
+        named = UNNAMED
         around: Node | None = parent
         while around is not None and not around.holds:
             around.holds = True
             around = around.parent
-    return Node(tag, path, parent, noise, named, inside)
+    return Node(tag, path, parent, noise, says, named, inside)
 
 
 def blocks(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     """Blocks of text with the element each stands in, in page order, and all elements that aren't inline."""
-    root = Node("", 0, None, False, False, False)
+    root = Node("", 0, None, False, UNNAMED, UNNAMED, False)
     now, every, out, held = root, [], [], []
     at, size = 0, len(page)
     in_link, linked = False, 0
@@ -238,47 +256,66 @@ Paths = frozenset[int] | set[int]
 TOP = ("", "html", "body")
 
 
-def main_text(page: str | None, low: Paths, known: Paths = frozenset()) -> str:
-    """The text of a page; ``low`` are the paths that the tree cuts, ``known`` (and these) those that it has judged."""
+def _large_here(told: list[tuple[Node, str]], article: bool) -> set[int]:
+    """Elements with a name that speaks against them, but with half of the article's text (without one, of all text) or more."""
+    bound = [(n, len(t)) for n, t in told if n.inside or not article]
+    below: Counter = Counter()
+    for node, size in bound:
+        at: Node | None = node
+        while at is not None and at.named:
+            if at.says == NAME:
+                below[id(at)] += size
+            at = at.parent
+    half = sum(size for _, size in bound) / 2
+    return {k for k, size in below.items() if size >= half}
+
+
+def main_text(page: str | None, low: Paths, known: Paths = frozenset(), large: Paths = frozenset()) -> str:
+    """The text of a page; ``low`` are the paths that the tree cuts, ``known`` and ``large`` (and these) those that it has judged, ``large`` those with much of their pages' text."""
     if not page:
         return ""
     found, _ = blocks(page)
     told = [(n, t) for n, t in found if not n.noise]
     article = any(n.inside for n, _ in told)
-    states: dict[int, tuple[bool, bool]] = {}
+    here = _large_here(told, article) if article and any(n.named for n, _ in told) else ()
+    states: dict[int, tuple[bool, bool, bool]] = {}
 
-    def state(node: Node) -> tuple[bool, bool]:
-        """Whether the element or one around it (an article looks no further) is low, and is judged; pages may nest deeper than calls can."""
+    def state(node: Node) -> tuple[bool, bool, bool]:
+        """Whether the element or one around it (an article looks no further) is low, is judged, is cut for what it's called; pages may nest deeper than calls can."""
         chain: list[Node] = []
         at: Node | None = node
         while at is not None and at.tag not in TOP and id(at) not in states:
             chain.append(at)
             at = at.parent
-        last = (False, False) if at is None or at.tag in TOP else states[id(at)]
+        last = (False, False, False) if at is None or at.tag in TOP else states[id(at)]
         for n in reversed(chain):
             if n.tag in ("article", "main") and n.inside and not n.parent.inside:
-                last = (False, False)
-            elif not n.holds:
-                is_low = n.path in low
-                may = not (n.inside and n.tag in PLAIN)
-                last = (last[0] or is_low and may, last[1] or is_low or n.path in known)
+                last = (False, False, False)
+            else:
+                judged = n.path in low or n.path in known or n.path in large
+                named = n.says and n.path not in large and (judged or id(n) not in here)
+                if n.holds:
+                    last = (last[0], last[1], last[2] or bool(named))
+                else:
+                    is_low = n.path in low and not (n.inside and n.tag in PLAIN)
+                    last = (last[0] or is_low, last[1] or judged, last[2] or bool(named))
             states[id(n)] = last
         return last
 
     def stays(node: Node) -> bool:
-        cut, judged = state(node)
-        if cut or node.named and (node.inside or not judged):
-            return False
-        return node.inside or not article or judged
+        cut, judged, named = state(node)
+        return not cut and not named and (node.inside or not article or judged)
 
     kept = [t for n, t in told if stays(n)]
     if not kept:
         bound = [(n, t) for n, t in told if n.inside] if article else told
-        kept = [t for n, t in bound if not n.named] or [t for _, t in bound]
+        kept = [t for n, t in bound if not n.named] or [t for n, t in bound if n.named < LANDMARK]
     return " ".join(kept)
 
 
 PRESENCE, STYLE, CONTENT, PART, LINKED, BESIDE = range(6)
+#: Verdicts, in the order in which ``main_text`` takes their paths.
+LOW, KNOWN, LARGE = range(3)
 
 
 def _page_counts(page: str, counts: Counter, pool: int, share: float) -> None:
@@ -367,7 +404,7 @@ def host_of(url: Column) -> Column:
 
 
 def verdicts(pages: DataFrame, url: str = "url", html: str = "html", least: float = LEAST, min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame, int]:
-    """``pool``, ``path`` and ``low`` of all judged elements; the hosts that have a tree of their own, and how many."""
+    """``pool``, ``path`` and ``verdict`` of all judged elements; the hosts that have a tree of their own, and how many."""
     keyed = pages.select(F.xxhash64(host_of(F.col(f"`{url}`"))).alias("host"), F.col(f"`{html}`").alias("html"), F.unhex(F.md5(f"`{html}`")).alias("digest"))
     distinct = durable(keyed.where(F.col("digest").isNotNull()).groupBy("host", "digest").agg(F.count("*").alias("copies")))
     large = durable(distinct.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_HOST).select("host", F.col("host").alias("own")))
@@ -378,24 +415,25 @@ def verdicts(pages: DataFrame, url: str = "url", html: str = "html", least: floa
     counts = site_counts(told.select("pool", "html", F.coalesce("copies", F.lit(1)).alias("copies")))
     low = (F.col("importance") < least) | (F.col("linked") > LINKS) | (F.col("beside") > 0.5) & (F.col("part") < SHARE)
     judged = importance(counts).where(F.col("pages") >= min_pages)
-    return durable(judged.select("pool", "path", low.alias("low"))), large, n_large
+    kind = F.when(low, LOW).when(F.col("part") >= NAMED, LARGE).otherwise(KNOWN).cast("tinyint").alias("verdict")
+    return durable(judged.select("pool", "path", kind)), large, n_large
 
 
 class _Judged:
     """All verdicts in a worker, as sorted arrays; those of a pool as sets once a page of it is met."""
 
-    def __init__(self, pool: np.ndarray, path: np.ndarray, low: np.ndarray) -> None:
+    def __init__(self, pool: np.ndarray, path: np.ndarray, verdict: np.ndarray) -> None:
         order = np.argsort(pool, kind="stable")
-        self.pool, self.path, self.low = pool[order], path[order], low[order]
-        self.met: dict[int, tuple[frozenset[int], frozenset[int]]] = {}
+        self.pool, self.path, self.verdict = pool[order], path[order], verdict[order]
+        self.met: dict[int, tuple[frozenset[int], ...]] = {}
 
-    def of(self, pool: int) -> tuple[frozenset[int], frozenset[int]]:
+    def of(self, pool: int) -> tuple[frozenset[int], ...]:
         if pool not in self.met:
             if len(self.met) >= 64:
                 self.met.clear()
             here = slice(*np.searchsorted(self.pool, [pool, pool + 1]).tolist())
-            path, low = self.path[here], self.low[here]
-            self.met[pool] = frozenset(path[low].tolist()), frozenset(path[~low].tolist())
+            path, verdict = self.path[here], self.verdict[here]
+            self.met[pool] = tuple(frozenset(path[verdict == v].tolist()) for v in (LOW, KNOWN, LARGE))
         return self.met[pool]
 
 
@@ -410,8 +448,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", least: float
     if judged.count() > limit:
         return _joined(rows, judged)
     table = judged.toArrow()
-    columns = [table.column(c).to_numpy() for c in ("pool", "path", "low")]
-    held = pages.sparkSession.sparkContext.broadcast((columns[0], columns[1], columns[2].astype(bool)))
+    held = pages.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("pool", "path", "verdict")))
 
     @F.arrow_udf("string")
     def text(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -433,12 +470,12 @@ def _joined(rows: DataFrame, judged: DataFrame) -> DataFrame:
 
     each = stored.select("id", "pool", "html").mapInArrow(paths, "id long, pool long, path long")
     met = skewed_join(durable(each), judged, ["pool", "path"], spread=F.xxhash64("id"))
-    of = lambda low: F.collect_list(F.when(F.col("low") == low, F.col("path")))
-    own = stored.join(met.groupBy("id").agg(of(True).alias("low"), of(False).alias("known")), "id", "left")
+    of = lambda v: F.collect_list(F.when(F.col("verdict") == v, F.col("path")))
+    own = stored.join(met.groupBy("id").agg(of(LOW).alias("low"), of(KNOWN).alias("known"), of(LARGE).alias("large")), "id", "left")
 
     @F.arrow_udf("string")
-    def text(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def text(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([main_text(p, set(a or ()), set(b or ())) for p, a, b in zip(*(c.to_pylist() for c in batch), strict=True)], pa.string())
+            yield pa.array([main_text(p, *(set(x or ()) for x in paths)) for p, *paths in zip(*(c.to_pylist() for c in batch), strict=True)], pa.string())
 
-    return own.select("row", text("html", "low", "known").alias("text"))
+    return own.select("row", text("html", "low", "known", "large").alias("text"))

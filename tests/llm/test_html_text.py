@@ -96,3 +96,26 @@ def test_menus_of_other_words(spark):
     rows = [("h.example", page.format("".join(f"<p><a>word{i} {j}</a></p>" for j in range(5)), i)) for i in range(40)]
     got = extract(pages_of(spark, rows)).select("row.page_id", "text").orderBy("page_id").collect()
     assert [r["text"] for r in got] == [f"own text {i} with a link and more" for i in range(40)]
+
+
+ATTRIBUTES = [
+    ("<article><p title='what is hidden here'>a</p><p data-hidden=\"false\">b</p></article>", "a b"), ("<article><div data-class='ad'>a</div><div data-role=menu>b</div></article>", "a b"),
+    ("<article><div data-x=' class=\"ad\" '>a</div></article>", "a"), ("<article><p>a</p><div class=ad class=x>no</div><div CLASS = 'ad'>no</div></article>", "a"), ("<p aria-label='hidden'>a</p><p hidden=''>no</p>", "a"),
+    ("<article><section id='reply'><p>most of the text stands here</p></section><p>b</p></article>", "most of the text stands here b"),
+    ("<article><p>b</p><div class='image-search'><p>how images are found</p></div></article>", "b how images are found"), ("<aside><article><p>a teaser</p></article></aside><article><p>a</p></article>", "a"),
+    ("<nav><p>only a menu</p></nav>", ""), ("<article><p>a long enough text of its own</p><aside>no</aside><div class=advert>no</div></article>", "a long enough text of its own"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), ATTRIBUTES, ids=range(len(ATTRIBUTES)))
+def test_attributes_and_presumptions(page, text):
+    assert main_text(page, set()) == text
+
+
+def test_the_tree_overrules_names(spark):
+    """What is called a sidebar on every page of a site but has half of its text is none; a menu that no name gives away is one."""
+    page = "<article><p>lead {i} {w}</p><div class=sidebar><p>text {i} {w}</p></div><div class=x>share this</div></article><div class=y><a>next</a></div>"
+    rows = [("h.example", page.format(i=i, w="word " * 9)) for i in range(40)]
+    got = extract(pages_of(spark, rows)).select("row.page_id", "text").orderBy("page_id").collect()
+    told = lambda k, i: f"{k} {i} {('word ' * 9).strip()}"
+    assert [r["text"] for r in got] == [f"{told('lead', i)} {told('text', i)}" for i in range(40)]

@@ -8,11 +8,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from functools import reduce
+from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
 import pytest
 
-from assonance.llm import html_text, quality
+from assonance.llm import quality
 from assonance.llm.queries import queries
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -97,48 +99,91 @@ def test_op3(spark, folder):
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
 
 
+class Plain(HTMLParser):
+    """Elements of a well-formed page as dicts, with the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.top = self.now = {"path": (), "up": None, "forms": [], "tag": ""}
+        self.every, self.blocks = [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        form = (tag, re.sub(r"\d+", "#", dict(attrs).get("class") or ""))
+        self.now["forms"].append(form)
+        self.now = {"path": (*self.now["path"], form), "up": self.now, "forms": [], "tag": tag, "name": dict(attrs).get("class") or ""}
+        self.every.append(self.now)
+
+    def handle_endtag(self, tag):
+        while self.now["tag"] != tag:
+            self.now = self.now["up"]
+        self.now = self.now["up"]
+
+    def handle_data(self, data):
+        if data.strip():
+            self.blocks.append((self.now, " ".join(data.split())))
+
+
+def chain(node):
+    """The element and those around it, without the page's own."""
+    return [] if node["tag"] in ("", "html", "body") else [node, *chain(node["up"])]
+
+
 def by_hand_text(pages):
-    """Texts by a style tree of sets and loops, over the parser's blocks."""
+    """Texts by a style tree of sets and loops, with another parser; for pages of nav, named div and article elements."""
     host = lambda u: (re.match(r"https?://([^/]+)", u or "") or ["", ""])[1]
     distinct = defaultdict(set)
     for _, u, h in pages:
         if h is not None:
             distinct[host(u)].add(h)
-    pool = lambda u: host(u) if len(distinct[host(u)]) >= html_text.MIN_HOST else None
+    pool = lambda u: host(u) if len(distinct[host(u)]) >= 30 else None
     trees = defaultdict(set)
     for _, u, h in pages:
         if h:
             trees[pool(u)].add(h)
-    low, known = defaultdict(set), defaultdict(set)
+    inside = lambda n: any(x["tag"] == "article" for x in chain(n))
+    low, large, known = defaultdict(set), defaultdict(set), defaultdict(set)
     for name, htmls in trees.items():
-        on, style, content, part, linked, beside = (defaultdict(Counter) for _ in range(6))
+        on, style, content, part, beside = (defaultdict(Counter) for _ in range(5))
         for h in htmls:
-            found, every = html_text.blocks(h)
-            every = [n for n in every if not n.noise and n.tag not in ("html", "body", "head")]
-            total = sum(len(t) for n, t in found if not n.noise)
-            above = lambda n: [] if n is None or n.tag in html_text.TOP else [n, *above(n.parent)]  # noqa: B023, E731
-            for p in {n.path for n in every}:
+            page = Plain(h)
+            every = [n for n in page.every if chain(n)]
+            total = sum(len(t) for _, t in page.blocks)
+            for p in {n["path"] for n in every}:
                 on[p][h] = 1
-                own = [(n, t) for n, t in found if not n.noise and p in {x.path for x in above(n)}]
+                own = [(n, t) for n, t in page.blocks if p in {x["path"] for x in chain(n)}]
                 for t in {t for _, t in own}:
                     content[p][t] += 1
-                for f in {tuple(c for c, b in zip(n.children, [None, *n.children]) if c != b) for n in every if n.path == p and n.children}:
+                for f in {tuple(k for k, _ in groupby(n["forms"])) for n in every if n["path"] == p and n["forms"]}:
                     style[p][f] += 1
-                chars = sum(len(t) for _, t in own)
-                part[p][h] = chars / total if total else 0
-                linked[p][h] = 0.0
-                beside[p][h] = any(n.inside for n in every) and any(n.path == p and not n.inside and not n.holds for n in every)
+                part[p][h] = sum(len(t) for _, t in own) / total if total else 0
+                beside[p][h] = any(n["tag"] == "article" for n in every) and any(n["path"] == p and not inside(n) for n in every)
         for p, m in on.items():
             m = len(m)
-            if m < html_text.MIN_PAGES:
+            if m < 10:
                 continue
             c = 1 - sum(math.log(n) for n in content[p].values()) / len(content[p]) / math.log(m) if content[p] else 0
             all_ = sum(style[p].values())
             s = -sum(n / all_ * math.log(n / all_) for n in style[p].values()) / math.log(m) if all_ else 0
-            weight = html_text.GAMMA * c + (1 - html_text.GAMMA) * s
-            cut = weight < html_text.LEAST or sum(beside[p].values()) / m > 0.5 and sum(part[p].values()) / m < html_text.SHARE
-            (low if cut else known)[name].add(p)
-    return {i: html_text.main_text(h, low[pool(u)], known[pool(u)]) for i, u, h in pages}, low
+            share = sum(part[p].values()) / m
+            cut = 0.9 * c + 0.1 * s < 0.4 or sum(beside[p].values()) / m > 0.5 and share < 0.15
+            (low if cut else large if share >= 0.3 else known)[name].add(p)
+
+    def text(h, pool):
+        page = Plain(h or "")
+        article, kept = any(inside(n) for n, _ in page.blocks), []
+        for n, t in page.blocks:
+            up = chain(n)
+            up = up[: [x["tag"] for x in up].index("article")] if inside(n) else up
+            cut = any(x["path"] in low[pool] and not (inside(x) and x["tag"] in ("p", "h1")) for x in up)
+            called = any((x["tag"] == "nav" or re.match(r"ad\d*$", x["name"])) and x["path"] not in large[pool] for x in up)
+            judged = any(x["path"] in low[pool] | known[pool] | large[pool] for x in up)
+            if not cut and not called and (inside(n) or not article or judged):
+                kept.append(t)
+        return " ".join(kept)
+
+    return {i: text(h, pool(u)) for i, u, h in pages}, low
 
 
 def test_op4(spark, folder):
