@@ -25,12 +25,14 @@ tokens of ``KEPT`` short stretches.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +43,20 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from assonance.llm.batches import small_batches
+from assonance.llm.token_counts import PATTERN
 from assonance.plans.durable import durable, shared_dir
 
 #: Bytes of the texts of a block.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 #: Stretches whose tokens are kept, and their most characters.
-KEPT, SHORT = 200_000, 64
+KEPT, SHORT = 60_000, 48
 SPACE = "▁"
 #: A place at which both tokenizers cut: a single space between characters that aren't blank.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Where spaces stand beside other blanks or at an end, ``split`` would cut too often.
 MIXED = re.compile(r"\s |\A | \Z| \s")
+#: Longer stretches go to the file's own library.
+LONG = 10_000
 #: Bytes of a page: tokens that overlap are sought by stretch and page, so that one long stretch isn't held against itself.
 PAGE = 256
 
@@ -67,8 +72,11 @@ class Tokenizer:
         self.size = np.zeros(max(bytes_of, default=0) + 1, np.int64)
         self.size[list(bytes_of)] = [len(b) for b in bytes_of.values()]
 
-    def renders(self, ids: list[int], whole: bytes) -> bool:
-        return b"".join(map(self.bytes_of.__getitem__, ids)) == whole
+    def rendered(self, ids: list[list[int]], wholes: list[bytes]) -> list[bool]:
+        """Whether the ids of each stretch spell it."""
+        of = self.bytes_of.__getitem__
+        told = [b"".join(map(of, x)) for x in ids]
+        return [True] * len(ids) if told == wholes else [a == b for a, b in zip(told, wholes, strict=True)]
 
 
 def _printable() -> dict[str, int]:
@@ -93,7 +101,22 @@ def byte_level(path: str) -> Tokenizer:
     lib.no_padding()
     byte = _printable()
     bytes_of = {i: bytes([byte[c] for c in t]) if all(c in byte for c in t) else t.encode() for t, i in lib.get_vocab(with_added_tokens=True).items()}
-    return Tokenizer(lambda stretches: [list(lib.encode(x, add_special_tokens=False).ids) for x in stretches], bytes_of)
+    whole = lambda x: list(lib.encode(x, add_special_tokens=False).ids)
+    vocabulary, last = model["model"]["vocab"], -1
+    for merge in model["model"]["merges"]:
+        now = vocabulary["".join(merge.split(" ") if isinstance(merge, str) else merge)]
+        if now < last:
+            return Tokenizer(lambda stretches: [whole(x) for x in stretches], bytes_of)
+        last = now
+    # Ids in the order of merges are ranks, by which tiktoken merges the same pairs, at less cost for a call.
+    import tiktoken
+
+    fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={bytes_of[i]: i for i in vocabulary.values() if len(bytes_of[i]) == 1 or i not in special(model)}, special_tokens={})
+    return Tokenizer(lambda stretches: [fast.encode_ordinary(x) if len(x) < LONG else whole(x) for x in stretches], bytes_of)
+
+
+def special(model: dict) -> set[int]:
+    return {t["id"] for t in model["added_tokens"]}
 
 
 def pieces(path: str) -> Tokenizer:
@@ -118,30 +141,28 @@ def stretches_of(text: str) -> list[str]:
     return [" " + x for x in text.split(" ")]
 
 
-#: Of the distinct stretches of a block: the links, and groups as text.  Tables a and b: s (stretch), k (place), first and last byte, id.
+#: Of the distinct stretches of a block, laid end to end.  Tables a and b: s (stretch), k (place of the token), first and last byte, id, opens (a stretch).
 _OVERLAPS = f"""
 CREATE OR REPLACE TEMP TABLE links AS
-  SELECT a.s, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.s = b.s AND a.first >= b.first
+  SELECT a.s, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.first >= b.first
   UNION ALL
   SELECT x.s, x.id, y.id
   FROM (SELECT s, first, last, id, unnest(generate_series(first // {PAGE}, (last - 1) // {PAGE})) AS page FROM a) x
-  JOIN (SELECT s, first, id, first // {PAGE} AS page FROM b) y
-    ON x.s = y.s AND x.page = y.page AND y.first > x.first AND y.first < x.last
+  JOIN (SELECT first, id, first // {PAGE} AS page FROM b) y ON x.page = y.page AND y.first > x.first AND y.first < x.last
 """
+#: Tokens of both sides in the order of groups (no group reaches over the end of a stretch), each with what stands before it: nothing, a comma, a bar or a semicolon.
 _GROUPS = """
-CREATE OR REPLACE TEMP TABLE stretches AS
-WITH cut AS (SELECT a.s, a.last FROM a JOIN b ON a.s = b.s AND a.last = b.last),
+CREATE OR REPLACE TEMP TABLE told AS
+WITH cut AS (SELECT a.last FROM a JOIN b ON a.last = b.last),
 grouped AS (
-  SELECT side, t.s, k, id,
-         coalesce(sum(CAST(cut.s IS NOT NULL AS INTEGER)) OVER (PARTITION BY side, t.s ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g
-  FROM (SELECT 0 AS side, * FROM a UNION ALL SELECT 1, * FROM b) t LEFT JOIN cut ON cut.s = t.s AND cut.last = t.last),
-sides AS (SELECT s, g, side, string_agg(id, ',' ORDER BY k) AS ids, count(*) AS n FROM grouped GROUP BY s, g, side),
-groups AS (
-  SELECT p.s, p.g, p.ids || '|' || q.ids AS told, p.n AS n_a, q.n AS n_b
-  FROM sides p JOIN sides q ON q.s = p.s AND q.g = p.g AND q.side = 1 WHERE p.side = 0),
-linked AS (SELECT s, count(*) AS n_links FROM links GROUP BY s)
-SELECT s, CAST(sum(n_a) AS BIGINT) AS n_a, CAST(sum(n_b) AS BIGINT) AS n_b, count(*) AS n_groups, any_value(n_links) AS n_links, string_agg(told, ';' ORDER BY g) AS told
-FROM groups JOIN linked USING (s) GROUP BY s
+  SELECT s, side, k, id, opens, coalesce(sum(CAST(cut.last IS NOT NULL AS INTEGER)) OVER before, 0) AS g, coalesce(lag(cut.last IS NOT NULL) OVER before, true) AS leads
+  FROM (SELECT 0 AS side, * FROM a UNION ALL SELECT 1, * FROM b) t LEFT JOIN cut ON cut.last = t.last
+  WINDOW before AS (PARTITION BY side ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT s, side, g, id, CASE WHEN NOT leads THEN 1 WHEN side = 1 THEN 2 WHEN opens THEN 0 ELSE 3 END AS before FROM grouped ORDER BY g, side, k;
+CREATE OR REPLACE TEMP TABLE stretches AS
+SELECT s, n_a, n_b, n_groups, n_links
+FROM (SELECT s, count(*) FILTER (side = 0) AS n_a, count(*) FILTER (side = 1) AS n_b, CAST(max(g) - min(g) + 1 AS BIGINT) AS n_groups FROM told GROUP BY s)
+JOIN (SELECT s, count(*) AS n_links FROM links GROUP BY s) USING (s)
 """
 #: Pairs of the block numbered, and each document's pairs.
 _PAIRS = """
@@ -167,9 +188,11 @@ class Blocks:
         self.a, self.b = a, b
         self.fresh: dict[str, tuple[list[int], list[int]] | None] = {}
         self.stale: dict[str, tuple[list[int], list[int]] | None] = {}
-        self.base = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "1GB", "temp_directory": ""})
+        most = max(len(a.size), len(b.size))
+        self.names = [[f"{sign}{i}" for i in range(most)] for sign in ("", ",", "|", ";")]
+        self.base = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "400MB", "temp_directory": ""})
 
-    def learn(self, stretches: set[str]) -> dict[str, tuple[list[int], list[int]] | None]:
+    def learn(self, stretches: Iterable[str]) -> dict[str, tuple[list[int], list[int]] | None]:
         """The A and B ids of stretches; None for those that their ids don't render."""
         out, new = {}, []
         for x in stretches:
@@ -179,9 +202,10 @@ class Blocks:
                 out[x] = self.fresh[x] = self.stale[x]
             else:
                 new.append(x)
-        for x, a, b in zip(new, self.a.encode(new), self.b.encode(new), strict=True):
-            whole = x.encode()
-            out[x] = (a, b) if self.a.renders(a, whole) and self.b.renders(b, whole) else None
+        ids, wholes = (self.a.encode(new), self.b.encode(new)), [x.encode() for x in new]
+        fine = zip(self.a.rendered(ids[0], wholes), self.b.rendered(ids[1], wholes), strict=True)
+        for x, a, b, (of_a, of_b) in zip(new, *ids, fine, strict=True):
+            out[x] = (a, b) if of_a and of_b else None
             if len(x) <= SHORT:
                 self.fresh[x] = out[x]
         if len(self.fresh) >= KEPT:
@@ -190,28 +214,36 @@ class Blocks:
 
     def _intervals(self, ids: list[list[int]], tokenizer: Tokenizer) -> pa.Table:
         sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
         last = np.cumsum(tokenizer.size[flat])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        before = np.repeat(np.where(starts > 0, last[np.maximum(starts, 1) - 1], 0), sizes)
-        last -= before
-        first = last - tokenizer.size[flat]
-        place = np.arange(len(flat)) - np.repeat(starts, sizes)
-        return pa.table({"s": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "k": place.astype(np.int32), "first": first, "last": last, "id": flat})
+        opens = np.zeros(len(flat), bool)
+        opens[np.cumsum(sizes) - sizes] = True
+        return pa.table({
+            "s": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "k": np.arange(len(flat), dtype=np.int32),
+            "first": last - tokenizer.size[flat], "last": last, "id": flat, "opens": opens,
+        })
+
+    def _told(self, tokens: dict[str, np.ndarray], n: int) -> list[str]:
+        """The groups of each of n stretches as text."""
+        parts = [self.names[k][i] for k, i in zip(tokens["before"].tolist(), tokens["id"].tolist(), strict=True)]
+        edges = np.searchsorted(tokens["s"], np.arange(n + 1)).tolist()
+        return ["".join(parts[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
     def rows(self, texts: list[str | None], with_groups: bool) -> dict[str, list | pa.Array]:
         """For each text its numbers and pairs; the first also has what all of them share: the pairs and how many texts hold each."""
         cut = [stretches_of(t) if t else [] for t in texts]
-        known = self.learn({x for c in cut for x in c})
-        for i, c in enumerate(cut):
-            if any(known[x] is None for x in c):
-                whole = " " + texts[i]
-                if whole not in known:
-                    known |= self.learn({whole})
-                cut[i] = [] if known[whole] is None else [whole]
-        number: dict[str, int] = {}
-        at = number.setdefault
-        occurs = [[at(x, len(number)) for x in c] for c in cut]
+        number = dict.fromkeys(chain.from_iterable(cut))
+        known = self.learn(number)
+        if None in known.values():
+            for i, c in enumerate(cut):
+                if any(known[x] is None for x in c):
+                    whole = " " + texts[i]
+                    if whole not in known:
+                        known |= self.learn([whole])
+                    cut[i] = [] if known[whole] is None else [whole]
+            number = dict.fromkeys(chain.from_iterable(cut))
+        for i, x in enumerate(number):
+            number[x] = i
         n = len(texts)
         out: dict[str, list | pa.Array] = {c: [0] * n for c in _NUMBERS}
         out |= {"groups": [None] * n, "groups_sha256": [""] * n, "pair": [[]] * n, "times": [[]] * n}
@@ -221,8 +253,9 @@ class Blocks:
             run = self.base.execute
             self.base.register("a", self._intervals([x[0] for x in ids], self.a))
             self.base.register("b", self._intervals([x[1] for x in ids], self.b))
-            sizes = np.array([len(c) for c in occurs], np.int64)
-            self.base.register("occ", pa.table({"doc": np.repeat(np.arange(n, dtype=np.int32), sizes), "s": np.fromiter((s for o in occurs for s in o), np.int32, int(sizes.sum()))}))
+            sizes = np.array([len(c) for c in cut], np.int64)
+            places = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int32, int(sizes.sum()))
+            self.base.register("occ", pa.table({"doc": np.repeat(np.arange(n, dtype=np.int32), sizes), "s": places}))
             for step in (_OVERLAPS, _GROUPS, _PAIRS):
                 run(step)
             counts = run(_DOCUMENTS).fetchnumpy()
@@ -230,8 +263,9 @@ class Blocks:
                 column = np.zeros(n, np.int64)
                 column[counts["doc"]] = counts[c]
                 out[c] = column.tolist()
-            told = [x for (x,) in run("SELECT told FROM stretches ORDER BY s").fetchall()]
-            whole = [";".join([told[s] for s in o]) for o in occurs]
+            told = self._told(run("SELECT s, id, before FROM told").fetchnumpy(), len(number))
+            ends = np.cumsum(sizes).tolist()
+            whole = [";".join([told[s] for s in places[end - len(c) : end].tolist()]) for c, end in zip(cut, ends, strict=True)]
             out["groups_sha256"] = [sha256(x.encode()).hexdigest() if x else "" for x in whole]
             if with_groups:
                 out["groups"] = whole
@@ -269,6 +303,8 @@ def _write_blocks(documents: DataFrame, text: str, a: str, b: str, keep: Sequenc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, rows, held, number, size = _blocks(a, b), [], [], None, 0
+        # What a block makes has no cycles, and looking for some takes a quarter of the time.
+        gc.disable()
 
         def block() -> pa.RecordBatch:
             # A block has the number of its first row, and so the same one if its task runs again.
