@@ -11,11 +11,13 @@ probed against the set of all such grams of all windows.  Texts with a block
 in the set (few, in clean corpora) are scanned at every word; window hashes
 meet the windows, and a hit counts only if the words are equal.
 
-The set is part of the plan, and its size is known before: up to ``SET_LIMIT``
-hashes as a hash set, up to ``BLOOM_LIMIT`` as a Bloom filter of ``BLOOM_BITS``
-bits each, which lets through one block in a thousand more.  For a larger
-benchmark it is the hashes of the blocks that become rows, and meet the grams
-in a join; texts don't.
+The set is one constant of the plan, and its size, over windows of all
+lengths together, is known before: up to ``SET_LIMIT`` hashes as a table of
+buckets, up to ``BLOOM_LIMIT`` as a Bloom filter of ``BLOOM_BITS`` bits each,
+which lets through one block in a thousand more.  For a larger benchmark it is
+the hashes of the blocks that become rows, and meet the grams in a join; texts
+don't.  Which items hold a window is a table of its own, whose rows are met
+once for each text and window, however often the window occurs in either.
 
 Null or wordless texts have no words and no hits; repeated rows are judged
 each for itself; very long texts are scanned whole, in steps that grow with
@@ -26,8 +28,6 @@ carried along whatever they are called.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ from assonance.plans.durable import durable
 from assonance.plans.joins import bounded_join
 
 WINDOW = 13
-#: Hashes that are put into the plan as a hash set, and as a Bloom filter of so many bits and probes a hash.
+#: Hashes that are put into the plan as a table, and as a Bloom filter of so many bits and probes a hash.
 SET_LIMIT, BLOOM_LIMIT = 200_000, 4_000_000
 BLOOM_BITS, BLOOM_PROBES = 20, 4
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -56,17 +56,16 @@ def _starts(n: Column, length: Column | int, step: int = 1) -> Column:
     return F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
-def benchmark_windows(benchmark: DataFrame, item: str, text: str, window: int = WINDOW) -> DataFrame:
-    """One row per distinct window: ``length``, ``words``, ``hash`` and the sorted ``items`` that hold it."""
+def benchmark_windows(benchmark: DataFrame, item: str, text: str, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The distinct windows (``number``, ``length``, ``words``, ``hash``), and which items hold them (``number``, ``item``)."""
     tokens = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), words(F.col(f"`{text}`")).alias("w"))
     tokens = tokens.where(F.size("w") > 0).withColumn("length", F.least(F.size("w"), F.lit(window)))
     at = tokens.select("item", "length", "w", F.explode(_starts(F.size("w"), F.col("length"))).alias("at"))
     cut = at.select("item", "length", F.slice("w", F.col("at"), F.col("length")).alias("words"))
-    return (
-        cut.groupBy("length", "words")
-        .agg(F.array_sort(F.collect_set("item")).alias("items"))
-        .withColumn("hash", F.xxhash64("words"))
-    )
+    windows = cut.select("length", "words").distinct().withColumn("hash", F.xxhash64("words"))
+    windows = durable(windows.withColumn("number", F.monotonically_increasing_id()))
+    held = cut.where(F.col("item").isNotNull()).withColumn("hash", F.xxhash64("words")).join(windows, ["length", "hash", "words"])
+    return windows, durable(held.select("number", "item").distinct())
 
 
 def _block(length: int) -> tuple[int, int]:
@@ -80,52 +79,66 @@ def _bloom_places(h: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(bits)) for i in range(BLOOM_PROBES)]
 
 
-def _known(hashes: DataFrame, n: int, set_limit: int, bloom_limit: int) -> Callable[[Column], Column] | None:
-    """A test whether a hash may be one of the ``n`` of ``hashes``; None if they are too many for the plan."""
-    if not n:
-        return lambda h: F.lit(False)
-    if n <= set_limit:
-        found = [r[0] for r in hashes.collect()]
-        return lambda h: h.isin(found)
-    if n > bloom_limit:
-        return None
-    bits = 64 * -(-n * BLOOM_BITS // 64)
-    set_ = hashes.select(F.explode(F.array(*_bloom_places(F.col(hashes.columns[0]), bits))).alias("bit"))
-    of_word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int")))
-    filled = {r[0]: r[1] for r in set_.groupBy(F.floor(F.col("bit") / 64).cast("long").alias("word")).agg(of_word).collect()}
-    # A constant: the optimizer reads the text once, and the plan has an array of longs.
-    table = F.from_json(F.lit("[" + ",".join(str(filled.get(i, 0)) for i in range(bits // 64)) + "]"), "array<bigint>")
-
-    def test(h: Column) -> Column:
+class _Known:
+    """A test whether a hash may be one of a set, which is one constant however often it is asked."""
+
+    def __init__(self, hashes: DataFrame, set_limit: int, bloom_limit: int) -> None:
+        """``hashes``: one column, distinct.  Beyond ``bloom_limit`` there is no test."""
+        n = hashes.count()
+        self.fits = n <= max(set_limit, bloom_limit)
+        self.exact = n <= set_limit
+        if not self.fits:
+            return
+        if self.exact:
+            self.size = max(n, 1)
+            buckets: list[list[str]] = [[] for _ in range(self.size)]
+            for r in hashes.collect():
+                buckets[r[0] % self.size].append(str(r[0]))
+            told, kind = "[" + ",".join(f"[{','.join(b)}]" for b in buckets) + "]", "array<array<bigint>>"
+        else:
+            self.size = 64 * -(-n * BLOOM_BITS // 64)
+            set_ = hashes.select(F.explode(F.array(*_bloom_places(F.col(hashes.columns[0]), self.size))).alias("bit"))
+            of_word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int")))
+            filled = {r[0]: r[1] for r in set_.groupBy(F.floor(F.col("bit") / 64).cast("long").alias("word")).agg(of_word).collect()}
+            told, kind = "[" + ",".join(str(filled.get(i, 0)) for i in range(self.size // 64)) + "]", "array<bigint>"
+        # The optimizer reads the text once, and the plan has the arrays.
+        self.table = F.from_json(F.lit(told), kind)
+
+    def holds(self, table: Column, h: Column) -> Column:
+        """Whether ``h`` may be in; ``table`` is ``self.table``, bound around all that asks."""
+        if self.exact:
+            return F.array_contains(F.get(table, F.pmod(h, F.lit(self.size)).cast("int")), h)
         out = F.lit(True)
-        for bit in _bloom_places(h, bits):
+        for bit in _bloom_places(h, self.size):
             word = F.get(table, F.floor(bit / 64).cast("int"))
             out = out & (F.call_function("shiftright", word, F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1)
         return out
 
-    return test
-
 
 class _Scan:
     """The windows of one benchmark, and the columns that find them in a text's words."""
 
     def __init__(self, benchmark: DataFrame, item: str, item_text: str, window: int, set_limit: int, bloom_limit: int) -> None:
-        self.table = durable(benchmark_windows(benchmark, item, item_text, window))
-        size = F.sum(F.length(F.array_join("words", " ")) + F.coalesce(F.length(F.array_join("items", " ")), F.lit(0)))
+        self.table, self.holders = benchmark_windows(benchmark, item, item_text, window)
+        size = F.sum(F.length(F.array_join("words", " ")))
         per_length = self.table.groupBy("length").agg(F.count("*"), size).collect()
         self.lengths = sorted(r[0] for r in per_length)
         self.n_windows, self.n_bytes = sum(r[1] for r in per_length), sum(r[2] for r in per_length)
-        self.grams, self.may_block, self.may_window = {}, {}, {}
+        self.n_holders, holder_bytes = self.holders.agg(F.count("*"), F.sum(F.length("item") + 8)).first()
+        self.holder_bytes = holder_bytes or 0
+        grams = None
         for length in self.lengths:
             gram, _ = _block(length)
             inside = F.transform(_starts(F.lit(length), gram), lambda i: F.xxhash64(F.slice("words", i, gram)))  # noqa: B023
-            here = self.table.where(F.col("length") == length)
-            grams = durable(here.select(F.explode(inside).alias("gram")).distinct())
-            windows = here.select("hash").distinct()
-            self.grams[length] = grams
-            self.may_block[length] = _known(grams, grams.count(), set_limit, bloom_limit)
-            self.may_window[length] = _known(windows, windows.count(), set_limit, bloom_limit)
-        self.in_plan = all(f is not None for f in [*self.may_block.values(), *self.may_window.values()])
+            here = self.table.where(F.col("length") == length).select(F.lit(length).alias("length"), F.explode(inside).alias("gram"))
+            grams = here if grams is None else grams.union(here)
+        self.grams = None if grams is None else durable(grams.distinct())
+        if grams is None:
+            self.in_plan = True
+            return
+        self.may_block = _Known(self.grams.select("gram").distinct(), set_limit, bloom_limit)
+        self.may_window = _Known(self.table.select("hash").distinct(), set_limit, bloom_limit)
+        self.in_plan = self.may_block.fits and self.may_window.fits
 
     def blocks(self, w: Column, length: int) -> Column:
         """Hashes of the blocks of a text of which every window of ``length`` words spans one."""
@@ -134,32 +147,41 @@ class _Scan:
 
     def possible(self, w: Column) -> Column:
         """Whether some window may occur: true for every text in which one does."""
-        out = F.lit(False)
-        for length in self.lengths:
-            gram, step = _block(length)
-            known = self.may_block[length]
-            out = out | F.exists(_starts(F.size(w), gram, step), lambda i: known(F.xxhash64(F.slice(w, i, gram))))  # noqa: B023
-        return out
+
+        def some(table: Column) -> Column:
+            out = F.lit(False)
+            for length in self.lengths:
+                gram, step = _block(length)
+                out = out | F.exists(_starts(F.size(w), gram, step), lambda i: self.may_block.holds(table, F.xxhash64(F.slice(w, i, gram))))  # noqa: B023
+            return out
+
+        return bind(self.may_block.table, some) if self.lengths else F.lit(False)
 
     def probes(self, w: Column) -> Column:
         """Places and words of what may be a window."""
-        found = []
-        for length in self.lengths:
-            known = self.may_window[length] or (lambda h: F.lit(True))
-            at = F.filter(_starts(F.size(w), length), lambda i: known(F.xxhash64(F.slice(w, i, length))))  # noqa: B023
-            found.append(F.transform(at, lambda i: F.struct(i.alias("at"), F.slice(w, i, length).alias("here"))))  # noqa: B023
-        return F.concat(*found) if found else F.array().cast(_PROBES)
+
+        def all_(table: Column | None) -> Column:
+            found = []
+            for length in self.lengths:
+                at = _starts(F.size(w), length)
+                if table is not None:
+                    at = F.filter(at, lambda i: self.may_window.holds(table, F.xxhash64(F.slice(w, i, length))))  # noqa: B023
+                found.append(F.transform(at, lambda i: F.struct(i.alias("at"), F.slice(w, i, length).alias("here"))))  # noqa: B023
+            return F.concat(*found)
+
+        if not self.lengths:
+            return F.array().cast(_PROBES)
+        return bind(self.may_window.table, all_) if self.may_window.fits else all_(None)
 
     def marked(self, rows: DataFrame, text: Column) -> DataFrame:
         """``rows`` (``id`` and others) with ``may``: whether some window may occur in ``text``."""
         if self.in_plan:
             return rows.withColumn("may", bind(words(text), self.possible))
-        met = None
+        each = None
         for length in self.lengths:
-            each = rows.select("id", F.explode(bind(words(text), lambda w: self.blocks(w, length))).alias("gram"))  # noqa: B023
-            hit = each.join(self.grams[length].hint("shuffle_hash"), "gram", "left_semi").select("id").distinct()
-            met = hit if met is None else met.union(hit)
-        met = durable(met.distinct())
+            here = rows.select("id", F.lit(length).alias("length"), F.explode(bind(words(text), lambda w: self.blocks(w, length))).alias("gram"))  # noqa: B023
+            each = here if each is None else each.union(here)
+        met = durable(each.join(self.grams.hint("shuffle_hash"), ["length", "gram"], "left_semi").select("id").distinct())
         return bounded_join(rows, met.withColumn("may", F.lit(True)), ["id"], "left", met.count()).withColumn("may", F.coalesce("may", F.lit(False)))
 
     def verified(self, rows: DataFrame) -> DataFrame:
@@ -167,10 +189,12 @@ class _Scan:
         each = rows.select("id", F.explode("probes").alias("p"))
         each = each.select("id", "p.at", "p.here", F.size("p.here").alias("length"), F.xxhash64("p.here").alias("hash"))
         met = bounded_join(each, self.table, ["length", "hash"], "inner", self.n_windows, spread=F.xxhash64("id", "at"), right_bytes=self.n_bytes)
-        met = met.where(F.col("here") == F.col("words"))
-        hit = F.struct("at", (F.col("at") + F.col("length")).alias("end"))
-        found = met.groupBy("id").agg(F.collect_list(hit).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        return found.select("id", _merged(F.col("hits")).alias("spans"), F.array_sort("items").alias("items"))
+        met = durable(met.where(F.col("here") == F.col("words")).select("id", "at", "length", "number"))
+        spans = met.groupBy("id").agg(_merged(F.collect_list(F.struct("at", (F.col("at") + F.col("length")).alias("end")))).alias("spans"))
+        # A text and an item meet in one row before any list is made.
+        named = bounded_join(met.select("id", "number").distinct(), self.holders, ["number"], "inner", self.n_holders, spread=F.xxhash64("id"), right_bytes=self.holder_bytes)
+        items = named.select("id", "item").distinct().groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+        return spans.join(items, "id", "left").select("id", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 _PROBES = "array<struct<at:int,here:array<string>>>"

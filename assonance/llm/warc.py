@@ -6,7 +6,8 @@ inflates such a stream once, from front to back, writes every record as a
 gzip member of its own, and beside the archive an index of the members'
 offsets and lengths.  ``read_archives`` reads records back by that index.
 
-Files go through pyarrow's file systems to the folder that is given; each is
+Files go through pyarrow's file systems to the folder that is given, which is
+qualified as Spark understands it (``fs.defaultFS``); each is
 written under a name of its attempt and then renamed, so a task that runs
 again leaves the same files.  Memory: one record and two stream buffers.
 
@@ -33,7 +34,7 @@ from urllib.parse import unquote
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assonance.llm.batches import small_batches
@@ -47,8 +48,17 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a qualified path; one without a scheme means another place to Spark than to this process, and raises."""
+    if not re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:/", path):
+        raise ValueError(f"a path without scheme: {path}")
     local = re.sub(r"^file:/+", "/", path)
-    return (pafs.LocalFileSystem(), local) if local.startswith("/") else pafs.FileSystem.from_uri(path)
+    return (pafs.LocalFileSystem(), local) if local.startswith("/") else pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and authority by which Hadoop (and so Spark) finds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString())
 
 
 def _digest(payload: bytes) -> str:
@@ -256,9 +266,9 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> D
     return archives.select("archive").repartition(count, "archive").mapInArrow(run, schema)
 
 
-def new_folder(spark) -> str:
+def new_folder(spark: SparkSession) -> str:
     """A folder of its own beside the checkpoints, which all executors share."""
-    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = f"{qualified(spark, shared_dir(spark)).rstrip('/')}/warc-{uuid.uuid4().hex}"
     files, base = file_system(folder)
     files.create_dir(base, recursive=True)
     return folder

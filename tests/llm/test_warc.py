@@ -64,3 +64,19 @@ def test_normalising_again_after_a_lost_task(spark, tmp_path):
     archives = warc.write_archives(warc.planned(pages, "page_id", "url", "html"), folder)
     first = sorted(map(tuple, warc.normalise_archives(archives, folder).collect()))
     assert sorted(map(tuple, warc.normalise_archives(archives, folder).collect())) == first
+
+
+def test_folders_are_what_spark_takes_them_for(spark, tmp_path):
+    """A path without scheme is qualified by Hadoop's default file system, and none goes to this machine's disk unasked."""
+    assert warc.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "viewfs://store/")
+        conf.set("fs.viewfs.mounttable.store.link./shared", f"file://{tmp_path}")
+        assert warc.qualified(spark, "/shared/x") == "viewfs://store/shared/x"
+    finally:
+        conf.set("fs.defaultFS", before)
+    with pytest.raises(ValueError, match="without scheme"):
+        warc.file_system(str(tmp_path))
+    assert warc.file_system(f"file://{tmp_path}")[1] == str(tmp_path)
