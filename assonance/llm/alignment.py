@@ -29,7 +29,7 @@ import gc
 import json
 import re
 import uuid
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Collection, Iterator, Sequence
 from dataclasses import dataclass
 from hashlib import sha256
 from itertools import chain
@@ -47,9 +47,9 @@ from assonance.llm.token_counts import PATTERN
 from assonance.plans.durable import durable, shared_dir
 
 #: Bytes of the texts of a block.
-BLOCK = 2 << 20
+BLOCK = 3 << 20
 #: Stretches whose tokens are kept, and their most characters.
-KEPT, SHORT = 60_000, 48
+KEPT, SHORT = 150_000, 48
 SPACE = "▁"
 #: A place at which both tokenizers cut: a single space between characters that aren't blank.
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -67,13 +67,16 @@ _STORED = "block long, place int, n_a long, n_b long, n_groups long, n_links lon
 class Tokenizer:
     """One tokenizer: ids of stretches, and the bytes of each id."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], bytes_of: dict[int, bytes]) -> None:
-        self.encode, self.bytes_of = encode, bytes_of
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], bytes_of: dict[int, bytes], lossless: bool = False) -> None:
+        """``lossless``: the ids of a text always spell it, as where every byte has a token and tokens are only ever joined."""
+        self.encode, self.bytes_of, self.lossless = encode, bytes_of, lossless
         self.size = np.zeros(max(bytes_of, default=0) + 1, np.int64)
         self.size[list(bytes_of)] = [len(b) for b in bytes_of.values()]
 
     def rendered(self, ids: list[list[int]], wholes: list[bytes]) -> list[bool]:
         """Whether the ids of each stretch spell it."""
+        if self.lossless:
+            return [True] * len(ids)
         of = self.bytes_of.__getitem__
         told = [b"".join(map(of, x)) for x in ids]
         return [True] * len(ids) if told == wholes else [a == b for a, b in zip(told, wholes, strict=True)]
@@ -101,18 +104,19 @@ def byte_level(path: str) -> Tokenizer:
     lib.no_padding()
     byte = _printable()
     bytes_of = {i: bytes([byte[c] for c in t]) if all(c in byte for c in t) else t.encode() for t, i in lib.get_vocab(with_added_tokens=True).items()}
+    lossless = set(bytes_of.values()) >= {bytes([x]) for x in range(256)}
     whole = lambda x: list(lib.encode(x, add_special_tokens=False).ids)
     vocabulary, last = model["model"]["vocab"], -1
     for merge in model["model"]["merges"]:
         now = vocabulary["".join(merge.split(" ") if isinstance(merge, str) else merge)]
         if now < last:
-            return Tokenizer(lambda stretches: [whole(x) for x in stretches], bytes_of)
+            return Tokenizer(lambda stretches: [whole(x) for x in stretches], bytes_of, lossless)
         last = now
     # Ids in the order of merges are ranks, by which tiktoken merges the same pairs, at less cost for a call.
     import tiktoken
 
     fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={bytes_of[i]: i for i in vocabulary.values() if len(bytes_of[i]) == 1 or i not in special(model)}, special_tokens={})
-    return Tokenizer(lambda stretches: [fast.encode_ordinary(x) if len(x) < LONG else whole(x) for x in stretches], bytes_of)
+    return Tokenizer(lambda stretches: [fast.encode_ordinary(x) if len(x) < LONG else whole(x) for x in stretches], bytes_of, lossless)
 
 
 def special(model: dict) -> set[int]:
@@ -192,22 +196,19 @@ class Blocks:
         self.names = [[f"{sign}{i}" for i in range(most)] for sign in ("", ",", "|", ";")]
         self.base = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "400MB", "temp_directory": ""})
 
-    def learn(self, stretches: Iterable[str]) -> dict[str, tuple[list[int], list[int]] | None]:
+    def learn(self, stretches: Collection[str]) -> dict[str, tuple[list[int], list[int]] | None]:
         """The A and B ids of stretches; None for those that their ids don't render."""
-        out, new = {}, []
-        for x in stretches:
-            if x in self.fresh:
-                out[x] = self.fresh[x]
-            elif x in self.stale:
-                out[x] = self.fresh[x] = self.stale[x]
-            else:
-                new.append(x)
+        fresh, stale = self.fresh, self.stale
+        out = {x: fresh[x] for x in stretches if x in fresh}
+        moved = {x: stale[x] for x in stretches if x in stale and x not in out}
+        fresh |= moved
+        out |= moved
+        new = [x for x in stretches if x not in out]
         ids, wholes = (self.a.encode(new), self.b.encode(new)), [x.encode() for x in new]
         fine = zip(self.a.rendered(ids[0], wholes), self.b.rendered(ids[1], wholes), strict=True)
-        for x, a, b, (of_a, of_b) in zip(new, *ids, fine, strict=True):
-            out[x] = (a, b) if of_a and of_b else None
-            if len(x) <= SHORT:
-                self.fresh[x] = out[x]
+        made = {x: (a, b) if of_a and of_b else None for x, a, b, (of_a, of_b) in zip(new, *ids, fine, strict=True)}
+        out |= made
+        fresh |= {x: found for x, found in made.items() if len(x) <= SHORT}
         if len(self.fresh) >= KEPT:
             self.stale, self.fresh = self.fresh, {}
         return out
