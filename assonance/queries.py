@@ -148,6 +148,17 @@ def _even_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.where(SEED_FILTERS.condition() & (F.size("au") == ORDER))
 
 
+def aligned_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seed with a graphic variant, aligned and measured: with gaps on either side, moved bounds and lost columns."""
+    docs = _documents(spark, sf_dir)
+    aligned = process_pairs(docs, find_seeds(_index(docs, "text", "sound")), align=default_aligner())
+    joined = lambda c: F.array_join(c, "")
+    return aligned.select(
+        "u_id", "v_id", "u_text", "v_text", joined("au").alias("u_text_aligned"), joined("av").alias("v_text_aligned"), "u_transcription", "v_transcription",
+        *[F.col(c).cast("long").alias(c) for c in ("u_start", "u_end", "v_start", "v_end")], F.col("weight").alias("phonetic_similarity"), F.col("graphic").alias("graphic_similarity"),
+    )
+
+
 def ranked_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned seeds, measured, filtered and ranked, with the fields of results."""
     ranked = with_ordinal(_even_seeds(spark, sf_dir), "rank", *result_order())
@@ -228,7 +239,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         normalised_texts, corpus_documents, token_classes, token_sounds, document_ngrams, index_summary, index_postings,
         seed_pairs, variant_seeds, benchmark_seeds, match_identity, seed_groups, reuse_matches, reuse_groups,
-        ranked_seeds, seed_group_measures, char_sounds, char_index, index_lookup,
+        aligned_seeds, ranked_seeds, seed_group_measures, char_sounds, char_index, index_lookup,
     )
     return {f.__name__: f for f in made}
 
@@ -237,6 +248,8 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: The sign that the queries' aligner puts for a gap.
+_GAP = "　"
 _CLEAN = f"translate(coalesce({{0}}, ''), {_quoted(LOST + DELETED)}, {_quoted(LOST_AS)})"
 _LETTERS, _CLASSES = SKELETON.letters, SKELETON.classes
 
@@ -291,6 +304,57 @@ ranked AS MATERIALIZED (
     ),
 )
 
+
+
+def _table_sql(name: str, given: str, base: str, value: Callable[[int, int, str, str, str], str]) -> str:
+    """CTEs that fill an ORDER by ORDER table of columns ``name``_i_j, one anti-diagonal after the other; what is outside counts 0."""
+    cell = lambda i, j: f"{name}_{i}_{j}" if i and j else "0"
+    out, before = [], given
+    for d in range(2, 2 * ORDER + 1):
+        new = [f"{value(i, d - i, cell(i - 1, d - i), cell(i, d - i - 1), cell(i - 1, d - i - 1))} AS {name}_{i}_{d - i}" for i in range(1, ORDER + 1) if 1 <= d - i <= ORDER]
+        out.append(f"{base}{d} AS (SELECT *, {', '.join(new)} FROM {before})")
+        before = f"{base}{d}"
+    return ",\n".join(out)
+
+
+def _aligned_sql() -> str:
+    """All variant seeds aligned: rows of the table are v's words, columns u's; a backpointer for each cell, followed from the last best one."""
+    places = [(i, j) for i in range(1, ORDER + 1) for j in range(1, ORDER + 1)]
+    cell = lambda i, j: f"h_{i}_{j}" if i and j else "0"
+    pair = lambda i, j: f"CASE WHEN us[{j}] = vs[{i}] THEN 1 ELSE -1 END"
+    filled = _table_sql("h", "sounded", "fill", lambda i, j, up, left, diagonal: f"greatest(0, {up} - 1, {left} - 1, {diagonal} + {pair(i, j)})")
+    back = ", ".join(
+        f"CASE WHEN {cell(i - 1, j)} - 1 >= h_{i}_{j} THEN 3 WHEN {cell(i - 1, j - 1)} + {pair(i, j)} >= h_{i}_{j} THEN 2 WHEN {cell(i, j - 1)} - 1 >= h_{i}_{j} THEN 1 ELSE 0 END" for i, j in places
+    )
+    last = " ".join(f"WHEN h_{i}_{j} = top THEN {i * 10 + j}" for i, j in reversed(places))
+    steps, before = [], "ended"
+    for k in range(2 * ORDER):
+        steps.append(f"""
+step{k} AS (
+  SELECT * EXCLUDE (i, j, au, av, way), i - CAST(way >= 2 AS INTEGER) AS i, j - CAST(way IN (1, 2) AS INTEGER) AS j,
+         CASE WHEN way = 0 THEN au ELSE list_prepend(CASE WHEN way = 3 THEN '{_GAP}' ELSE ut[j] END, au) END AS au,
+         CASE WHEN way = 0 THEN av ELSE list_prepend(CASE WHEN way = 1 THEN '{_GAP}' ELSE vt[i] END, av) END AS av
+  FROM (SELECT *, CASE WHEN i = 0 OR j = 0 THEN 0 ELSE back[(i - 1) * {ORDER} + j] END AS way FROM {before}))""")
+        before = f"step{k}"
+    common = _table_sql("g", "shown", "common", lambda i, j, up, left, diagonal: f"greatest({up}, {left}, {diagonal} + CASE WHEN au[{j}] = av[{i}] THEN 1 ELSE 0 END)")
+    sound = lambda x: f"string_split(translate({x}_text, '{_LETTERS}', '{_CLASSES}'), ' ')"
+    return f"""
+sounded AS MATERIALIZED (SELECT *, string_split(u_text, ' ') AS ut, string_split(v_text, ' ') AS vt, {sound('u')} AS us, {sound('v')} AS vs FROM seed),
+{filled},
+topped AS (SELECT *, greatest({', '.join(cell(i, j) for i, j in places)}) AS top, [{back}] AS back FROM fill{2 * ORDER}),
+ended AS MATERIALIZED (SELECT *, place // 10 AS i, place % 10 AS j, CAST([] AS VARCHAR[]) AS au, CAST([] AS VARCHAR[]) AS av FROM (SELECT *, CASE {last} END AS place FROM topped WHERE top > 0)),
+{','.join(steps).strip()},
+sized AS (SELECT *, len(list_filter(au, lambda x: x <> '{_GAP}')) AS nu, len(list_filter(av, lambda x: x <> '{_GAP}')) AS nv FROM {before}),
+shown AS MATERIALIZED (SELECT * EXCLUDE (au, av), au[1 : greatest(nu, nv)] AS au, av[1 : greatest(nu, nv)] AS av FROM sized),
+{common}
+SELECT u_id, v_id, array_to_string(ut[j + 1 : j + nu], ' ') AS u_text, array_to_string(vt[i + 1 : i + nv], ' ') AS v_text,
+       array_to_string(au, '') AS u_text_aligned, array_to_string(av, '') AS v_text_aligned,
+       '*' || array_to_string(us[j + 1 : j + nu], ' ') AS u_transcription, '*' || array_to_string(vs[i + 1 : i + nv], ' ') AS v_transcription,
+       CAST(u_start + j AS BIGINT) AS u_start, CAST(u_start + j + nu AS BIGINT) AS u_end, CAST(v_start + i AS BIGINT) AS v_start, CAST(v_start + i + nv AS BIGINT) AS v_end,
+       CAST(top AS DOUBLE) / len(au) AS phonetic_similarity, CAST(g_{ORDER}_{ORDER} AS DOUBLE) / len(au) AS graphic_similarity
+FROM common{2 * ORDER}"""
+
+
 def oracle_sql() -> dict[str, str]:
     clean = _CLEAN.format("text")
     return {
@@ -347,6 +411,7 @@ def oracle_sql() -> dict[str, str]:
                    CAST(u_start AS BIGINT) AS u_start, CAST(u_end AS BIGINT) AS u_end, CAST(v_start AS BIGINT) AS v_start, CAST(v_end AS BIGINT) AS v_end,
                    CAST(1.0 AS DOUBLE) AS phonetic_similarity, CAST(graphic AS DOUBLE) AS graphic_similarity
             FROM ranked""",
+        "aligned_seeds": f"WITH {_DOCS}, {_GRAMS}, {_VARIANTS}, {_aligned_sql()}",
         "seed_group_measures": f"""
             WITH RECURSIVE {_DOCS}, {_GRAMS}, {_VARIANTS}, {_RANKED},
             m AS MATERIALIZED (
