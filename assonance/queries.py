@@ -7,21 +7,22 @@ used whole.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from assonance.functions.sounds import SKELETON, TableSounds
 from assonance.functions.text import DELETED, LOST, LOST_AS, char_tokens, is_alnum, is_alpha, is_number, normalise, span_text
+from assonance.operators.blocks import with_tokens
 from assonance.operators.documents import all_phonemes, make_documents, transcription, unknown_tokens, voiced
 from assonance.operators.groups import group_matches, group_members, grouped
-from assonance.operators.index import contains, key_counts, lookup, ngrams, phonetic_index, postings
+from assonance.operators.index import contains, key_counts, ngrams, phonetic_index, postings
 from assonance.operators.matches import Filters, default_aligner, length, process_pairs, result_order, results
 from assonance.operators.reuse import ReuseConfig, find_reuse
 from assonance.operators.seeds import cross_corpus_seeds, find_seeds
-from assonance.plans.durable import shared_dir
+from assonance.plans.durable import durable, shared_dir
 from assonance.plans.ordinal import with_ordinal
 from assonance.plans.spread import spread
 from assonance.sources.corpus import TableLoader
@@ -122,9 +123,8 @@ def _seed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variant seeds as matches of their own, with texts."""
     docs = _documents(spark, sf_dir)
     seeds = find_seeds(_index(docs, "text", "sound"))
-    side = lambda x: docs.select(F.col("doc_id").alias(f"{x}_id"), F.col("tokens").alias(f"{x}_tokens"))
-    both = seeds.join(side("u"), "u_id").join(side("v"), "v_id")
-    text = lambda x: span_text(F.col(f"{x}_tokens"), F.col(f"{x}_start"), F.col(f"{x}_end")).alias(f"{x}_text")
+    both = with_tokens(seeds, docs, ORDER)
+    text = lambda x: span_text(F.col(f"{x}_tokens"), F.col(f"{x}_start") - F.col(f"{x}_first"), F.col(f"{x}_end") - F.col(f"{x}_first")).alias(f"{x}_text")
     return both.select("u_id", "v_id", "u_ord", "v_ord", "u_start", "u_end", "v_start", "v_end", text("u"), text("v"))
 
 
@@ -180,7 +180,7 @@ def _letter_table(spark: SparkSession) -> TableSounds:
     """A sound table as files have it: readings of eight segments and two entries that name a source; the first reading counts."""
     sound = dict(zip(SKELETON.letters, SKELETON.classes, strict=True))
     reading = lambda c: ["", "", "", "" if sound[c] == "a" else sound[c], "", "", "a" if sound[c] == "a" else "", "", "made", "p. 1"]
-    path = f"{shared_dir(spark).rstrip('/')}/sound-table"
+    path = f"{shared_dir(spark).rstrip('/')}/sound-table-{uuid.uuid4().hex}"
     spark.createDataFrame([(json.dumps({c: [reading(c), ["x"] * 10] for c in SKELETON.letters}),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return table_sounds(read_sound_table(spark, path))
 
@@ -209,10 +209,13 @@ def char_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values of the key that has most of them, in their order."""
-    index = _index(_documents(spark, sf_dir))
+    index = durable(_index(_documents(spark, sf_dir)))
     key = key_counts(index).orderBy(F.desc("n"), "key").first()["key"]
-    place = F.row_number().over(Window.orderBy("doc_ord", "start")).cast("long").alias("place")
-    return lookup(index, key).select(place, "key", "doc_id", F.col("start").cast("long").alias("start"), F.lit(contains(index, key)).alias("known"), F.lit(contains(index, "no such key")).alias("other_known"))
+    # Numbered over tasks: a key may stand in any number of places.
+    places = with_ordinal(index.where(F.col("key") == key), "place", F.asc("doc_ord"), F.asc("start"))
+    return places.select(
+        (F.col("place") + 1).alias("place"), "key", "doc_id", F.col("start").cast("long").alias("start"), F.lit(contains(index, key)).alias("known"), F.lit(contains(index, "no such key")).alias("other_known")
+    )
 
 
 def reuse_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

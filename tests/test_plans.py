@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from assonance.plans.components import connected_components
-from assonance.plans.joins import bounded_join, skewed_join
+from assonance.plans import joins
+from assonance.plans.joins import bounded_join, grid_join, grid_sides, skewed_join
 from assonance.plans.ordinal import with_ordinal
 
 
@@ -118,3 +119,37 @@ def test_small_tables_are_dealt_out(spark, tmp_path):
     parts = S.spread(table).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(parts) == 1000 and min(parts) > 100
     assert S.spread(table.repartition(1).where("id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_keys", [20_000, 0])
+@pytest.mark.parametrize("cell_pairs", [1, 50, 10_000])
+def test_grid_join(spark, monkeypatch, cell_pairs, broadcast_keys):
+    """Keys hot on one side, on both, on none, and repeated rows; hot keys broadcast or not."""
+    monkeypatch.setattr(joins, "HOT_KEYS", broadcast_keys)
+    left = spark.createDataFrame([(i, "hot" if i % 2 else "wide" if i % 3 else f"k{i % 7}") for i in range(120)] + [(1, "hot"), (500, None)], "i int, k string")
+    right = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 5}") for i in range(90)] + [(7, "wide"), (501, None)], "j int, k string")
+    got = grid_join(left, right, ["k"], F.xxhash64("i"), F.xxhash64("j"), cell_pairs)
+    want = left.join(right, "k")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_rows_that_a_grid_repeats(spark):
+    """A key of 100,000 rows on both sides: 2,500 cells, and each row goes to 50 of them, where dealing one side alone would send a row of the other to all."""
+    n = 100_000
+    left, right = spark.range(n).select(F.col("id").alias("i"), F.lit("k").alias("k")), spark.range(n).select(F.col("id").alias("j"), F.lit("k").alias("k"))
+    a, b, keys = grid_sides(left, right, ["k"], F.xxhash64("i"), F.xxhash64("j"))
+    assert a.count() == b.count() == 50 * n
+    largest = a.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    assert keys == ["k", "__row", "__column"] and largest < 1.2 * 2000
+    one = spark.range(300).select(F.col("id").alias("j"), F.lit("k").alias("k"))
+    a, b, _ = grid_sides(left, one, ["k"], F.xxhash64("i"), F.xxhash64("j"))
+    assert a.count() == n and b.count() == 300 * 8
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_more_hot_keys_than_are_broadcast(spark, monkeypatch, how):
+    monkeypatch.setattr(joins, "HOT_KEYS", 2)
+    left = spark.createDataFrame([(i, f"k{i % 9}") for i in range(300)], "i int, k string")
+    right = spark.createDataFrame([(f"k{j}", j) for j in range(6)], "k string, v int")
+    got, want = skewed_join(left, right, ["k"], how, hot_rows=5), left.join(right, "k", how)
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
