@@ -18,11 +18,12 @@ from assonance.functions.text import DELETED, LOST, LOST_AS, char_tokens, is_aln
 from assonance.operators.blocks import with_tokens
 from assonance.operators.documents import all_phonemes, make_documents, transcription, unknown_tokens, voiced
 from assonance.operators.groups import group_matches, group_members, grouped
-from assonance.operators.index import contains, key_counts, ngrams, phonetic_index, postings
+from assonance.operators.index import ngrams, phonetic_index, postings
 from assonance.operators.matches import Filters, default_aligner, length, process_pairs, result_order, results
 from assonance.operators.reuse import ReuseConfig, find_reuse
 from assonance.operators.seeds import cross_corpus_seeds, find_seeds
-from assonance.plans.durable import durable, shared_dir
+from assonance.operators.stored import store
+from assonance.plans.durable import shared_dir
 from assonance.plans.ordinal import with_ordinal
 from assonance.plans.spread import spread
 from assonance.sources.corpus import TableLoader
@@ -208,14 +209,22 @@ def char_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The values of the key that has most of them, in their order."""
-    index = durable(_index(_documents(spark, sf_dir)))
-    key = key_counts(index).orderBy(F.desc("n"), "key").first()["key"]
-    # Numbered over tasks: a key may stand in any number of places.
-    places = with_ordinal(index.where(F.col("key") == key), "place", F.asc("doc_ord"), F.asc("start"))
-    return places.select(
-        (F.col("place") + 1).alias("place"), "key", "doc_id", F.col("start").cast("long").alias("start"), F.lit(contains(index, key)).alias("known"), F.lit(contains(index, "no such key")).alias("other_known")
-    )
+    """I6, I7 and the index on disk: it is written once, and the key that has most values is looked up in its bucket."""
+    folder = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    try:
+        index = store(_index(_documents(spark, sf_dir)), folder, buckets=64)
+        key = index.counts().orderBy(F.desc("n"), "key").first()["key"]
+        known, other = index.contains(key), index.contains("no such key")
+        # Numbered over tasks: a key may stand in any number of places.
+        places = with_ordinal(index.values(key), "place", F.asc("doc_ord"), F.asc("start"))
+        return places.select((F.col("place") + 1).alias("place"), "key", "doc_id", F.col("start").cast("long").alias("start"), F.lit(known).alias("known"), F.lit(other).alias("other_known"))
+    finally:
+        _remove(spark, folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def reuse_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,6 +111,14 @@ def test_variants_of_unequal_length(spark):
     assert tuple(got) == (False, True)
 
 
+def test_of_documents_of_one_id_the_last_stays(spark):
+    f = ReuseFrame(make_documents(corpus(spark, {"1": "abc", "2": "de"}), NONE))
+    more = make_documents(corpus(spark, {"2": "new", "3": "q"}), NONE)
+    twice = more.union(more.withColumn("doc_ord", F.col("doc_ord") + 5).withColumn("tokens", F.slice("tokens", 1, 1)))
+    got = {r["doc_id"]: (r["doc_ord"], len(r["tokens"])) for r in f.add_docs(twice).docs.collect()}
+    assert got == {"1": (0, 3), "2": (5, 1), "3": (6, 1)} and f.add_docs(twice).number_of_docs == 3
+
+
 def test_lost_characters_block_seeds(spark):
     docs = make_documents(corpus(spark, {"a": "ab□cd", "b": "ab。cd"}), TableSounds({c: (c,) for c in "abcd"}, select=None))
     starts = {(r["doc_id"], r["start"]) for r in phonetic_index(docs, 2).collect()}
