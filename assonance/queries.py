@@ -23,13 +23,16 @@ from assonance.operators.matches import Filters, default_aligner, length, proces
 from assonance.operators.reuse import ReuseConfig, find_reuse
 from assonance.operators.seeds import cross_corpus_seeds, find_seeds
 from assonance.operators.stored import store
-from assonance.plans.durable import shared_dir
+from assonance.plans.durable import durable, shared_dir
 from assonance.plans.ordinal import with_ordinal
 from assonance.plans.spread import spread
 from assonance.sources.corpus import TableLoader
 from assonance.sources.tables import read_sound_table, table_sounds
+from assonance.streaming.incremental import stream_seeds
 
 ORDER = 4
+#: Into how many batches the stream of documents is cut.
+STREAM_BATCHES = 4
 #: Of seeds that are aligned and ranked as they are.
 SEED_FILTERS = Filters(min_length=ORDER, max_length=ORDER, min_graphic=0.25, max_graphic=0.6, min_phonetic=1.0, max_phonetic=1.0)
 CONFIG = ReuseConfig(ngram_order=ORDER, tokeniser="word", filters=Filters(min_length=5, max_length=64, max_graphic=0.95))
@@ -108,6 +111,27 @@ def seed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.groupBy("u_id", "v_id").agg(F.count("*").alias("n_seeds"), F.min("u_start").cast("long").alias("first_u"), F.max("v_end").cast("long").alias("last_v"))
 
 
+def streamed_seed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 over a stream: documents arrive in batches, each is joined with the index on disk and appended to it; the seeds are those of ``seed_pairs``."""
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    try:
+        corpus = _corpus(spark, sf_dir)
+        ordered = with_ordinal(corpus.select("id", "text", "size", "place"), "doc_ord", F.desc("size"), F.asc("place"), F.asc("id"))
+        # Batches by a hash of the id, so that later ones have documents of any size.
+        for n in range(STREAM_BATCHES):
+            ordered.where(F.pmod(F.xxhash64("id"), F.lit(STREAM_BATCHES)) == n).select(F.col("id").alias("doc_id"), "doc_ord", "text").coalesce(1).write.parquet(f"{folder}/in/{n}")
+        stream = spark.readStream.schema("doc_id string, doc_ord long, text string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+        running = stream_seeds(stream, SKELETON, ORDER, f"{folder}/index", f"{folder}/seeds", f"{folder}/progress", "word").trigger(availableNow=True).start()
+        running.awaitTermination()
+        if running.exception():
+            raise running.exception()
+        seeds = spark.read.parquet(f"{folder}/seeds")
+        pairs = seeds.groupBy("u_id", "v_id").agg(F.count("*").alias("n_seeds"), F.min("u_start").cast("long").alias("first_u"), F.max("v_end").cast("long").alias("last_v"))
+        return durable(pairs)
+    finally:
+        _remove(spark, folder)
+
+
 def variant_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds with a graphic variant."""
     seeds = find_seeds(_index(_documents(spark, sf_dir), "text", "sound"))
@@ -250,7 +274,7 @@ def normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         normalised_texts, corpus_documents, token_classes, token_sounds, document_ngrams, index_summary, index_postings,
-        seed_pairs, variant_seeds, benchmark_seeds, match_identity, seed_groups, reuse_matches, reuse_groups,
+        seed_pairs, streamed_seed_pairs, variant_seeds, benchmark_seeds, match_identity, seed_groups, reuse_matches, reuse_groups,
         aligned_seeds, ranked_seeds, seed_group_measures, char_sounds, char_index, index_lookup,
     )
     return {f.__name__: f for f in made}
@@ -367,6 +391,12 @@ SELECT u_id, v_id, array_to_string(ut[j + 1 : j + nu], ' ') AS u_text, array_to_
 FROM common{2 * ORDER}"""
 
 
+_SEED_PAIRS = f"""
+WITH {_DOCS}, {_GRAMS}
+SELECT a.doc_id AS u_id, b.doc_id AS v_id, count(*) AS n_seeds, CAST(min(a.s) AS BIGINT) AS first_u, CAST(max(b.e) AS BIGINT) AS last_v
+FROM idx a JOIN idx b ON a.key = b.key AND a.doc_ord < b.doc_ord GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
     clean = _CLEAN.format("text")
     return {
@@ -401,10 +431,8 @@ def oracle_sql() -> dict[str, str]:
             WITH {_DOCS}, {_GRAMS}
             SELECT key, count(*) AS n, count(DISTINCT doc_id) AS n_docs, md5(string_agg(doc_ord || ':' || s, ' ' ORDER BY doc_ord, s)) AS places_md5
             FROM idx GROUP BY key HAVING count(*) > 1""",
-        "seed_pairs": f"""
-            WITH {_DOCS}, {_GRAMS}
-            SELECT a.doc_id AS u_id, b.doc_id AS v_id, count(*) AS n_seeds, CAST(min(a.s) AS BIGINT) AS first_u, CAST(max(b.e) AS BIGINT) AS last_v
-            FROM idx a JOIN idx b ON a.key = b.key AND a.doc_ord < b.doc_ord GROUP BY ALL""",
+        "seed_pairs": _SEED_PAIRS,
+        "streamed_seed_pairs": _SEED_PAIRS,
         "variant_seeds": f"WITH {_DOCS}, {_GRAMS}, {_VARIANTS} SELECT u_id, v_id, CAST(u_start AS BIGINT) AS u_start, CAST(u_end AS BIGINT) AS u_end, CAST(v_start AS BIGINT) AS v_start, CAST(v_end AS BIGINT) AS v_end FROM seed",
         "benchmark_seeds": f"""
             WITH {_DOCS}, {_GRAMS},

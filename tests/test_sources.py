@@ -3,6 +3,7 @@
 import io
 import json
 import logging
+import re
 
 import pytest
 
@@ -118,6 +119,20 @@ def test_stream(spark, tmp_path):
     assert got == {frozenset("12"), frozenset("13"), frozenset("23")}
 
 
+def test_batches_of_a_stream(spark, tmp_path):
+    """Ids known from before count as they did, a batch may run again, u has the lower ordinal, and look-ups read few buckets."""
+    from assonance.streaming.incremental import BUCKETS, _met, _placed, _stored, index_batch
+
+    batches = [[("1", 5, "abcd efgh"), ("1", 6, "later row")], [("2", 1, "zabcd"), ("1", 0, "efgh efgh")], [("3", 9, "efghi abcd")], []]
+    for n in (0, 1, 1, 2, 3):
+        index_batch(spark.createDataFrame(batches[n], "doc_id string, doc_ord long, text string"), n, LATIN, 4, f"{tmp_path}/i", f"{tmp_path}/s")
+    seeds = {(r["u_id"], r["v_id"], r["u_ord"], r["v_ord"], r["u_start"], r["v_start"]) for r in spark.read.parquet(f"{tmp_path}/s").collect()}
+    assert seeds == {("2", "1", 1, 5, 1, 0), ("2", "3", 1, 9, 1, 5), ("1", "3", 5, 9, 0, 5), ("1", "3", 5, 9, 4, 0)}
+    stored = _stored(spark, f"{tmp_path}/i/values", 9)
+    met = _met(stored, _placed(spark.createDataFrame([("nothing",)], "key string"), "key"), "key")
+    assert met.count() == 0 and re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (=|IN|INSET)", met._jdf.queryExecution().toString()) and 1 < stored.select("bucket").distinct().count() < BUCKETS
+
+
 def test_files_of_one_name_in_two_folders(spark, tmp_path):
     """Documents keep the order of paths, also of paths with odd signs."""
     for folder, id in (("b +x", "1"), ("a", "2")):
