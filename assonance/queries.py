@@ -27,6 +27,7 @@ from assonance.plans.durable import durable, shared_dir
 from assonance.plans.ordinal import with_ordinal
 from assonance.plans.spread import spread
 from assonance.sources.corpus import TableLoader
+from assonance.sources.sinks import rendered
 from assonance.sources.tables import read_sound_table, table_sounds
 from assonance.streaming.incremental import stream_seeds
 
@@ -184,6 +185,14 @@ def aligned_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def highlighted_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every aligned seed as marked-up text: variants, insertions, mismatches, and four words of context."""
+    docs = _documents(spark, sf_dir)
+    aligned = process_pairs(docs, find_seeds(_index(docs, "text", "sound")), align=default_aligner())
+    shown = rendered(docs, aligned, context=4)
+    return shown.select("u_id", "v_id", *[F.col(c).cast("long").alias(c) for c in ("u_start", "u_end", "v_start", "v_end")], "u_marked", "v_marked")
+
+
 def ranked_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned seeds, measured, filtered and ranked, with the fields of results."""
     ranked = with_ordinal(_even_seeds(spark, sf_dir), "rank", *result_order())
@@ -275,7 +284,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         normalised_texts, corpus_documents, token_classes, token_sounds, document_ngrams, index_summary, index_postings,
         seed_pairs, streamed_seed_pairs, variant_seeds, benchmark_seeds, match_identity, seed_groups, reuse_matches, reuse_groups,
-        aligned_seeds, ranked_seeds, seed_group_measures, char_sounds, char_index, index_lookup,
+        aligned_seeds, highlighted_seeds, ranked_seeds, seed_group_measures, char_sounds, char_index, index_lookup,
     )
     return {f.__name__: f for f in made}
 
@@ -382,13 +391,17 @@ ended AS MATERIALIZED (SELECT *, place // 10 AS i, place % 10 AS j, CAST([] AS V
 {','.join(steps).strip()},
 sized AS (SELECT *, len(list_filter(au, lambda x: x <> '{_GAP}')) AS nu, len(list_filter(av, lambda x: x <> '{_GAP}')) AS nv FROM {before}),
 shown AS MATERIALIZED (SELECT * EXCLUDE (au, av), au[1 : greatest(nu, nv)] AS au, av[1 : greatest(nu, nv)] AS av FROM sized),
-{common}
+{common},
+aligned AS MATERIALIZED (SELECT * EXCLUDE (u_start, v_start), u_start + j AS u_start, u_start + j + nu AS u_end_, v_start + i AS v_start, v_start + i + nv AS v_end_ FROM common{2 * ORDER})"""
+
+
+_ALIGNED_SEEDS = f"""
 SELECT u_id, v_id, array_to_string(ut[j + 1 : j + nu], ' ') AS u_text, array_to_string(vt[i + 1 : i + nv], ' ') AS v_text,
        array_to_string(au, '') AS u_text_aligned, array_to_string(av, '') AS v_text_aligned,
        '*' || array_to_string(us[j + 1 : j + nu], ' ') AS u_transcription, '*' || array_to_string(vs[i + 1 : i + nv], ' ') AS v_transcription,
-       CAST(u_start + j AS BIGINT) AS u_start, CAST(u_start + j + nu AS BIGINT) AS u_end, CAST(v_start + i AS BIGINT) AS v_start, CAST(v_start + i + nv AS BIGINT) AS v_end,
+       CAST(u_start AS BIGINT) AS u_start, CAST(u_end_ AS BIGINT) AS u_end, CAST(v_start AS BIGINT) AS v_start, CAST(v_end_ AS BIGINT) AS v_end,
        CAST(top AS DOUBLE) / len(au) AS phonetic_similarity, CAST(g_{ORDER}_{ORDER} AS DOUBLE) / len(au) AS graphic_similarity
-FROM common{2 * ORDER}"""
+FROM aligned"""
 
 
 _SEED_PAIRS = f"""
@@ -397,6 +410,31 @@ SELECT a.doc_id AS u_id, b.doc_id AS v_id, count(*) AS n_seeds, CAST(min(a.s) AS
 FROM idx a JOIN idx b ON a.key = b.key AND a.doc_ord < b.doc_ord GROUP BY ALL"""
 
 
+def _highlighted_sql() -> str:
+    """Each column of the aligned seeds by its two words, and the words around the spans."""
+    alike = lambda x: f"translate({x}, '{_LETTERS}', '{_CLASSES}')"
+
+    def marked(a: str, b: str) -> str:
+        kind = f"""CASE WHEN {a}[k] = '{_GAP}' THEN '' WHEN {b}[k] = '{_GAP}' THEN '[insertion]' || {a}[k] || '[/insertion]'
+            WHEN {a}[k] <> {b}[k] AND {alike(f'{a}[k]')} = {alike(f'{b}[k]')} THEN '[variant]' || {a}[k] || '[/variant]'
+            WHEN {a}[k] <> {b}[k] THEN '[mismatch]' || {a}[k] || '[/mismatch]' ELSE {a}[k] END"""
+        return f"array_to_string(list_transform(generate_series(1, len({a})), lambda k: {kind}), '')"
+
+    words = lambda x, start, end: f"array_to_string(list_transform({x}w[{start} : {end}], lambda t: t || ' '), '')"
+    around = lambda x: (
+        f"CASE WHEN {x}_start >= 4 THEN {words(x, f'{x}_start - 3', f'{x}_start')} ELSE '' END AS {x}_left, {words(x, f'{x}_end_ + 1', f'{x}_end_ + 4')} AS {x}_right"
+    )
+    blank = "\u3000"
+    whole = lambda x: (
+        f"'[context]' || lpad({x}_left, greatest(length({x}_left), 4)::INTEGER, '{blank}') || '[/context]' || {x}_shown || '[context]' || rpad({x}_right, greatest(length({x}_right), 4)::INTEGER, '{blank}') || '[/context]' AS {x}_marked"
+    )
+    bounds = ", ".join(f"CAST({x}_start AS BIGINT) AS {x}_start, CAST({x}_end_ AS BIGINT) AS {x}_end" for x in ("u", "v"))
+    return f"""
+SELECT u_id, v_id, {bounds}, {whole('u')}, {whole('v')}
+FROM (SELECT *, {around('u')}, {around('v')}, {marked('au', 'av')} AS u_shown, {marked('av', 'au')} AS v_shown
+      FROM aligned JOIN (SELECT doc_id AS u_id, w AS uw FROM doc) USING (u_id) JOIN (SELECT doc_id AS v_id, w AS vw FROM doc) USING (v_id))"""
+
+
 def oracle_sql() -> dict[str, str]:
     clean = _CLEAN.format("text")
     return {
@@ -451,7 +489,8 @@ def oracle_sql() -> dict[str, str]:
                    CAST(u_start AS BIGINT) AS u_start, CAST(u_end AS BIGINT) AS u_end, CAST(v_start AS BIGINT) AS v_start, CAST(v_end AS BIGINT) AS v_end,
                    CAST(1.0 AS DOUBLE) AS phonetic_similarity, CAST(graphic AS DOUBLE) AS graphic_similarity
             FROM ranked""",
-        "aligned_seeds": f"WITH {_DOCS}, {_GRAMS}, {_VARIANTS}, {_aligned_sql()}",
+        "aligned_seeds": f"WITH {_DOCS}, {_GRAMS}, {_VARIANTS}, {_aligned_sql()} {_ALIGNED_SEEDS}",
+        "highlighted_seeds": f"WITH {_DOCS}, {_GRAMS}, {_VARIANTS}, {_aligned_sql()} {_highlighted_sql()}",
         "seed_group_measures": f"""
             WITH RECURSIVE {_DOCS}, {_GRAMS}, {_VARIANTS}, {_RANKED},
             m AS MATERIALIZED (
