@@ -17,7 +17,7 @@ HOT_ROWS, SALTS = 256, 4_096
 #: Hot keys that are broadcast; if there are more, they meet their rows in a join of their own.
 HOT_KEYS = 20_000
 #: Pairs that a task makes of one key of a grid join.
-CELL_PAIRS = 4_000_000
+CELL_PAIRS = 500_000
 
 
 def bounded_join(

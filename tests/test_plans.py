@@ -137,12 +137,12 @@ def test_rows_that_a_grid_repeats(spark):
     """A key of 100,000 rows on both sides: 2,500 cells, and each row goes to 50 of them, where dealing one side alone would send a row of the other to all."""
     n = 100_000
     left, right = spark.range(n).select(F.col("id").alias("i"), F.lit("k").alias("k")), spark.range(n).select(F.col("id").alias("j"), F.lit("k").alias("k"))
-    a, b, keys = grid_sides(left, right, ["k"], F.xxhash64("i"), F.xxhash64("j"))
+    a, b, keys = grid_sides(left, right, ["k"], F.xxhash64("i"), F.xxhash64("j"), 4_000_000)
     assert a.count() == b.count() == 50 * n
     largest = a.groupBy(*keys).count().agg(F.max("count")).first()[0]
     assert keys == ["k", "__row", "__column"] and largest < 1.2 * 2000
     one = spark.range(300).select(F.col("id").alias("j"), F.lit("k").alias("k"))
-    a, b, _ = grid_sides(left, one, ["k"], F.xxhash64("i"), F.xxhash64("j"))
+    a, b, _ = grid_sides(left, one, ["k"], F.xxhash64("i"), F.xxhash64("j"), 4_000_000)
     assert a.count() == n and b.count() == 300 * 8
 
 
