@@ -63,3 +63,15 @@ def test_char_key_counts(spark):
     docs = voiced(rows.select("doc_id", F.col("doc_id").alias("doc_ord"), char_tokens(F.col("text")).alias("tokens")), TABLE)
     want = Counter(r["key"] for r in phonetic_index(docs, 4, sounds=TABLE, parts=()).collect())
     assert {r["key"]: r["n"] for r in char_key_counts(rows, 4, TABLE).collect()} == want
+
+
+def test_counted_batches_give_the_counts_of_all(spark, tmp_path):
+    from assonance.streaming.incremental import index_batch
+
+    texts = random_texts()
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    ordered = make_documents(TableLoader("doc_id").of(rows), SKELETON, "word").select("doc_id", "doc_ord").join(rows, "doc_id").persist()
+    for n in range(3):
+        index_batch(ordered.where(F.col("doc_ord") % 3 == n), n, SKELETON, 2, f"{tmp_path}/index", f"{tmp_path}/seeds", "word", counted=True)
+    parts = spark.read.parquet(f"{tmp_path}/seeds").groupBy("u_id", "v_id").agg(F.sum("n_seeds"), F.min("first_u"), F.max("last_v"))
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, seed_counts(words_index(spark, texts)).collect()))
