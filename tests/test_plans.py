@@ -153,3 +153,14 @@ def test_more_hot_keys_than_are_broadcast(spark, monkeypatch, how):
     right = spark.createDataFrame([(f"k{j}", j) for j in range(6)], "k string, v int")
     got, want = skewed_join(left, right, ["k"], how, hot_rows=5), left.join(right, "k", how)
     assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_only_measured_sides_are_broadcast(spark):
+    small = lambda k, v: spark.range(4).select(F.col("id").alias(k), F.col("id").alias(v))
+    plan = lambda f: f._jdf.queryExecution().executedPlan().toString()
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert "BroadcastHashJoin" not in plan(skewed_join(small("k", "a"), small("k", "b"), ["k"], how))
+        assert "BroadcastHashJoin" not in plan(bounded_join(small("k", "a"), small("k", "b"), ["k"], how, 2, limit=1))
+    # Hot keys are counted and told to both sides, and nothing else is.
+    hot = spark.range(50).select((F.col("id") % 2).alias("k"), F.col("id").alias("a"))
+    assert plan(skewed_join(hot, small("k", "b"), ["k"], hot_rows=8)).count("BroadcastHashJoin") == 2
