@@ -117,3 +117,18 @@ def test_registered_functions(spark, sounds):
     pairs = words.crossJoin(words.toDF("other"))
     both = pairs.select(are_graphic_variants(sounds, t, F.col("other")).alias("a"), F.expr("t_variants(token, other)").alias("b")).collect()
     assert all(r["a"] == r["b"] for r in both) and any(r["a"] for r in both) == (sounds is not LATIN)
+
+
+def test_characters_are_looked_up_once(spark):
+    """The texts hold 200 times as many characters as a task looks up; rows are those of tokens one by one."""
+    from assonance.functions.text import char_tokens
+    from assonance.operators.documents import all_phonemes, spoken_characters, unknown_tokens, voiced
+
+    sounds = TableSounds({"a": ["", "", "", "x", "", "", "yz", ""], "b": ["", "", "", "", "", "", "", ""], "七": ["", "", "", "q", "", "", None, "r"], "𠀀": ["", "", "", "s", "", "", "", "t"]})
+    texts = ["a b  c,七八\U00020000\U00020001é e\u0301 9½Ⅳ \x00", "", None, "   ", "〼〇□", "aab" * 20_000]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    docs = voiced(rows.select("doc_id", char_tokens(F.coalesce("text", F.lit(""))).alias("tokens")), sounds)
+    each = docs.select("doc_id", F.size(all_phonemes(F.col("phon"))).cast("long"), F.size(unknown_tokens(F.col("phon"))).cast("long"), F.array_join(all_phonemes(F.col("phon")), ""))
+    got = spoken_characters(rows, sounds)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, each.collect()))
+    assert "regexp_extract_all" not in got._jdf.queryExecution().executedPlan().toString()
