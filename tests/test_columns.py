@@ -120,7 +120,7 @@ def test_registered_functions(spark, sounds):
 
 
 def test_characters_are_looked_up_once(spark):
-    """The texts hold 200 times as many characters as a task looks up; rows are those of tokens one by one."""
+    """No token is made; rows are those of tokens one by one."""
     from assonance.functions.text import char_tokens
     from assonance.operators.documents import all_phonemes, spoken_characters, unknown_tokens, voiced
 
