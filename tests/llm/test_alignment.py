@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 from collections import Counter, defaultdict
 
 import pytest
@@ -118,3 +119,58 @@ def test_blocks_groups_and_counts(spark, docs, no_docs, vocabulary, encode, monk
     counts = Counter(x for i, t in ((r["doc_id"], r["text"]) for r in docs.collect()) if t for x in set(swept(*(y for k in (0, 2) for y in (encode(t)[k], ends_of(encode(t)[k + 1]))))))
     assert {(r["a"], r["b"]): r["n"] for r in one.pair_counts.collect()} == dict(counts)
     assert alignment.align(no_docs, a, b, keep=["doc_id"]).documents.count() == 0
+
+
+def test_stretches_are_aligned_once(vocabulary, encode, monkeypatch):
+    """No engine is set up in a task; a block of known stretches hands none to a tokenizer; forgetting changes no row."""
+    monkeypatch.setitem(sys.modules, "duckdb", None)
+    blocks = alignment.Blocks(alignment.byte_level(vocabulary("byte_bpe_50k.json")), alignment.pieces(vocabulary("piece_bpe_32k.model")))
+    handed = []
+    for side in (blocks.a, blocks.b):
+        monkeypatch.setattr(side, "encode", lambda stretches, *more, encode=side.encode: (handed.extend(stretches), encode(stretches, *more))[1])
+    rng = random.Random(3)
+    words = "the reader found another page of recipes about warm bread émigré naïve 日本語のテキスト <s> 1234567".split()
+    parts = [[*ODD, "\x1c a \x1c", "x" * 12_000 + " y"], *([" ".join(rng.choices(words, k=30)) for _ in range(5)] for _ in range(3))]
+    wanted = expected(list(enumerate(t for texts in parts for t in texts)), encode)
+
+    def check():
+        told, held = [], Counter()
+        for texts in parts:
+            got = {c: x if isinstance(x, list) else x.to_pylist() for c, x in blocks.rows(texts, False).items()}
+            told += zip(*(got[c] for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")), strict=True)
+            pairs = list(zip(*(got[c][0] for c in ("pair_a", "pair_b", "pair_n")), strict=True))
+            assert [sum(x) for x in got["times"]] == got["n_links"]
+            assert Counter(pairs[p][:2] for x in got["pair"] for p in x) == {(a, b): n for a, b, n in pairs}
+            held.update({(a, b): n for a, b, n in pairs})
+        assert told == [(*x[1:5], x[7]) for x in wanted]
+        return held
+
+    first = check()
+    assert len(handed) == 2 * len(set(handed))
+    handed.clear()
+    assert check() == first and handed == []
+    monkeypatch.setattr(alignment, "KEPT", 12)
+    assert check() == check() == first and handed != []
+
+
+def test_long_text_of_different_words(vocabulary):
+    """A text longer than a block, nearly all of whose words are different ones, has what its parts have together."""
+    rng = random.Random(1)
+    words = ["".join(rng.choices("etaoinshrdlucmfw", k=rng.randrange(2, 9))) for _ in range(1_000_000)]
+    blocks = alignment.Blocks(alignment.byte_level(vocabulary("byte_bpe_50k.json")), alignment.pieces(vocabulary("piece_bpe_32k.model")))
+
+    def told(texts):
+        got = {c: x if isinstance(x, list) else x.to_pylist() for c, x in blocks.rows(texts, True).items()}
+        pairs = list(zip(got["pair_a"][0], got["pair_b"][0], strict=True))
+        links = Counter()
+        for pair, times in zip(got["pair"], got["times"], strict=True):
+            links.update({pairs[p]: n for p, n in zip(pair, times, strict=True)})
+        return [sum(got[c]) for c in ("n_a", "n_b", "n_groups", "n_links")], ";".join(got["groups"]), links
+
+    numbers, groups, links = [0] * 4, [], Counter()
+    for i in range(0, len(words), 100_000):
+        more = told([" ".join(words[k : k + 1_000]) for k in range(i, i + 100_000, 1_000)])
+        numbers = [a + b for a, b in zip(numbers, more[0], strict=True)]
+        groups.append(more[1])
+        links += more[2]
+    assert told([" ".join(words)]) == (numbers, ";".join(groups), links)
