@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from assonance.plans.components import connected_components
-from assonance.plans import joins
+from assonance.operators.index import values_to_meet
+from assonance.plans import joins, sieve
 from assonance.plans.joins import bounded_join, grid_join, grid_sides, skewed_join
 from assonance.plans.ordinal import with_ordinal
 
@@ -164,3 +165,23 @@ def test_only_measured_sides_are_broadcast(spark):
     # Hot keys are counted and told to both sides, and nothing else is.
     hot = spark.range(50).select((F.col("id") % 2).alias("k"), F.col("id").alias("a"))
     assert plan(skewed_join(hot, small("k", "b"), ["k"], hot_rows=8)).count("BroadcastHashJoin") == 2
+
+
+@pytest.mark.parametrize("words", [1 << 22, 1 << 10])
+def test_a_sieve_loses_no_key(spark, monkeypatch, words):
+    monkeypatch.setattr(sieve, "WORDS", words)
+    rows = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"))
+    known = spark.range(0, 20_000, 7).select(F.xxhash64(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("h"))
+    out = sieve.sifted(rows, F.xxhash64("k"), known, known.count())
+    got = {int(r["k"][1:]) for r in out.collect()}
+    assert got >= set(range(0, 20_000, 7)) and len(got) < 4_000
+    assert out.columns == ["k"] and sieve.sifted(rows, F.xxhash64("k"), known.where("false"), 0).count() == 0
+
+
+def test_values_that_may_meet_are_not_shuffled(spark):
+    rows = [(f"k{i % 500}", f"t{i % 500 if i % 5 else i}", i, i) for i in range(2_000)]
+    index = spark.createDataFrame(rows, "key string, text string, doc_ord long, start int")
+    out = values_to_meet(index, forms=True)
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    kept = {r["key"] for r in out.collect()}
+    assert kept >= {f"k{i}" for i in range(0, 500, 5)} and len(kept) < 150
